@@ -41,10 +41,10 @@ def marked(text: Column) -> Column:
     """The text as tokens and spaces; a placeholder is its mark followed by the value it stands for."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUM}{NAME}{UNIT}]", " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\s.,!?]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},]\s{1,3})(\p{Lu}\p{Ll}+)(?!\p{L})", f"{NAME}$1")
+    t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{L}\p{N},]\s{1,3}\p{Lu})\p{Ll}++)(?!\p{L})", f"{NAME}$1")
     t = F.regexp_replace(t, r"([0-9]+(?:[.,][0-9]+)*+)", f" {NUM}$1 ")
     t = F.lower(F.regexp_replace(t, r"(?<![0-9])[.,]|[.,](?![0-9])|[!?]", " "))
-    return F.regexp_replace(t, rf"(?<={NUM}[0-9.,]{{1,40}}\s{{1,3}})({'|'.join(UNITS)})(?!\p{{L}})", f"{UNIT}$1")
+    return F.regexp_replace(t, rf"({NUM}[0-9.,]+\s{{1,3}})({'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}$2")
 
 
 def canonical(mark: Column) -> Column:
