@@ -125,17 +125,23 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, text: str = "text", supp
     found = with_spans(mine).where(" or ".join(f"size({k}) > 0" for k in KINDS))
     near = scratch.keep(nearby_terms(found).distinct())
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    candidates = scratch.keep(pairs)
+    ents = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("de"))
+    n = float(mine.agg(F.count_distinct("text_hash")).first()[0])
+
+    def rate(df: str) -> Column:
+        return 1 + F.ln(F.col("both") / F.col(df)) / -F.ln(F.least(F.lit(0.5), F.col("de") / F.lit(n)))
+
+    # texts in which a term is near any entity are some of those that have it: a term below the threshold
+    # against these alone is below it against all, and needn't be counted over the corpus
+    some = near.groupBy("term").agg(F.count_distinct("text_hash").alias("some"))
+    candidates = scratch.keep(pairs.join(some, "term").join(ents, "entity").where(rate("some") >= least).select("term", "both", "de"))
     terms = scratch.keep(candidates.select("term").distinct())
     if terms.isEmpty():
         return terms.select("term", F.lit(0.0).alias("disclosure")), mine.limit(0).select("text_hash", F.lit("").alias("term"), F.lit(0.0).alias("disclosure"))
     have = mine.select("text_hash", F.explode(F.array_distinct(F.transform(words(F.col("text")), term_of))).alias("term"))
     have = scratch.keep(have.join(lookup_side(terms, MOST_TERMS), "term", "left_semi").distinct())
     df = have.groupBy("term").agg(F.count("*").alias("df"))
-    ents = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("de"))
-    n = float(mine.agg(F.count_distinct("text_hash")).first()[0])
-    rate = 1 + F.ln(F.col("both") / F.col("df")) / -F.ln(F.least(F.lit(0.5), F.col("de") / F.lit(n)))
-    scored = candidates.join(df, "term").join(ents, "entity").groupBy("term").agg(F.max(rate).alias("disclosure"))
+    scored = candidates.join(df, "term").groupBy("term").agg(F.max(rate("df")).alias("disclosure"))
     scored = scratch.keep(scored.where(F.col("disclosure") >= least))
     return scored, have.join(scored, "term").select("text_hash", "term", "disclosure")
 
