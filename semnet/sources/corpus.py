@@ -17,7 +17,7 @@ SENTENCES = "filename string, year string, parameters array<string>, sentence st
 def read_text_tree(spark: SparkSession, root: str, encoding_errors: str = "ignore") -> DataFrame:
     """(path, folder, filename, text) of all .txt files below ``root``; bytes that aren't UTF-8 are dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
-    text = F.decode(F.col("content"), "UTF-8") if encoding_errors == "strict" else F.replace(F.try_validate_utf8_or(F.col("content")), F.lit("�"), F.lit(""))
+    text = F.decode(F.col("content"), "UTF-8") if encoding_errors == "strict" else F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     parts = F.split("path", "/")
     return files.select("path", F.element_at(parts, -2).alias("folder"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("filename"), text.alias("text"))
 
