@@ -197,8 +197,9 @@ def _reader(folder: str):
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    whole = ("page_id", "refers_to")  # among nulls these must not pass through floats
+    names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return pd.DataFrame({c: pd.array([r[c] for r in rows], dtype="Int64") if c in whole else [r[c] for r in rows] for c in names})
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
