@@ -250,6 +250,25 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
         )
 
 
+def common(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices of bounded width."""
+    sets = [*xs, *ys]
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times[col] > 1  # what only one set has is in no intersection
+    number = np.cumsum(times > 1) - 1
+    row, col = row[shared], number[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(xs), len(ys)))
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        lo, hi = np.searchsorted(col, (at, at + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[lo:hi], col[lo:hi] - at] = 1
+        out += m[: len(xs)] @ m[len(xs) :].T
+    return out
+
+
 def _blocks(percent: int):
     least = floor_of(percent)
 
@@ -267,21 +286,22 @@ def _blocks(percent: int):
 
         x, y = (np.frombuffer(b"".join(p["sketch"]), np.uint16).reshape(-1, M) for p in (left, right))
         nx, ny = left["n"].to_numpy(float), right["n"].to_numpy(float)
-        sy = [s for s in right["shingles"]]
-        cy, ry = right["comp"].to_numpy(), right["rep"].to_numpy()
+        cx, cy, rx, ry = (p[c].to_numpy() for c in ("comp", "rep") for p in (left, right))
+        maybe = (cx[:, None] != cy) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
+        for i in np.flatnonzero(maybe.any(1)):
+            ok = np.flatnonzero(maybe[i])
+            maybe[i, ok] = reaches(x[i], y[ok], np.full(len(ok), nx[i]), ny[ok], least)
+        li, ri = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+        if not len(li):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        both = common([left["shingles"].iloc[i] for i in li], [right["shingles"].iloc[i] for i in ri])
+        link = maybe[np.ix_(li, ri)] & (100 * both >= percent * (nx[li][:, None] + ny[ri] - both))
         out = []
-        for i, (rep, comp, n, s) in enumerate(zip(left["rep"], left["comp"], nx, left["shingles"])):
-            ok = np.flatnonzero((cy != comp) & (100 * np.minimum(ny, n) >= percent * np.maximum(ny, n)))
-            if not len(ok):
-                continue
-            ok = ok[reaches(x[i], y[ok], np.full(len(ok), n), ny[ok], least)]
-            for k in ok:
-                if find(comp) == find(cy[k]):
-                    continue
-                both = len(np.intersect1d(s, sy[k], assume_unique=True))
-                if 100 * both >= percent * (n + ny[k] - both):
-                    root[find(comp)] = find(cy[k])
-                    out.append((min(rep, ry[k]), max(rep, ry[k])))
+        for i, k in np.argwhere(link):
+            i, k = li[i], ri[k]
+            if find(cx[i]) != find(cy[k]):
+                root[find(cx[i])] = find(cy[k])
+                out.append((min(rx[i], ry[k]), max(rx[i], ry[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run

@@ -86,6 +86,13 @@ def test_registers():
     assert abs(est - j) < 0.15
 
 
+def test_common():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, n)) for n in (1, 9, 30, 55, 3, 20)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[3:]] for x in sets[:3]]
+    assert (neardup.common(sets[:3], sets[3:], width=7) == want).all()
+
+
 def test_blocks_agree(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
     monkeypatch.setattr(neardup, "BLOCK", 4)
