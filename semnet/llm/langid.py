@@ -134,18 +134,17 @@ def identify(pages: DataFrame, docs: DataFrame, id_: str = "page_id", url: str =
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     hosts = rows.groupBy("host").agg(*votes).withColumn("domain", domain)
     domains = hosts.groupBy("domain").agg(*(F.sum(f"v{k}").alias(f"d{k}") for k in range(n)))
-    corpus = domains.agg(*(F.sum(f"d{k}").alias(f"c{k}") for k in range(n)))
+    domains = scratch.keep(domains)
+    # one row, as wide as there are languages: its sums become constants
+    corpus = [c or 0.0 for c in domains.agg(*(F.sum(f"d{k}") for k in range(n))).first()]
 
     def share(own: list[Column], up: list[Column], kappa: float) -> list[Column]:
         whole = sum(own[1:], own[0])
         return [(o + kappa * u) / (whole + kappa) for o, u in zip(own, up)]
 
-    # one row of corpus sums goes to every domain; its size is the number of languages
-    d = domains.join(F.broadcast(corpus), F.lit(True), "inner")
-    whole = sum((F.col(f"c{k}") for k in range(1, n)), F.col("c0"))
-    c_prior = [(F.col(f"c{k}") + 1) / (whole + n) for k in range(n)]
+    c_prior = [F.lit((c + 1) / (sum(corpus) + n)) for c in corpus]
     d_prior = share([F.col(f"d{k}") for k in range(n)], c_prior, KAPPA_DOMAIN)
-    d = d.select("domain", F.array(*d_prior).alias("d_prior"))
+    d = domains.select("domain", F.array(*d_prior).alias("d_prior"))
     h = hosts.join(d, "domain").select("host", F.array(*(F.col(f"v{k}") for k in range(n))).alias("h_votes"), "d_prior")
     out = dealt_join(rows, h, ["host"], F.coalesce(F.col("id"), F.lit(0)))
     # the others' votes at this host, towards the domain

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semnet.llm import chat, decontam, lines, neardup, packing, pii, quality_fm, urls, warc
+from semnet.llm import chat, decontam, langid, lines, neardup, packing, pii, quality_fm, urls, warc
 from semnet.llm.base import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -247,3 +247,46 @@ def test_components(spark):
     nodes = spark.range(40).selectExpr("id as rep", "id as comp")
     got = neardup.components(nodes, links.where("b < 40"), Scratch(spark, "test"))
     assert all(r.comp == r.rep // 10 * 10 for r in got.collect())
+
+
+def test_langid(spark):
+    known = {"de": "der hund und die katze sind heute nicht hier", "en": "the dog and the cat are not here today", "fr": "le chien et le chat ne sont pas ici"}
+    learn = spark.createDataFrame([(i, " ".join([t] * 5), k, "a", None) for i, (k, t) in enumerate(known.items())], DOCS)
+    rows = [(i, "http://a.example.com/x", f"<html><p>{known['en']}</p></html>") for i in range(12)]
+    rows += [
+        (20, "http://b.example.net/x", f'<html lang="de"><script>the dog and the cat</script><p>{known["de"]}</p></html>'), (21, "http://c.org/fr/x", "<html></html>"),
+        (22, "http://a.example.com/y", None), (22, "http://a.example.com/y", None), (23, None, ""), (None, None, None), (24, "http://d.de/", ""), (25, "http://e.org/", f'<html lang="xx">{known["fr"] * 900}</html>'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = langid.identify(pages.withColumn("lang", F.lit("zz")).withColumn("host", F.lit(1)), learn).collect()
+    assert len(got) == len(rows) and all(0 < r.confidence <= 1 for r in got)
+    by = {r.page_id: r for r in got}
+    assert {by[k].lang for k in range(12)} == {"en"} and by[20].lang == "de" and by[25].lang == "fr"
+    assert by[21].lang == "fr" and by[24].lang == "de"  # the address alone
+    assert by[22].lang == "en"  # the host's prior alone
+    assert langid.identify(pages.limit(0), learn).count() == 0 and langid.identify(pages, learn.limit(0)).count() == 0
+
+
+def test_langid_brute_force(spark):
+    langs = ["de", "en"]
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.x.com/", f"<p>{'der' if i % 2 else 'the'} {prose(i, 1 + i % 4)}</p>") for i in range(24)], "page_id long, url string, html string")
+    learn = spark.createDataFrame([(1, "der die das und " + prose(1, 9), "de", "a", None), (2, "the and of it " + prose(2, 9), "en", "a", None)], DOCS)
+    names, logp = langid.train(learn)
+    assert names == langs
+    votes, raw, hosts = [], [], []
+    for p in sorted(pages.collect()):
+        c = langid.trigrams(re.sub("<[^>]*>", " ", p.html))
+        z = logp.astype(float) @ c * (min(c.sum(), langid.TEMPER) / max(c.sum(), 1))
+        raw.append(z)
+        votes.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        hosts.append(p.page_id % 3)
+    votes = np.array(votes)
+    corpus = (votes.sum(0) + 1) / (votes.sum() + 2)
+    domain = (votes.sum(0) + langid.KAPPA_DOMAIN * corpus) / (votes.sum() + langid.KAPPA_DOMAIN)
+    for row in langid.identify(pages, learn).collect():
+        i = row.page_id
+        rest = votes[[k for k in range(24) if hosts[k] == hosts[i] and k != i]].sum(0)
+        prior = (rest + langid.KAPPA_HOST * domain) / (rest.sum() + langid.KAPPA_HOST)
+        z = raw[i] + np.log(prior)
+        post = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert row.lang == langs[int(post.argmax())] and abs(row.confidence - post.max()) < 1e-5
