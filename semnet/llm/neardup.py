@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", pe
     sk = mine.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch, SKETCH)
     sk = scratch.keep(sk.withColumn("doc_id", F.col("doc_id").cast("long")))
     full = sk.where("n_shingles > 0")
-    # 1. classes of equal sets; a class without any id that isn't null can't be named and gets its set's hash below zero
+    # 1. classes of equal sets; a class whose ids are all null can't be named and links with nothing
     classes = scratch.keep(
         full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("rep is not null")
     )
