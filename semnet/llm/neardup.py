@@ -12,7 +12,8 @@ verified on the full sets.
 
 Work is arranged so that a group of copies costs as much as its members:
 
-1. documents with equal sets are one *class*;
+1. documents with equal sets are one *class*, named by a digest of the set, so
+   that repeated or null ids never stand for two classes;
 2. in each bucket of a band, every class is paired with the bucket's least
    class only (a star), and verified links give components;
 3. buckets that still hold several components are small (all pairs between
@@ -24,10 +25,11 @@ in DataFrames.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and links with nothing (n_shingles 0, its own component); a text of fewer than
-five words has one shingle, its whole sequence; repeated ids share a
-component id if their sets link, and a row is kept if its id is the
-component's least; a null id never is a component's least if another id is
-there.  Extra columns are ignored.
+five words has one shingle, its whole sequence; rows of one id with different
+texts are judged by their texts, each on its own; a row is kept if its id is
+the component's least, so repeated rows of that id are all kept; a null id
+never is a component's least if another id is there, and a component of null
+ids alone has a null component_id.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def registers(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-SKETCH = "doc_id string, n_shingles long, set_id binary, bands array<long>, sketch binary"
+SKETCH = "doc_id string, text_hash long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +130,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(r.reshape(BANDS, ROWS))])
                 sketches.append(r.tobytes())
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": n, "set_id": ids, "bands": bands, "sketch": sketches})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "bands": bands, "sketch": sketches})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,20 +203,21 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scrat
     both = dealt_join(pairs.join(side("b"), "b"), side("a"), ["a"], F.col("b"))
     both = both.where(size_ok(F.col("na"), F.col("nb"), percent))
     both = scratch.keep(both.where(_possible(percent)("sa", "sb", "na", "nb")).select("a", "b", "na", "nb"))
-    sets = sets_of(both.select(F.col("a").alias("rep")).union(both.select(F.col("b").alias("rep"))).distinct(), docs, scratch)
+    sets = sets_of(both.select(F.col("a").alias("rep")).union(both.select(F.col("b").alias("rep"))).distinct(), classes, docs, scratch)
     xa, xb = (sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"x{s}")) for s in "ab")
     full = dealt_join(both.join(xb, "b"), xa, ["a"], F.col("b"))
     inter = F.size(F.array_intersect("xa", "xb"))
     return scratch.keep(full.where(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
 
 
-def sets_of(reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, shingles): full sets of the classes in ``reps``, made again from their texts."""
-    reps = scratch.keep(reps)
+def sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, shingles): full sets of the classes in ``reps``, made again from the text of one document of each."""
+    reps = scratch.keep(reps.join(classes.select("rep", "one"), "rep"))
     if small(reps, MOST_IDS):
         reps = F.broadcast(reps)
-    mine = docs.join(reps, docs["_rid"] == reps["rep"], "inner").select("rep", "text")
-    return scratch.keep(mine.mapInPandas(_sets, "rep long, shingles array<long>"))
+    same = docs["doc_id"].eqNullSafe(reps["one.doc_id"]) & (docs["text_hash"] == reps["one.text_hash"])
+    mine = docs.join(reps, same).groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows count once
+    return scratch.keep(mine.mapInPandas(_sets, "rep binary, shingles array<long>"))
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,6 +277,7 @@ def _blocks(percent: int):
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         """Verified links of one pair of blocks of a bucket, no more than join its components."""
+        b = b.assign(comp=pd.factorize(b["comp"])[0])
         left, right = b[b["side"] == 0], b[b["side"] == 1]
         if not len(right):
             right = left
@@ -293,7 +297,7 @@ def _blocks(percent: int):
             maybe[i, ok] = reaches(x[i], y[ok], np.full(len(ok), nx[i]), ny[ok], least)
         li, ri = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
         if not len(li):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         both = common([left["shingles"].iloc[i] for i in li], [right["shingles"].iloc[i] for i in ri])
         link = maybe[np.ix_(li, ri)] & (100 * both >= percent * (nx[li][:, None] + ny[ri] - both))
         out = []
@@ -302,7 +306,7 @@ def _blocks(percent: int):
             if find(cx[i]) != find(cy[k]):
                 root[find(cx[i])] = find(cy[k])
                 out.append((min(rx[i], ry[k]), max(rx[i], ry[k])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
     return run
 
@@ -316,33 +320,33 @@ def large_buckets(members: DataFrame, sizes: DataFrame, classes: DataFrame, docs
         "band", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"),
         (F.col("blk") > F.col("other")).cast("int").alias("side"), "rep", "comp",
     )
-    sets = sets_of(mine.select("rep").distinct(), docs, scratch)
+    sets = sets_of(mine.select("rep").distinct(), classes, docs, scratch)
     rows = meets.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep").join(sets, "rep")
-    return scratch.keep(rows.groupBy("band", "key", "i", "j").applyInPandas(_blocks(percent), "a long, b long").distinct())
+    return scratch.keep(rows.groupBy("band", "key", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    mine = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     # ids pass Python as text: pandas would make floats of numbers among nulls
-    sk = mine.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch, SKETCH)
+    sk = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch, SKETCH)
     sk = scratch.keep(sk.withColumn("doc_id", F.col("doc_id").cast("long")))
-    full = sk.where("n_shingles > 0")
-    # 1. classes of equal sets; a class whose ids are all null can't be named and links with nothing
+    # 1. classes of equal sets: the least id of each, and one document to make the set from again
+    full = sk.where("n_shingles > 0").groupBy(F.col("set_id").alias("rep"))
     classes = scratch.keep(
-        full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("rep is not null")
-    )
-    # repeated ids may stand for several sets: such a class is found by its set
-    texts = mine.withColumnRenamed("doc_id", "_rid")
-    named = classes.dropDuplicates(["rep"])
+        full.agg(
+            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.max("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        )
+    )
     bands = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("band", "key", "rep")
     # 2. a star in each bucket
     heads = bands.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
     members = scratch.keep(dealt_join(bands, heads, ["band", "key"], F.col("rep")))
     pairs = members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = verify(pairs, named, texts, scratch, percent)
+    links = verify(pairs, classes, texts, scratch, percent)
     nodes = scratch.keep(members.select("rep").distinct().withColumn("comp", F.col("rep")))
     nodes = components(nodes, links, scratch)
     # 3. buckets that still hold several components
@@ -360,7 +364,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", pe
         )
     )
     rest = groups.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct()
-    more = verify(rest, named, texts, scratch, percent)
+    more = verify(rest, classes, texts, scratch, percent)
     nodes = components(nodes, more, scratch)
     big = sizes.where(F.col("n_in") > SMALL_BUCKET)
     if not big.isEmpty():
@@ -369,11 +373,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", pe
         left = scratch.keep(left.select("band", "key", "n_in"))
         if not left.isEmpty():
             members_now = live.drop("comp").join(left.select("band", "key"), ["band", "key"]).join(nodes, "rep")
-            nodes = components(nodes, large_buckets(members_now, left, named, texts, scratch, percent), scratch)
+            nodes = components(nodes, large_buckets(members_now, left, classes, texts, scratch, percent), scratch)
     # every document takes the component of its class
-    comp = classes.select("set_id", "rep").join(nodes, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
-    out = dealt_join(sk.select("doc_id", "n_shingles", "set_id"), comp, ["set_id"], F.coalesce("doc_id", F.lit(0)), "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "doc_id")))
+    named = nodes.join(classes.select("rep", "least"), "rep")
+    named = dealt_join(named, named.groupBy("comp").agg(F.min("least").alias("component_id")), ["comp"], F.col("rep")).select("rep", "component_id")
+    comp = classes.select("rep", "least").join(named, "rep", "left").select(F.col("rep").alias("set_id"), F.coalesce("component_id", "least").alias("component_id"))
+    out = dealt_join(sk.select("doc_id", "n_shingles", "set_id", "text_hash"), comp, ["set_id"], F.xxhash64("doc_id", "text_hash"), "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select(
         F.col("doc_id").alias(id_), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

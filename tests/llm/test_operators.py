@@ -54,6 +54,9 @@ def test_neardup_brute_force(spark):
         for k in np.random.default_rng(i).integers(0, 200, i % 6):
             w[k] = f"edit{i}_{k}"
         rows.append((100 + i, " ".join(w).upper() if i % 2 else " ".join(w), "a"))
+    for i, seed in ((50, 50), (50, 51), (60, 50), (70, 51), (None, 52), (None, 53)):  # one id, two texts; links of each; and without ids
+        rows.append((i, prose(seed) + f" last{i}", "a"))
+    rows += [(None, prose(52) + " other", "a"), (80, prose(53), "a")]
     got = neardup.near_duplicates(docs(spark, rows)).collect()
     sets = [neardup.shingles(t, neardup._Hashes()) if t else np.empty(0) for _, t, _ in rows]
     ids = [i for i, _, _ in rows]
@@ -64,15 +67,12 @@ def test_neardup_brute_force(spark):
                 n = len(np.intersect1d(sets[a], sets[b]))
                 if len(sets[a]) and len(sets[b]) and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
                     root[a] = root[b] = min(root[a], root[b])
-    want = {}
+    want = []
     for k, r in enumerate(root):
-        members = [ids[j] for j in range(len(rows)) if root[j] == r and ids[j] is not None]
-        if ids[k] is not None:
-            want.setdefault((ids[k], len(sets[k])), set()).add(min(members) if len(sets[k]) else ids[k])
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is not None:
-            assert r.component_id in want[r.doc_id, r.n_shingles], r
+        least = min((ids[j] for j in range(len(rows)) if root[j] == r and ids[j] is not None), default=None)
+        comp = least if len(sets[k]) else ids[k]
+        want.append((ids[k], len(sets[k]), comp, ids[k] is not None and ids[k] == comp))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_registers():
