@@ -4,7 +4,10 @@ Texts are canonicalised: symbols are dropped, letters lower-cased, and
 numbers, names (capitalised words inside a sentence) and units (after a
 number) replaced with typed placeholders.  Windows of canonical tokens are
 hashed and looked up among the benchmark's windows, so a question that was
-re-parameterised still matches.  The values in the slots must correspond one
+re-parameterised still matches.  Each window is also looked up in its plain
+form, lower-cased and without placeholders, so that a verbatim copy in other
+letter case, or after words that make a name of its first word, matches too; a
+position counts if either form hits.  The values in the slots must correspond one
 to one along an alignment; a window whose slots contradict that doesn't count.
 A document is contaminated by an item if it has at least ``COVERAGE`` of the
 item's windows.
@@ -27,6 +30,8 @@ WIDTH, LEAST = 8, 4
 COVERAGE = 0.4
 #: Benchmark windows that may be broadcast; beyond that the lookup is a shuffled join.
 MOST_WINDOWS = 2_000_000
+#: No text has more tokens.
+MOST_TOKENS = 2**31 - 1
 
 NUM, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 # fixed values: units that are recognised after a number
@@ -51,7 +56,12 @@ def canonical(mark: Column) -> Column:
     return F.regexp_replace(mark, rf"([{NUM}{NAME}{UNIT}])\S*", "$1")
 
 
-def windows(text: Column, widths: list[int]) -> Column:
+def plain(mark: Column) -> Column:
+    """The tokens themselves: what a placeholder stands for, without its mark."""
+    return F.translate(mark, f"{NUM}{NAME}{UNIT}", "")
+
+
+def windows(tokens: Column, widths: list[int]) -> Column:
     """array<struct<hash, pos, width>> of all windows of the given widths."""
 
     def of(h: Column, width: int) -> Column:
@@ -63,7 +73,7 @@ def windows(text: Column, widths: list[int]) -> Column:
         )
         return F.when(F.size(h) >= width, made).otherwise(F.array().cast("array<struct<hash:bigint,pos:int,width:int>>"))
 
-    hashes = F.transform(words(canonical(marked(text))), lambda w: F.xxhash64(w))
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
     return let(hashes, lambda h: F.concat(*(of(h, w) for w in widths)))
 
 
@@ -73,11 +83,22 @@ def slots(tokens: Column, pos: Column, width: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(hash, item, pos, width, slots, of): usable windows of all items, and how many an item has."""
-    b = benchmark.select(F.col(item).alias("item"), words(marked(F.col(text))).alias("tokens"), F.col(text).alias("t"))
-    b = b.withColumn("width", F.least(F.lit(WIDTH), F.size("tokens"))).where(F.col("width") >= LEAST)
-    b = b.withColumn("w", F.explode(F.filter(windows(F.col("t"), list(range(LEAST, WIDTH + 1))), lambda x: x["width"] == F.col("width"))))
-    b = b.select("item", "width", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"), slots(F.col("tokens"), F.col("w.pos"), F.col("width")).alias("slots"))
-    b = b.where(2 * F.size("slots") <= F.col("width")).distinct()
+    t = F.col(text)
+    b = benchmark.select(F.col(item).alias("item"), words(marked(t)).alias("read"), F.slice(words(marked(F.concat(F.lit("a "), t))), 2, MOST_TOKENS).alias("inside"))
+    b = b.withColumn("width", F.least(F.lit(WIDTH), F.size("read"))).where(F.col("width") >= LEAST)
+    # the first word of an item may be a name where the item stands inside a sentence
+    b = b.select("item", "width", F.explode(F.array("read", "inside")).alias("tokens"))
+
+    def form(of) -> Column:
+        made = windows(F.transform("tokens", of), list(range(LEAST, WIDTH + 1)))
+        return F.transform(made, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), x["width"].alias("width"), F.lit(of is plain).alias("plain")))
+
+    forms = F.concat(form(canonical), form(plain))
+    b = b.withColumn("w", F.explode(F.filter(forms, lambda x: x["width"] == F.col("width"))))
+    b = b.select("item", "width", "w.hash", "w.pos", "w.plain", slots(F.col("tokens"), F.col("w.pos"), F.col("width")).alias("slots"))
+    b = b.where(2 * F.size("slots") <= F.col("width"))
+    # the plain form has no slots: its values are those of the item
+    b = b.select("item", "width", "hash", "pos", F.when(F.col("plain"), F.array().cast("array<string>")).otherwise(F.col("slots")).alias("slots")).distinct()
     of = b.groupBy("item").agg(F.count_distinct("pos").alias("of"))
     return b.join(of, "item")
 
@@ -91,12 +112,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str
     none = "doc long, text_hash long, item long, windows long, of long"
     if not widths:
         return docs.sparkSession.createDataFrame([], none)
-    rows = mine.select("doc", "text_hash", F.explode(windows(F.col("t"), widths)).alias("w"))
-    rows = rows.select("doc", "text_hash", F.col("w.hash").alias("hash"), F.col("w.pos").alias("at"))
+    # a text without placeholders is its own plain form
+    unmarked = lambda m: F.when(m.rlike(f"[{NUM}{NAME}{UNIT}]"), words(plain(m))).otherwise(F.array().cast("array<string>"))
+    both = let(marked(F.col("t")), lambda m: F.arrays_zip(windows(words(canonical(m)), widths).alias("c"), windows(unmarked(m), widths).alias("p")))
+    rows = mine.select("doc", "text_hash", F.explode(both).alias("w"))
+    either = F.when(F.col("w.c.hash") != F.col("w.p.hash"), F.array("w.c.hash", "w.p.hash")).otherwise(F.array("w.c.hash"))
+    rows = rows.select("doc", "text_hash", F.explode(either).alias("hash"), F.col("w.c.pos").alias("at"))
     known = scratch.keep(bench.select("hash").distinct())
     hits = scratch.keep(rows.join(lookup_side(known, MOST_WINDOWS), "hash", "left_semi"))
     found = hits.join(bench, "hash")
-    plain = found.where(F.size("slots") == 0).select("doc", "text_hash", "item", "pos", "of")
+    matched = found.where(F.size("slots") == 0).select("doc", "text_hash", "item", "pos", "of")
     typed = scratch.keep(found.where(F.size("slots") > 0))
     if not typed.isEmpty():  # the values come from a second look at the documents concerned
         keys = scratch.keep(typed.select("doc", "text_hash").distinct())
@@ -113,8 +138,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str
         same = F.lit(True)
         for c in along:
             same = same & typed[c].eqNullSafe(good[f"_{c}"])
-        plain = plain.union(typed.join(good, same, "left_semi").select("doc", "text_hash", "item", "pos", "of"))
-    return plain.groupBy("doc", "text_hash", "item").agg(F.count_distinct("pos").alias("windows"), F.max("of").alias("of"))
+        matched = matched.union(typed.join(good, same, "left_semi").select("doc", "text_hash", "item", "pos", "of"))
+    return matched.groupBy("doc", "text_hash", "item").agg(F.count_distinct("pos").alias("windows"), F.max("of").alias("of"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:

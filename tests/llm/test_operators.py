@@ -129,6 +129,16 @@ def test_decontam(spark):
     assert decontam.decontaminate(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontam_letter_case(spark):
+    item = "we know Tom has 3 apples and Tom gives 3 apples to Jack who lives 5 km away from the old town"
+    short = "What is 12 times 7 then"
+    bench = spark.createDataFrame([(7, item), (8, short)], "item_id long, text string")
+    rows = [(1, item.upper(), "a"), (2, item.lower(), "a"), (3, f"{prose(1)} {item.upper()} {prose(2)}", "a"), (4, prose(3), "a")]
+    rows += [(5, f"Question: {short}?", "a"), (6, "Question: What is 30 times 4 then?", "a"), (7, f"so {short.upper()}", "a"), (8, "what is 9 times 5 then", "a"), (9, "What is 12 over 7 then", "a")]
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {1: "7", 2: "7", 3: "7", 4: None, 5: "8", 6: "8", 7: "8", 8: "8", 9: None}
+
+
 def test_urls(spark):
     u = ["http://a.example.com/en/70", "http://b.com/en/1", "http://x.net/de/1", "http://example.net/de/88", "http://notorg/es/1", "HTTP://WWW.Q.ORG/es/?x", None, "nothing", "http://z.io/p/#f", "http://z.io/p", "http://z.io/q"]
     pages = spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
