@@ -15,10 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id; of repeated rows of it, one."""
-    keep = neardup.near_duplicates(docs).where("kept or doc_id is null").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(keep["doc_id"])
-    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates (similarity 0.80): the one with the least id; of repeated rows of it, one."""
+    return neardup.deduplicate(docs, percent=80, rows=neardup.ROWS_80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,8 @@ PERCENT = 85
 #: Bands of ROWS registers each. A pair at 0.85 shares no band with probability (1 - 0.85**5)**24 = 8e-7.
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
+#: Rows of a band at 0.80: with 30 bands of 4 of the same registers a pair there shares none with probability (1 - 0.8**4)**30 = 1.4e-7.
+ROWS_80 = 4
 #: SetSketch parameters: base of the register scale, rate, and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: An estimate this many standard errors below the threshold ends a candidate.
@@ -118,19 +120,22 @@ def registers(s: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id string, text_hash long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo = _Hashes()
-    for b in batches:
-        n, ids, bands, sketches = [], [], [], []
-        with np.errstate(over="ignore"):
-            for t in b["text"]:
-                s = shingles(t, memo)
-                r = registers(s)
-                n.append(len(s))
-                ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(r.reshape(BANDS, ROWS))])
-                sketches.append(r.tobytes())
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "bands": bands, "sketch": sketches})
+def _sketch(rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _Hashes()
+        for b in batches:
+            n, ids, bands, sketches = [], [], [], []
+            with np.errstate(over="ignore"):
+                for t in b["text"]:
+                    s = shingles(t, memo)
+                    r = registers(s)
+                    n.append(len(s))
+                    ids.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    bands.append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(r.reshape(-1, rows))])
+                    sketches.append(r.tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "bands": bands, "sketch": sketches})
+
+    return run
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,13 +330,13 @@ def large_buckets(members: DataFrame, sizes: DataFrame, classes: DataFrame, docs
     return scratch.keep(rows.groupBy("band", "key", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary").distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+def linked(docs: DataFrame, text: str, id_: str, percent: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sketches, their classes, and the component (rep, comp) of every class that shares a band."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     # ids pass Python as text: pandas would make floats of numbers among nulls
-    sk = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch, SKETCH)
+    sk = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch(rows), SKETCH)
     sk = scratch.keep(sk.withColumn("doc_id", F.col("doc_id").cast("long")))
     # 1. classes of equal sets: the least id of each, and one document to make the set from again
     full = sk.where("n_shingles > 0").groupBy(F.col("set_id").alias("rep"))
@@ -374,6 +379,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", pe
         if not left.isEmpty():
             members_now = live.drop("comp").join(left.select("band", "key"), ["band", "key"]).join(nodes, "rep")
             nodes = components(nodes, large_buckets(members_now, left, classes, texts, scratch, percent), scratch)
+    return sk, classes, nodes
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept."""
+    sk, classes, nodes = linked(docs, text, id_, percent, rows)
     # every document takes the component of its class
     named = nodes.join(classes.select("rep", "least"), "rep")
     named = dealt_join(named, named.groupBy("comp").agg(F.min("least").alias("component_id")), ["comp"], F.col("rep")).select("rep", "component_id")
@@ -383,3 +394,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", pe
     return out.select(
         F.col("doc_id").alias(id_), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
+
+
+def deduplicate(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """One document of each component, chosen by class: the least id, null last; of one id the least text hash.
+
+    Rows without words are components of their own; of rows equal in id and text one stays.
+    """
+    sk, _, nodes = linked(docs, text, id_, percent, rows)
+    mine = dealt_join(sk.select("doc_id", "text_hash", "n_shingles", "set_id"), nodes.withColumnRenamed("rep", "set_id"), ["set_id"], F.xxhash64("doc_id", "text_hash"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("k")
+    keep = mine.where("n_shingles > 0").groupBy(F.coalesce("comp", "set_id").alias("comp")).agg(first).select("k.doc_id", "k.text_hash")
+    keep = keep.union(mine.where("n_shingles = 0").select("doc_id", "text_hash")).select(F.col("doc_id").alias("_nd_doc"), F.col("text_hash").alias("_nd_hash"))
+    same = F.col(id_).cast("long").eqNullSafe(F.col("_nd_doc")) & (F.xxhash64(F.col(text)) == F.col("_nd_hash"))
+    return docs.join(keep, same, "left_semi").dropDuplicates([id_, text])

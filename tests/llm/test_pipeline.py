@@ -68,3 +68,22 @@ def test_stages_keep_columns(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns, name
             assert out.count() <= docs.count()
+
+
+def test_near_dedup_at_80_and_without_ids(spark, tmp_path):
+    """Pairs from 0.80 to 0.85 go, and rows with null or repeated ids are deduplicated by their texts."""
+    base = {k: prose(900 + k) for k in range(8)}
+    edited = {k: " ".join([*t.split()[:-k], *(f"new{k}{i}" for i in range(k))]) for k, t in base.items() if k}
+    edited[0] = base[0] + " other"
+    near = {k: len(shingles(base[k]) & shingles(t)) / len(shingles(base[k]) | shingles(t)) for k, t in edited.items()}
+    middle = prose(950).split()
+    middle = " ".join([*middle[:57], "changed", "words", *middle[59:80], "here", *middle[81:]])
+    share = len(shingles(prose(950)) & shingles(middle)) / len(shingles(prose(950)) | shingles(middle))
+    assert min(near.values()) >= 0.85 and 0.80 <= share < 0.85
+    rows = [(None if k < 4 else 10, t) for k, t in base.items()] + [(None if k < 4 else 10, t) for k, t in edited.items()]
+    rows += [(20, prose(950)), (21, middle), (30, prose(960)), (31, prose(961)), (31, prose(960) + " last"), (None, ""), (40, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    whole = [{base[k], edited[k]} for k in range(8)]
+    assert all(sum(t in pair for _, t in got) == 1 for pair in whole)
+    assert sorted((r for r in got if not any(r[1] in pair for pair in whole)), key=str) == sorted([(20, prose(950)), (30, prose(960)), (31, prose(961)), (None, ""), (40, None)], key=str)
