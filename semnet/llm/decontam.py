@@ -8,26 +8,32 @@ re-parameterised still matches.  Each window is also looked up in its plain
 form, lower-cased and without placeholders, so that a verbatim copy in other
 letter case, or after words that make a name of its first word, matches too; a
 position counts if either form hits.  The values in the slots must correspond one
-to one along an alignment; a window whose slots contradict that doesn't count.
-A document is contaminated by an item if it has at least ``COVERAGE`` of the
-item's windows.
+to one along an alignment: of slot pairs that contradict each other the most
+frequent one holds (the first of equally frequent ones), and a window with
+another doesn't count.  A document is contaminated by an item if it has at least
+``COVERAGE`` of the item's windows (excerpts: or ``RUN`` consecutive tokens of
+it along one alignment; edited copies: or ``SPREAD`` of its tokens inside
+matched windows).
 
 Defined results: null and empty texts have no windows and aren't contaminated;
 an item of fewer than ``WIDTH`` tokens is one window of its own length, one of
-fewer than ``LEAST`` tokens never matches; windows with fewer than half their
-tokens literal are too general and aren't used; repeated rows get a row each;
+fewer than ``LEAST`` tokens matches a document of just these tokens; windows with
+fewer than half their tokens literal are too general and match in plain form
+only, and count for ``COVERAGE`` where an item has no others; repeated rows get a row each;
 repeated items count as one item each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch, let, lookup_side, words
 
 WIDTH, LEAST = 8, 4
 COVERAGE = 0.4
+#: Consecutive tokens of an item, and share of its tokens, that are a match by themselves.
+RUN, SPREAD = 13, 2 / 3
 #: Benchmark windows that may be broadcast; beyond that the lookup is a shuffled join.
 MOST_WINDOWS = 2_000_000
 #: No text has more tokens.
@@ -78,50 +84,66 @@ def windows(tokens: Column, widths: list[int]) -> Column:
 
 
 def slots(tokens: Column, pos: Column, width: Column) -> Column:
-    return F.filter(F.slice(tokens, pos + 1, width), lambda x: x.rlike(f"^[{NUM}{NAME}{UNIT}]"))
+    """array<struct<at, value>>: the placeholders of a window, by place in the text."""
+    placed = F.transform(F.slice(tokens, pos + 1, width), lambda x, i: F.struct((pos + i).alias("at"), x.alias("value")))
+    return F.filter(placed, lambda x: x["value"].rlike(f"^[{NUM}{NAME}{UNIT}]"))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(hash, item, pos, width, slots, of): usable windows of all items, and how many an item has."""
+    """(hash, item, pos, width, slots, counted, of, size): windows of all items; how many of an item are counted, and its tokens."""
     t = F.col(text)
     b = benchmark.select(F.col(item).alias("item"), words(marked(t)).alias("read"), F.slice(words(marked(F.concat(F.lit("a "), t))), 2, MOST_TOKENS).alias("inside"))
-    b = b.withColumn("width", F.least(F.lit(WIDTH), F.size("read"))).where(F.col("width") >= LEAST)
+    b = b.withColumn("width", F.least(F.lit(WIDTH), F.size("read"))).where("width > 0")
     # the first word of an item may be a name where the item stands inside a sentence
-    b = b.select("item", "width", F.explode(F.array("read", "inside")).alias("tokens"))
+    b = b.select("item", "width", F.size("read").alias("size"), F.explode(F.array("read", "inside")).alias("tokens"))
 
     def form(of) -> Column:
-        made = windows(F.transform("tokens", of), list(range(LEAST, WIDTH + 1)))
+        made = windows(F.transform("tokens", of), list(range(1, WIDTH + 1)))
         return F.transform(made, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), x["width"].alias("width"), F.lit(of is plain).alias("plain")))
 
     forms = F.concat(form(canonical), form(plain))
     b = b.withColumn("w", F.explode(F.filter(forms, lambda x: x["width"] == F.col("width"))))
-    b = b.select("item", "width", "w.hash", "w.pos", "w.plain", slots(F.col("tokens"), F.col("w.pos"), F.col("width")).alias("slots"))
-    b = b.where(2 * F.size("slots") <= F.col("width"))
+    b = b.select("item", "size", "width", "w.hash", "w.pos", "w.plain", slots(F.col("tokens"), F.col("w.pos"), F.col("width")).alias("slots"))
+    usable = (2 * F.size("slots") <= F.col("width")) & (F.col("width") >= LEAST)
+    b = b.where(F.col("plain") | usable)
+    one = Window.partitionBy("item", "pos")
+    b = b.withColumn("usable", F.max(usable).over(one)).withColumn("any", F.max("usable").over(Window.partitionBy("item")))
     # the plain form has no slots: its values are those of the item
-    b = b.select("item", "width", "hash", "pos", F.when(F.col("plain"), F.array().cast("array<string>")).otherwise(F.col("slots")).alias("slots")).distinct()
-    of = b.groupBy("item").agg(F.count_distinct("pos").alias("of"))
+    empty = F.array().cast("array<struct<at:int,value:string>>")
+    b = b.select("item", "size", "width", "hash", "pos", F.when(F.col("plain"), empty).otherwise(F.col("slots")).alias("slots"), (F.col("usable") | ~F.col("any")).alias("counted")).distinct()
+    of = b.where("counted").groupBy("item").agg(F.count_distinct("pos").alias("of"))
     return b.join(of, "item")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(doc, text_hash, item, windows, of): consistent windows of an item that a document has."""
+    """(doc, text_hash, item, windows, of, run, share): consistent windows of an item that a document has, its longest run and share of tokens."""
     scratch = Scratch(docs.sparkSession, "decontam")
     bench = scratch.keep(benchmark_windows(benchmark))
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # LEAST..WIDTH: a few integers
     mine = docs.select(F.col(id_).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t"))
-    none = "doc long, text_hash long, item long, windows long, of long"
+    none = "doc long, text_hash long, item long, windows long, of long, run int, share double"
     if not widths:
         return docs.sparkSession.createDataFrame([], none)
     # a text without placeholders is its own plain form
     unmarked = lambda m: F.when(m.rlike(f"[{NUM}{NAME}{UNIT}]"), words(plain(m))).otherwise(F.array().cast("array<string>"))
-    both = let(marked(F.col("t")), lambda m: F.arrays_zip(windows(words(canonical(m)), widths).alias("c"), windows(unmarked(m), widths).alias("p")))
+    tiny, widths = [w for w in widths if w < LEAST], [w for w in widths if w >= LEAST]
+
+    def looked_up(tokens: Column) -> Column:
+        made = windows(tokens, widths) if widths else F.array().cast("array<struct<hash:bigint,pos:int,width:int>>")
+        # an item of a few tokens: the whole text only
+        return let(tokens, lambda w: F.when(F.size(w).isin(tiny), F.filter(windows(w, tiny), lambda x: x["width"] == F.size(w))).otherwise(made)) if tiny else made
+
+    both = let(marked(F.col("t")), lambda m: F.arrays_zip(looked_up(words(canonical(m))).alias("c"), looked_up(unmarked(m)).alias("p")))
     rows = mine.select("doc", "text_hash", F.explode(both).alias("w"))
     either = F.when(F.col("w.c.hash") != F.col("w.p.hash"), F.array("w.c.hash", "w.p.hash")).otherwise(F.array("w.c.hash"))
     rows = rows.select("doc", "text_hash", F.explode(either).alias("hash"), F.col("w.c.pos").alias("at"))
     known = scratch.keep(bench.select("hash").distinct())
     hits = scratch.keep(rows.join(lookup_side(known, MOST_WINDOWS), "hash", "left_semi"))
     found = hits.join(bench, "hash")
-    matched = found.where(F.size("slots") == 0).select("doc", "text_hash", "item", "pos", "of")
+    about = ["pos", "width", "counted", "of", "size"]
+    along = ["doc", "text_hash", "item", "shift"]
+    found = found.withColumn("shift", F.col("at") - F.col("pos"))
+    matched = found.where(F.size("slots") == 0).select(*along, *about)
     typed = scratch.keep(found.where(F.size("slots") > 0))
     if not typed.isEmpty():  # the values come from a second look at the documents concerned
         keys = scratch.keep(typed.select("doc", "text_hash").distinct())
@@ -129,22 +151,48 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str
         toks = mine.join(k, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
         toks = toks.dropDuplicates(["doc", "text_hash"]).select(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), words(marked(F.col("t"))).alias("tokens"))
         typed = typed.join(toks, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
-        typed = typed.select("doc", "text_hash", "item", "pos", "of", (F.col("at") - F.col("pos")).alias("shift"), F.arrays_zip(F.col("slots").alias("b"), slots(F.col("tokens"), F.col("at"), F.col("width")).alias("d")).alias("z"))
-        along = ["doc", "text_hash", "item", "shift"]
-        pairs = typed.select(*along, F.explode("z").alias("z")).groupBy(*along).agg(
-            F.count_distinct("z").alias("p"), F.count_distinct("z.b").alias("pb"), F.count_distinct("z.d").alias("pd")
-        )
-        good = pairs.where("p = pb and p = pd").select(*(F.col(c).alias(f"_{c}") for c in along))
-        same = F.lit(True)
-        for c in along:
-            same = same & typed[c].eqNullSafe(good[f"_{c}"])
-        matched = matched.union(typed.join(good, same, "left_semi").select("doc", "text_hash", "item", "pos", "of"))
-    return matched.groupBy("doc", "text_hash", "item").agg(F.count_distinct("pos").alias("windows"), F.max("of").alias("of"))
+        z = F.zip_with("slots", slots(F.col("tokens"), F.col("at"), F.col("width")), lambda b, d: F.struct(b["at"].alias("i"), b["value"].alias("b"), d["value"].alias("d")))
+        typed = scratch.keep(typed.select(*along, *about, z.alias("z")))
+        pairs = typed.select(*along, "pos", F.explode("z").alias("z")).select(*along, "pos", "z.*")
+        times = pairs.groupBy(*along, "b", "d").agg(F.count_distinct("i").alias("n"), F.min("i").alias("first"))
+        best = [F.row_number().over(Window.partitionBy(*along, x).orderBy(F.desc("n"), "first")) for x in "bd"]
+        wrong = times.select(*along, "b", "d", F.greatest(*best).alias("rank")).where("rank > 1").drop("rank")
+        typed = _without(typed, _semi(pairs, wrong, [*along, "b", "d"]).select(*along, "pos").distinct(), [*along, "pos"])
+        matched = matched.union(typed.select(*along, *about))
+    matched = scratch.keep(matched.distinct())
+    doc = ["doc", "text_hash", "item"]
+    places = matched.select(*along, "pos", "width").distinct()
+    runs = places.withColumn("start", F.col("pos") - F.row_number().over(Window.partitionBy(*along).orderBy("pos")))
+    runs = runs.groupBy(*along, "start").agg((F.count("*") + F.max("width") - 1).cast("int").alias("run"))
+    runs = runs.groupBy(*doc).agg(F.max("run").alias("run"))
+    once = matched.select(*doc, *about).distinct()
+    after = F.lead("pos").over(Window.partitionBy(*doc).orderBy("pos"))
+    once = once.withColumn("new", F.least("width", F.coalesce(after - F.col("pos"), F.col("width"))))
+    out = once.groupBy(*doc).agg(F.count_if("counted").alias("windows"), F.max("of").alias("of"), (F.sum("new") / F.max("size")).alias("share"))
+    return _joined(out, runs, doc, "inner").select(*doc, "windows", "of", "run", "share")
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on keys that may be null."""
+    right = right.select(*(F.col(c).alias(f"_r_{c}") for c in on), *(c for c in right.columns if c not in on))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(right, same, how)
+
+
+def _semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    return _joined(left, right.select(*on), on, "left_semi")
+
+
+def _without(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    return _joined(left, right.select(*on), on, "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
     """All documents with n_items, items (ids in order, comma-joined) and contaminated."""
-    m = matches(docs, benchmark, text, id_).where(F.col("windows") >= coverage * F.col("of"))
+    m = matches(docs, benchmark, text, id_)
+    m = m.where((F.col("windows") >= coverage * F.col("of")) | (F.col("run") >= RUN) | (F.col("share") >= SPREAD))
     # items per document: bounded by the benchmark passages that fit into its text
     m = m.groupBy("doc", "text_hash").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("item")), lambda x: x.cast("string"))).alias("items"))
     m = m.select(F.col("doc").alias("_dc_doc"), F.col("text_hash").alias("_dc_hash"), "n_items", "items")

@@ -139,6 +139,18 @@ def test_decontam_letter_case(spark):
     assert got == {1: "7", 2: "7", 3: "7", 4: None, 5: "8", 6: "8", 7: "8", 8: "8", 9: None}
 
 
+def test_decontam_excerpts_edits_and_short_items(spark):
+    long, mid = prose(71, 59), prose(72, 38)
+    edited = [f"edit{k}" if k in (9, 19, 28) else w for k, w in enumerate(mid.split())]
+    slotted = "so Tom met Ann and Tom met Ann and then all of them went on to a very small town by the old mill"
+    one_off = slotted.replace("Tom met Ann and then", "Bob met Ann and then")
+    bench = spark.createDataFrame([(1, long), (2, mid), (3, "What is 12 + 7 - 5?"), (4, "Say yes"), (5, slotted)], "item_id long, text string")
+    rows = [(1, f"{prose(73)} {' '.join(long.split()[10:30])} {prose(74)}", "a"), (2, f"{prose(75)} {' '.join(edited)} {prose(76)}", "a"), (3, "so: what is 12 + 7 - 5?", "a"), (4, "What is 13 + 8 - 6?", "a")]
+    rows += [(5, "say YES!", "a"), (6, "they say yes", "a"), (7, " ".join(long.split()[10:22]), "a"), (8, one_off.replace("Ann", "Eve"), "a"), (None, mid, "a")]
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {1: "1", 2: "2", 3: "3", 4: None, 5: "4", 6: None, 7: None, 8: "5", None: "2"}
+
+
 def test_urls(spark):
     u = ["http://a.example.com/en/70", "http://b.com/en/1", "http://x.net/de/1", "http://example.net/de/88", "http://notorg/es/1", "HTTP://WWW.Q.ORG/es/?x", None, "nothing", "http://z.io/p/#f", "http://z.io/p", "http://z.io/q"]
     pages = spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
