@@ -408,3 +408,11 @@ def deduplicate(docs: DataFrame, text: str = "text", id_: str = "doc_id", percen
     keep = keep.union(mine.where("n_shingles = 0").select("doc_id", "text_hash")).select(F.col("doc_id").alias("_nd_doc"), F.col("text_hash").alias("_nd_hash"))
     same = F.col(id_).cast("long").eqNullSafe(F.col("_nd_doc")) & (F.xxhash64(F.col(text)) == F.col("_nd_hash"))
     return docs.join(keep, same, "left_semi").dropDuplicates([id_, text])
+
+
+def clusters(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """(doc_id, text_hash, cluster): the component of every distinct row that has words, by class, so null and repeated ids keep theirs."""
+    sk, _, nodes = linked(docs, text, id_, percent, rows)
+    mine = sk.where("n_shingles > 0").select("doc_id", "text_hash", "set_id").distinct()
+    mine = dealt_join(mine, nodes.withColumnRenamed("rep", "set_id"), ["set_id"], F.xxhash64("doc_id", "text_hash"), "left")
+    return mine.select("doc_id", "text_hash", F.xxhash64(F.coalesce("comp", "set_id")).alias("cluster"))

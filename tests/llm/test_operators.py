@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semnet.llm import chat, decontam, langid, lines, neardup, packing, pii, quality_fm, urls, warc
+from semnet.llm import chat, decontam, langid, lines, neardup, packing, pii, quality_fm, queries, urls, warc
 from semnet.llm.base import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -233,6 +233,15 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_near_copies(spark, tmp_path):
+    pairs = [(prose(800 + k), prose(800 + k) + " edited") for k in range(6)]
+    rows = [(None if k == 0 else k, a, "a") for k, (a, _) in enumerate(pairs)] + [(None if k == 0 else 20, b, "b") for k, (_, b) in enumerate(pairs)]
+    docs(spark, [*rows, (40, None, "a"), (41, "", "b")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and len({r.cluster for r in got}) == len(pairs)
+    assert len({(r.bin_id, r.cluster) for r in got}) == len(got)  # no bin has two near copies
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
