@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Whitespace that separates words, as a Java pattern.
@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one where the session names none (tests)."""
+    """The shared folder. Where the session names none, a temporary one on a single machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="semnet-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,11 +56,17 @@ class Scratch:
         self.n += 1
         return f"{self.root}/t{self.n}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as read back: the lineage ends here."""
-        at = self.path()
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+    def keep(self, df: DataFrame, flag: str | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back: the lineage ends here.
+
+        ``n_rows`` of the result is its row count, ``n_flagged`` the rows in
+        which the column ``flag`` is true; both are counted as they are written.
+        """
+        at, seen = self.path(), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag) if flag else F.lit(False)).alias("k")).write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out.n_rows, out.n_flagged = seen.get.get("n", 0), seen.get.get("k", 0)
+        return out
 
     def clear(self) -> None:
         try:
@@ -84,14 +93,25 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
-def small(df: DataFrame, most: int) -> bool:
-    """Whether a written table has at most ``most`` rows: the check before a broadcast."""
-    return df.limit(most + 1).count() <= most
+#: Rows that may be broadcast, and the most bytes that one of them may have: 32 MB at most.
+MOST_ROWS, ROW_BYTES = 200_000, 160
+
+
+def lookup_side(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """Broadcast a kept table of at most ``most`` rows of fixed width; beyond that, leave the join to be shuffled."""
+    return F.broadcast(df) if df.n_rows <= most else df
 
 
-def lookup_side(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast a written table of checked size; beyond that, leave the join to be shuffled."""
-    return F.broadcast(df) if small(df, most) else df
+def bounded_side(df: DataFrame, most_bytes: int = MOST_ROWS * ROW_BYTES) -> DataFrame:
+    """Broadcast a kept table of strings, arrays and integers if all its values have at most ``most_bytes`` together."""
+    if df.n_rows > most_bytes // 16:
+        return df
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        one = F.octet_length(F.col(f.name)) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(f.name))) if kind in ("array", "struct", "map") else F.lit(8)
+        width = width + F.coalesce(one, F.lit(0)) + 16
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", salts: int = 32) -> DataFrame:
@@ -113,12 +133,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, ho
     return left.join(right, same, how).drop("_salt", "_rsalt", *(f"_r_{c}" for c in on))
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: Column, how: str = "inner", salts: int = 32, rows: int | None = None) -> DataFrame:
     """Equi-join on non-null keys in which a hot key of ``left`` is dealt over ``salts`` tasks.
 
     Unlike ``salted_join`` it doesn't repeat ``right`` (one row per key), but
-    sends a key's row only to the salts at which ``left`` has that key.
+    sends a key's row only to the salts at which ``left`` has that key.  Where
+    ``right`` is known to have at most MOST_ROWS rows it is broadcast instead.
     """
+    if rows is not None and rows <= MOST_ROWS:
+        return left.join(F.broadcast(right), on, how)
     left = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     there = left.select(*on, "_salt").distinct().join(right, on)
     return left.join(there, [*on, "_salt"], how).drop("_salt")

@@ -2,26 +2,31 @@
 
 A document's set is its distinct 5-word shingles.  A sketch has ``M``
 registers: register i is the truncated logarithm (base ``BASE``) of the least
-of the set's exponentially distributed hashes, so sketches of unions are
-element-wise maxima, and two registers are equal with a probability close to
-the Jaccard similarity.  Registers are banded; equal bands make candidates.
-The similarity of a candidate pair is estimated by maximum likelihood from
-the registers that are larger, smaller and equal and from the exact set
-sizes, and pairs that can't reach the threshold are dropped; the rest is
-verified on the full sets.
+of the set's exponentially distributed hashes.  Each element has one point in
+each of M exponentially spaced intervals, in a register of its own that a
+permutation of the element names; intervals are filled in ascending order until
+no later one can lower a register, so a long text costs a few points a shingle
+and not M.  Sketches of unions are element-wise maxima, and two registers are
+equal with a probability close to the Jaccard similarity.  Registers are
+banded; equal bands make candidates.  The similarity of a candidate pair is
+estimated by maximum likelihood from the registers that are larger, smaller and
+equal and from the exact set sizes, and pairs that can't reach the threshold
+are dropped; the rest is verified on the full sets.
 
 Work is arranged so that a group of copies costs as much as its members:
 
 1. documents with equal sets are one *class*, named by a digest of the set, so
    that repeated or null ids never stand for two classes;
-2. in each bucket of a band, every class is paired with the bucket's least
-   class only (a star), and verified links give components;
-3. buckets that still hold several components are small (all pairs between
-   components are verified) or large (verified block against block inside
-   the executors, which return a spanning forest).  No cap drops a pair.
+2. in each bucket of the first ``STAR`` bands, every class is paired with the
+   bucket's least class only (a star), and verified links give components;
+3. of all bands, only the buckets that hold several components go on: small
+   ones by all pairs between components, large ones by another star;
+4. buckets that are large and still hold several components are finished by a
+   prefix join: sets that reach the threshold share one of the rarest shingles
+   of each (exact for any order of the shingles).  No cap drops a pair.
 
 Components are found by hooking to the least neighbour and pointer jumping,
-in DataFrames.
+in DataFrames, on the graph of what is still to be joined.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and links with nothing (n_shingles 0, its own component); a text of fewer than
@@ -43,35 +48,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, dealt_join, small
+from .base import MOST_ROWS, Scratch, dealt_join, lookup_side, salted_join
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Bands of ROWS registers each. A pair at 0.85 shares no band with probability (1 - 0.85**5)**24 = 8e-7.
-BANDS, ROWS = 24, 5
-M = BANDS * ROWS
-#: Rows of a band at 0.80: with 30 bands of 4 of the same registers a pair there shares none with probability (1 - 0.8**4)**30 = 1.4e-7.
-ROWS_80 = 4
+#: Registers; a prime, so that a step and an offset name a permutation of them.
+M = 127
+#: Registers of a band: 25 bands at 0.85, of which a pair at the threshold shares none with probability (1 - 0.85**5)**25 = 4e-7,
+#: and 31 at 0.80, where it is (1 - 0.8**4)**31 = 1e-7.
+ROWS, ROWS_80 = 5, 4
+#: Bands of the first star.
+STAR = 8
 #: SetSketch parameters: base of the register scale, rate, and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: An estimate this many standard errors below the threshold ends a candidate.
 SIGMAS = 6.0
-#: Buckets of up to this many classes are finished by pairs; larger ones block by block.
-SMALL_BUCKET, BLOCK = 24, 256
-#: Ids of candidates that may be broadcast to pick their texts.
-MOST_IDS = 500_000
+#: Groups of up to this many classes are finished by pairs; larger ones block by block.
+SMALL_GROUP, BLOCK = 24, 256
+#: Classes of more documents than this are joined on their own.
+HOT = 4000
+#: Sketches that may be broadcast (about 350 bytes each), and shingles whose order is broadcast as an array (8 bytes each).
+MOST_SKETCHES, MOST_COMMON = 40_000, 500_000
 
 MASK = (1 << 64) - 1
 
 
-def _odd(n: int, seed: int) -> np.ndarray:
-    r = np.random.default_rng(seed)
-    return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-MULS, XORS = _odd(M, 11), _odd(M, 12)
 POLY = np.uint64(0x9E3779B97F4A7C15)
+#: STEP[a, j]: the register of an element's point j, before its offset.
+STEPS = (np.arange(1, M, dtype=np.int64)[:, None] * np.arange(M) % M).astype(np.int16)
+FRACTION = 48
 
 
 class _Hashes(dict):
@@ -110,32 +116,42 @@ def registers(s: np.ndarray) -> np.ndarray:
     if not len(s):
         return np.zeros(M, np.uint16)
     low = np.full(M, np.uint64(MASK))
-    for k in range(0, len(s), 2048):
-        np.minimum(low, ((s[k : k + 2048, None] ^ XORS) * MULS).min(axis=0), out=low)
-    u = (low.astype(np.float64) + 0.5) / 2.0**64
-    h = -np.log1p(-u) / RATE
+    where = mix(s ^ POLY)
+    first = (((where & np.uint64(0xFFFFFFFF)) * np.uint64(M - 1)) >> np.uint64(32)).astype(np.int64)
+    offset = (((where >> np.uint64(32)) * np.uint64(M)) >> np.uint64(32)).astype(np.int16)
+    done, width = 0, max(1, math.ceil(1.2 * M * math.log(M) / len(s)))
+    while done < M:
+        width = min(width, M - done)
+        for at in range(0, len(s), 1 << 16):  # bounded memory for very long texts
+            part = slice(at, at + (1 << 16))
+            j = np.arange(done, done + width, dtype=np.uint64)
+            to = STEPS[first[part], done : done + width] + offset[part, None]
+            to -= np.int16(M) * (to >= M)
+            point = mix(s[part, None] + (j + np.uint64(1)) * POLY) >> np.uint64(64 - FRACTION) | j << np.uint64(FRACTION)
+            np.minimum.at(low, to.ravel(), point.ravel())
+        done += width
+        if int(low.max()) < done << FRACTION:  # no later interval can lower a register
+            break
+        width *= 2
+    u = (low.astype(np.float64) + 0.5) / 2.0**FRACTION / M
+    h = -np.log1p(-np.minimum(u, 1 - 1e-16)) / RATE
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-SKETCH = "doc_id string, text_hash long, n_shingles long, set_id binary, bands array<long>, sketch binary"
-
+SKETCH = "doc_id string, text_hash long, n_shingles long, set_id binary, sketch binary"
 
-def _sketch(rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Hashes()
-        for b in batches:
-            n, ids, bands, sketches = [], [], [], []
-            with np.errstate(over="ignore"):
-                for t in b["text"]:
-                    s = shingles(t, memo)
-                    r = registers(s)
-                    n.append(len(s))
-                    ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    bands.append([xxhash.xxh3_64_intdigest(x.tobytes(), seed=i) - (1 << 63) for i, x in enumerate(r.reshape(-1, rows))])
-                    sketches.append(r.tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "bands": bands, "sketch": sketches})
 
-    return run
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo = _Hashes()
+    for b in batches:
+        n, ids, sketches = [], [], []
+        with np.errstate(over="ignore"):
+            for t in b["text"]:
+                s = shingles(t, memo)
+                n.append(len(s))
+                ids.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sketches.append(registers(s).tobytes())
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "sketch": sketches})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,61 +217,79 @@ def size_ok(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: size, then estimate, then the full sets."""
-    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    # a may be the least class of many buckets
-    both = dealt_join(pairs.join(side("b"), "b"), side("a"), ["a"], F.col("b"))
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link: size, then estimate, then the full sets. ``pairs`` is a kept table."""
+    if not pairs.n_rows:
+        return pairs
+    mine = scratch.keep(_ends(pairs))
+    mine = scratch.keep(classes.join(lookup_side(mine), "rep", "left_semi").select("rep", "one", "n_shingles", "sketch"))
+    side = lambda s: mine.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    if mine.n_rows <= MOST_SKETCHES:
+        both = pairs.join(F.broadcast(side("b")), "b").join(F.broadcast(side("a")), "a")
+    else:  # a may be the least class of many buckets
+        both = dealt_join(pairs.join(side("b"), "b"), side("a"), ["a"], F.col("b"))
     both = both.where(size_ok(F.col("na"), F.col("nb"), percent))
     both = scratch.keep(both.where(_possible(percent)("sa", "sb", "na", "nb")).select("a", "b", "na", "nb"))
-    sets = sets_of(both.select(F.col("a").alias("rep")).union(both.select(F.col("b").alias("rep"))).distinct(), classes, docs, scratch)
+    sets = sets_of(scratch.keep(_ends(both)), mine, texts, scratch)
     xa, xb = (sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"x{s}")) for s in "ab")
     full = dealt_join(both.join(xb, "b"), xa, ["a"], F.col("b"))
     inter = F.size(F.array_intersect("xa", "xb"))
     return scratch.keep(full.where(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
 
 
-def sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, shingles): full sets of the classes in ``reps``, made again from the text of one document of each."""
-    reps = scratch.keep(reps.join(classes.select("rep", "one"), "rep"))
-    if small(reps, MOST_IDS):
-        reps = F.broadcast(reps)
-    same = docs["doc_id"].eqNullSafe(reps["one.doc_id"]) & (docs["text_hash"] == reps["one.text_hash"])
-    mine = docs.join(reps, same).groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows count once
+    reps = scratch.keep(classes.join(lookup_side(reps), "rep", "left_semi").select("rep", F.col("one.doc_id").alias("_d"), F.col("one.text_hash").alias("_h")))
+    same = texts["doc_id"].eqNullSafe(reps["_d"]) & (texts["text_hash"] == reps["_h"])
+    mine = texts.join(lookup_side(reps), same).groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows count once
     return scratch.keep(mine.mapInPandas(_sets, "rep binary, shingles array<long>"))
 
 
-def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, comp): least node reachable. ``nodes`` has (rep, comp) so far; links join nodes.
+def relabel(df: DataFrame, col: str, to: DataFrame, by: str) -> DataFrame:
+    """``col`` mapped through the kept table ``to`` (rep, comp); what isn't there stays. ``moved`` says what was."""
+    up = to.select(F.col("rep").alias(col), F.col("comp").alias("_to"))
+    out = dealt_join(df, up, [col], F.col(by), "left", rows=to.n_rows)
+    return out.withColumn("moved", F.col("_to").isNotNull()).withColumn(col, F.coalesce("_to", col)).drop("_to")
+
 
-    Each round maps links to components, hooks every component to its least
-    neighbour and jumps pointers to the root; linked components at least halve.
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, comp): the least node reachable, for every node of ``links`` (a, b) that isn't the least itself.
+
+    Each round hooks every node to its least neighbour, jumps pointers to the
+    roots and goes on with the links between roots; linked trees at least halve.
     """
-    edges = links
-    while True:
-        # links between components, both ways
-        ends = [nodes.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
-        e = (
-            dealt_join(dealt_join(edges, ends[0], ["a"], F.col("b")), ends[1], ["b"], F.col("a"))
-            .where("ca <> cb")
-            .select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y"))
-            .distinct()
-        )
-        e = scratch.keep(e)
-        if e.isEmpty():
-            return nodes
-        parent = scratch.keep(e.groupBy("x").agg(F.min("y").alias("y")))
-        while True:  # y of x may itself have a parent
-            up = parent.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            nxt = scratch.keep(dealt_join(parent, up, ["y"], F.col("x"), "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
-            parent = nxt.select("x", "y")
-            if nxt.where("moved").isEmpty():
-                break
-        nodes = scratch.keep(
-            dealt_join(nodes, parent.select(F.col("x").alias("comp"), F.col("y").alias("to")), ["comp"], F.col("rep"), "left").select(
-                "rep", F.coalesce("to", "comp").alias("comp")
-            )
-        )
+    whole = None
+    e = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    while e.n_rows or whole is None:
+        parent = scratch.keep(e.groupBy(F.col("x").alias("rep")).agg(F.min("y").alias("comp")))
+        moved = parent.n_rows
+        while moved:  # the parent may itself have a parent
+            parent = scratch.keep(relabel(parent, "comp", parent, "rep").select("rep", "comp", "moved"), "moved")
+            moved = parent.n_flagged
+        if e.n_rows:
+            ends = relabel(relabel(e, "x", parent, "y"), "y", parent, "x")
+            e = scratch.keep(ends.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        whole = parent if whole is None else merged(whole, parent, scratch)
+    return whole
+
+
+def merged(comps: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, comp) of ``comps``, then ``more`` between its components."""
+    if not more.n_rows:
+        return comps
+    return scratch.keep(relabel(comps, "comp", more, "rep").select("rep", "comp").union(more.select("rep", "comp")))
+
+
+def joined_by(links: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comps`` after the links (a, b) between classes."""
+    if not links.n_rows:
+        return comps
+    ends = relabel(relabel(links, "a", comps, "b"), "b", comps, "a")
+    return merged(comps, components(ends.select("a", "b"), scratch), scratch)
 
 
 def common(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -281,11 +315,13 @@ def _blocks(percent: int):
     least = floor_of(percent)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        """Verified links of one pair of blocks of a bucket, no more than join its components."""
+        """Verified links of one pair of blocks of a group, no more than join its components."""
         b = b.assign(comp=pd.factorize(b["comp"])[0])
         left, right = b[b["side"] == 0], b[b["side"] == 1]
         if not len(right):
             right = left
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -316,81 +352,162 @@ def _blocks(percent: int):
     return run
 
 
-def large_buckets(members: DataFrame, sizes: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links between components of large buckets: blocks of members against blocks, in the executors."""
-    mine = members.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n_in") / BLOCK).cast("int"))
-    mine = mine.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select(
-        "band", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"),
-        (F.col("blk") > F.col("other")).cast("int").alias("side"), "rep", "comp",
-    )
-    sets = sets_of(mine.select("rep").distinct(), classes, docs, scratch)
-    rows = meets.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep").join(sets, "rep")
-    return scratch.keep(rows.groupBy("band", "key", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary").distinct())
+def _prefixes(percent: int, usual: np.ndarray):
+    """The rarest shingles of each set, as many as any set that reaches the threshold must share one of.
+
+    ``usual`` has frequent shingles, sorted; a set's other shingles come first.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rep, s in zip(b["rep"], b["shingles"]):
+                s = np.asarray(s, np.int64)
+                at = np.searchsorted(usual, s)
+                late = np.zeros(len(s), bool) if not len(usual) else usual[np.minimum(at, len(usual) - 1)] == s
+                n = len(s) - (percent * len(s) + 99) // 100 + 1
+                out += [(rep, int(t)) for t in s[np.lexsort((s, late))][:n]]
+            yield pd.DataFrame(out, columns=["rep", "token"]) if out else pd.DataFrame({"rep": pd.Series([], dtype=object), "token": pd.Series([], dtype="int64")})
+
+    return run
+
+
+def pairs_within(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of different components, of groups ``m`` of bounded size."""
+    cross = F.flatten(
+        F.transform(
+            "m",
+            lambda x: F.transform(
+                F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))
+            ),
+        )
+    )
+    return groups.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct()
+
+
+def prefix_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between components among ``members`` (rep, comp): a join on the rarest shingles.
+
+    A shingle's group is finished by pairs if it is small.  In a larger one its
+    most frequent component isn't compared with itself: blocks of the other
+    members are compared with blocks of all, inside the executors.
+    """
+    sets = sets_of(members, classes, texts, scratch)
+    counts = scratch.keep(sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    # the order of the shingles may be any: the most frequent ones that fit into a bounded array come last
+    by_size = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("k")).collect()  # at most 63 rows
+    floor, held = 63, 0
+    for r in sorted(by_size, reverse=True):
+        if held + r["k"] > MOST_COMMON:
+            break
+        floor, held = r["size"], held + r["k"]
+    usual = np.sort(np.array([r[0] for r in counts.where(F.col("n") >= F.lit(2.0) ** floor).select("token").collect()], np.int64)) if held else np.empty(0, np.int64)
+    rows = sets.select("rep", "shingles").mapInPandas(_prefixes(percent, usual), "rep binary, token long")
+    mine = members.select("rep", "comp")
+    rows = scratch.keep(rows.join(F.broadcast(mine) if members.n_rows <= MOST_ROWS else mine, "rep"))
+    by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    live = by_comp.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("n_in"), F.max(F.struct("n", "comp")).alias("most")).where("k > 1")
+    live = scratch.keep(live.select("token", "n_in", F.col("most.n").alias("n_most"), F.col("most.comp").alias("most")))
+    if live.n_rows <= MOST_ROWS:
+        rows = rows.join(F.broadcast(live), "token")
+    else:
+        rows = salted_join(rows, live, ["token"], F.col("rep"))
+    groups = rows.where(F.col("n_in") <= SMALL_GROUP).groupBy("token").agg(F.collect_list(F.struct("rep", "comp")).alias("m"))
+    found = verify(scratch.keep(pairs_within(groups)), classes, texts, scratch, percent)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    large = rows.where(F.col("n_in") > SMALL_GROUP).withColumn("is_most", F.col("comp") == F.col("most"))
+    large = large.withColumn("bo", blocks(F.col("n_in") - F.col("n_most"))).withColumn("bm", blocks(F.col("n_most")))
+    large = large.withColumn("blk", F.pmod(F.xxhash64("rep"), F.when(F.col("is_most"), F.col("bm")).otherwise(F.col("bo"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    meet = lambda most, i, j, side: F.struct(F.lit(most).alias("most"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    among = F.transform(upto("bo"), lambda o: meet(False, F.least("blk", o), F.greatest("blk", o), F.col("blk") > o))
+    across = F.transform(upto("bm"), lambda o: meet(True, o, F.col("blk"), F.lit(1)))
+    of_most = F.transform(upto("bo"), lambda o: meet(True, F.col("blk"), o, F.lit(0)))
+    met = large.select("token", "rep", "comp", F.explode(F.when(F.col("is_most"), of_most).otherwise(F.concat(among, across))).alias("m")).select("token", "rep", "comp", "m.*")
+    met = met.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep").join(sets, "rep")
+    more = scratch.keep(met.groupBy("token", "most", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary").distinct())
+    return scratch.keep(found.union(more))
 
 
 def linked(docs: DataFrame, text: str, id_: str, percent: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' sketches, their classes, and the component (rep, comp) of every class that shares a band."""
+    """The documents' sketches, their classes, and (rep, comp) of every class whose component has a lesser one."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     # ids pass Python as text: pandas would make floats of numbers among nulls
-    sk = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch(rows), SKETCH)
+    sk = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch, SKETCH)
     sk = scratch.keep(sk.withColumn("doc_id", F.col("doc_id").cast("long")))
     # 1. classes of equal sets: the least id of each, and one document to make the set from again
     full = sk.where("n_shingles > 0").groupBy(F.col("set_id").alias("rep"))
-    classes = scratch.keep(
-        full.agg(
-            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.max("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-        )
+    classes = full.agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.max("n_shingles").alias("n_shingles"),
+        F.first("sketch").alias("sketch"), F.count("*").alias("copies"),
     )
-    bands = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("band", "key", "rep")
-    # 2. a star in each bucket
-    heads = bands.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
-    members = scratch.keep(dealt_join(bands, heads, ["band", "key"], F.col("rep")))
-    pairs = members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = verify(pairs, classes, texts, scratch, percent)
-    nodes = scratch.keep(members.select("rep").distinct().withColumn("comp", F.col("rep")))
-    nodes = components(nodes, links, scratch)
-    # 3. buckets that still hold several components
-    live = scratch.keep(members.join(nodes, "rep").select("band", "key", "rep", "comp"))
-    sizes = live.groupBy("band", "key").agg(F.count("*").alias("n_in"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    sizes = scratch.keep(sizes.where("c0 < c1").select("band", "key", "n_in"))
-    little = sizes.where(F.col("n_in") <= SMALL_BUCKET)
-    groups = live.join(little, ["band", "key"]).groupBy("band", "key").agg(F.collect_list(F.struct("rep", "comp")).alias("m"))
-    cross = F.flatten(
-        F.transform(
-            "m",
-            lambda x: F.transform(
-                F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))
-            ),
-        )
-    )
-    rest = groups.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct()
-    more = verify(rest, classes, texts, scratch, percent)
-    nodes = components(nodes, more, scratch)
-    big = sizes.where(F.col("n_in") > SMALL_BUCKET)
-    if not big.isEmpty():
-        now = live.drop("comp").join(big.select("band", "key"), ["band", "key"]).join(nodes, "rep")
-        left = now.groupBy("band", "key").agg(F.count("*").alias("n_in"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-        left = scratch.keep(left.select("band", "key", "n_in"))
-        if not left.isEmpty():
-            members_now = live.drop("comp").join(left.select("band", "key"), ["band", "key"]).join(nodes, "rep")
-            nodes = components(nodes, large_buckets(members_now, left, classes, texts, scratch, percent), scratch)
-    return sk, classes, nodes
+    classes = scratch.keep(classes)
+
+    def keys(n: int) -> Column:
+        """The first n bands: each a hash of its number and its registers."""
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(i, F.col("sketch").substr(2 * rows * i + 1, F.lit(2 * rows))))
+
+    def met(bands: DataFrame, buckets: DataFrame) -> DataFrame:
+        return bands.join(F.broadcast(buckets), "key") if buckets.n_rows <= MOST_ROWS else salted_join(bands, buckets, ["key"], F.col("rep"), salts=8)
+
+    # 2. a star in each bucket of the first bands
+    bands = classes.select("rep", F.explode(keys(min(STAR, M // rows))).alias("key"))
+    heads = scratch.keep(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
+    pairs = scratch.keep(met(bands, heads).where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    comps = components(verify(pairs, classes, texts, scratch, percent), scratch)
+    # 3. all buckets that hold several components: all pairs of small ones, a star in large ones
+    bands = relabel(classes.select("rep", F.col("rep").alias("comp"), "sketch"), "comp", comps, "rep").select("rep", "comp", F.explode(keys(M // rows)).alias("key"))
+    spread = F.xxhash64("comp")  # two components of one bucket that share a hash: 2**-64
+    live = bands.groupBy("key").agg(F.count("*").alias("n_in"), F.min(spread).alias("c0"), F.max(spread).alias("c1"), F.min(F.struct("rep", "comp")).alias("head"))
+    live = scratch.keep(live.where("c0 <> c1").select("key", "n_in", F.col("head.rep").alias("a"), F.col("head.comp").alias("ca")))
+    if not live.n_rows:
+        return sk, classes, comps
+    members = scratch.keep(met(bands, live))
+    groups = members.where(F.col("n_in") <= SMALL_GROUP).groupBy("key").agg(F.collect_list(F.struct("rep", "comp")).alias("m"))
+    star = members.where((F.col("n_in") > SMALL_GROUP) & (F.col("comp") != F.col("ca"))).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    links = verify(scratch.keep(pairs_within(groups).union(star).distinct()), classes, texts, scratch, percent)
+    more = joined_by(links, comps, scratch)
+    # 4. large buckets that still hold several components
+    large = relabel(members.where(F.col("n_in") > SMALL_GROUP).select("key", "rep", F.col("rep").alias("comp")), "comp", more, "rep").select("key", "rep", "comp")
+    large = scratch.keep(large)
+    if large.n_rows:
+        left = large.groupBy("key").agg(F.min(spread).alias("c0"), F.max(spread).alias("c1")).where("c0 <> c1").select("key")
+        left = scratch.keep(left)
+        rest = scratch.keep(met(large, left).select("rep", "comp").distinct()) if left.n_rows else left
+        if rest.n_rows:
+            more = joined_by(prefix_links(rest, classes, texts, scratch, percent), more, scratch)
+    return sk, classes, more
+
+
+def component_of(sk: DataFrame, classes: DataFrame, value: DataFrame, name: str) -> DataFrame:
+    """``sk`` with the column ``name`` of its class; ``value`` has (rep, name) for some classes, null else."""
+    scratch = Scratch(sk.sparkSession, "neardup")
+    rows = value.n_rows
+    none = sk.where("n_shingles = 0").withColumn("least", F.lit(None).cast("long")).withColumn(name, F.lit(None).cast(value.schema[name].dataType))
+    sk = sk.where("n_shingles > 0")
+    mine = classes.join(F.broadcast(value) if rows <= MOST_ROWS else value, "rep", "left").select(F.col("rep").alias("set_id"), "least", "copies", name)
+    # classes of many copies are few: they are broadcast, and the others have at most HOT rows each
+    hot = scratch.keep(mine.where(F.col("copies") > HOT).drop("copies"))
+    if hot.n_rows > MOST_ROWS:
+        return dealt_join(sk, mine.drop("copies"), ["set_id"], F.xxhash64("doc_id", "text_hash"), "left").unionByName(none)
+    cold = sk.join(F.broadcast(hot.select("set_id")), "set_id", "left_anti") if hot.n_rows else sk
+    out = cold.join(mine.where(F.col("copies") <= HOT).drop("copies"), "set_id", "left").unionByName(none)
+    return out.unionByName(sk.join(F.broadcast(hot), "set_id")) if hot.n_rows else out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    sk, classes, nodes = linked(docs, text, id_, percent, rows)
-    # every document takes the component of its class
-    named = nodes.join(classes.select("rep", "least"), "rep")
-    named = dealt_join(named, named.groupBy("comp").agg(F.min("least").alias("component_id")), ["comp"], F.col("rep")).select("rep", "component_id")
-    comp = classes.select("rep", "least").join(named, "rep", "left").select(F.col("rep").alias("set_id"), F.coalesce("component_id", "least").alias("component_id"))
-    out = dealt_join(sk.select("doc_id", "n_shingles", "set_id", "text_hash"), comp, ["set_id"], F.xxhash64("doc_id", "text_hash"), "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    sk, classes, comps = linked(docs, text, id_, percent, rows)
+    scratch = Scratch(docs.sparkSession, "neardup")
+    # every class in a component takes the least id of the component's classes
+    nodes = scratch.keep(comps.select("rep", "comp").union(comps.select(F.col("comp").alias("rep"), "comp")).distinct())
+    least = nodes.join(classes.select("rep", "least"), "rep")
+    of = scratch.keep(least.groupBy("comp").agg(F.min("least").alias("component_id")))
+    named = scratch.keep(dealt_join(nodes, of, ["comp"], F.col("rep"), rows=of.n_rows).select("rep", "component_id"))
+    out = component_of(sk.select("doc_id", "n_shingles", "set_id", "text_hash"), classes, named, "component_id")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "least")))
     return out.select(
         F.col("doc_id").alias(id_), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
@@ -399,20 +516,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", pe
 def deduplicate(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """One document of each component, chosen by class: the least id, null last; of one id the least text hash.
 
-    Rows without words are components of their own; of rows equal in id and text one stays.
+    Rows without words are components of their own.  Of rows equal in id and
+    text one stays, the least by the hash of its other columns, whole.
     """
-    sk, _, nodes = linked(docs, text, id_, percent, rows)
-    mine = dealt_join(sk.select("doc_id", "text_hash", "n_shingles", "set_id"), nodes.withColumnRenamed("rep", "set_id"), ["set_id"], F.xxhash64("doc_id", "text_hash"), "left")
+    sk, classes, comps = linked(docs, text, id_, percent, rows)
+    mine = component_of(sk.select("doc_id", "text_hash", "n_shingles", "set_id"), classes, comps, "comp")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("k")
     keep = mine.where("n_shingles > 0").groupBy(F.coalesce("comp", "set_id").alias("comp")).agg(first).select("k.doc_id", "k.text_hash")
-    keep = keep.union(mine.where("n_shingles = 0").select("doc_id", "text_hash")).select(F.col("doc_id").alias("_nd_doc"), F.col("text_hash").alias("_nd_hash"))
-    same = F.col(id_).cast("long").eqNullSafe(F.col("_nd_doc")) & (F.xxhash64(F.col(text)) == F.col("_nd_hash"))
-    return docs.join(keep, same, "left_semi").dropDuplicates([id_, text])
+    keep = keep.union(mine.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows_ = docs.select(F.struct(*docs.columns).alias("_nd_row"), F.col(id_).cast("long").alias("_nd_id"), F.xxhash64(F.col(text)).alias("_nd_text"))
+    keep = scratch.keep(keep.select(F.col("doc_id").alias("_nd_doc"), F.col("text_hash").alias("_nd_hash")))
+    same = F.col("_nd_id").eqNullSafe(F.col("_nd_doc")) & (F.col("_nd_text") == F.col("_nd_hash"))
+    kept = rows_.join(lookup_side(keep), same, "left_semi").withColumn("_nd_other", F.xxhash64(F.to_json("_nd_row")))
+    # repeated rows: the least hash of the whole row, told apart by keys of fixed width alone
+    again = kept.groupBy("_nd_id", "_nd_text").agg(F.count("*").alias("n"), F.min("_nd_other").alias("_nd_least")).where("n > 1")
+    again = scratch.keep(again.select(F.col("_nd_id").alias("_nd_ri"), F.col("_nd_text").alias("_nd_rt"), "_nd_least"))
+    if not again.n_rows:
+        return kept.select("_nd_row.*")
+    repeated = F.col("_nd_id").eqNullSafe(F.col("_nd_ri")) & (F.col("_nd_text") == F.col("_nd_rt"))
+    marked = kept.join(lookup_side(again), repeated, "left")
+    single = marked.where("_nd_least is null").select("_nd_row")
+    one = marked.where("_nd_other = _nd_least").groupBy("_nd_id", "_nd_text").agg(F.first("_nd_row").alias("_nd_row")).select("_nd_row")
+    return single.union(one).select("_nd_row.*")
 
 
 def clusters(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, cluster): the component of every distinct row that has words, by class, so null and repeated ids keep theirs."""
-    sk, _, nodes = linked(docs, text, id_, percent, rows)
-    mine = sk.where("n_shingles > 0").select("doc_id", "text_hash", "set_id").distinct()
-    mine = dealt_join(mine, nodes.withColumnRenamed("rep", "set_id"), ["set_id"], F.xxhash64("doc_id", "text_hash"), "left")
+    sk, classes, comps = linked(docs, text, id_, percent, rows)
+    mine = sk.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "set_id").distinct()
+    mine = component_of(mine, classes, comps, "comp")
     return mine.select("doc_id", "text_hash", F.xxhash64(F.coalesce("comp", "set_id")).alias("cluster"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semnet.llm import chat, decontam, langid, lines, neardup, packing, pii, quality_fm, queries, urls, warc
+from semnet.llm import base, chat, decontam, langid, lines, neardup, packing, pii, quality_fm, queries, urls, warc
 from semnet.llm.base import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,12 +93,58 @@ def test_common():
     assert (neardup.common(sets[:3], sets[3:], width=7) == want).all()
 
 
-def test_blocks_agree(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+def test_groups_agree(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_GROUP", 1)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "STAR", 1)
     test_neardup_brute_force(spark)
 
 
+def test_joins_beyond_broadcast(spark, monkeypatch):
+    for module in (base, neardup):
+        monkeypatch.setattr(module, "MOST_ROWS", -1)
+    monkeypatch.setattr(neardup, "MOST_SKETCHES", -1)
+    monkeypatch.setattr(neardup, "MOST_COMMON", 3)
+    monkeypatch.setattr(neardup, "HOT", 1)
+    test_groups_agree(spark, monkeypatch)
+
+
+def test_prefix_links(spark, monkeypatch):
+    """One group of linked, nearly linked and unlinked texts: all links between components, whatever the group's size."""
+    monkeypatch.setattr(neardup, "SMALL_GROUP", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base_words, r, rows = prose(7, 150).split(), np.random.default_rng(5), []
+    for i in range(70):
+        w = list(base_words)
+        for k in r.choice(150, i % 9, replace=False):
+            w[k] = f"e{i % 23}x{k}"
+        rows.append((i, " ".join(w), "a"))
+    d = docs(spark, rows).select(F.col("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    scratch = Scratch(spark, "test")
+    sk = scratch.keep(d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "text_hash").mapInPandas(neardup._sketch, neardup.SKETCH))
+    one = F.first(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_hash").alias("text_hash")))
+    classes = scratch.keep(sk.groupBy(F.col("set_id").alias("rep")).agg(one.alias("one"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    members = scratch.keep(classes.select("rep", F.col("rep").alias("comp")))
+    links = neardup.prefix_links(members, classes, d, scratch, 85)
+    named = {bytes(c.rep): c.one.doc_id for c in classes.collect()}
+    sets = {i: set(neardup.shingles(t, neardup._Hashes()).tolist()) for i, t, _ in rows if i in named.values()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x in links.collect():
+        a, b = named[bytes(x.a)], named[bytes(x.b)]
+        assert 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        parent[root(a)] = root(b)
+    for a in sets:  # every link of brute force is inside a component
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                assert root(a) == root(b)
+
+
 def test_quality(spark):
     good, bad = [(i, prose(i), "a") for i in range(40)], [(100 + i, "### &&& " * 20 + prose(i, 10), "a") for i in range(40)]
     d = docs(spark, good + bad + [(900, None, "a"), (901, "", "a")])
@@ -274,10 +320,12 @@ def test_pii_terms(spark):
 
 
 def test_components(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(0, 40) if k % 10 != 9], "a long, b long")
-    nodes = spark.range(40).selectExpr("id as rep", "id as comp")
-    got = neardup.components(nodes, links.where("b < 40"), Scratch(spark, "test"))
-    assert all(r.comp == r.rep // 10 * 10 for r in got.collect())
+    r = np.random.default_rng(2).permutation(40).tolist()
+    links = [(r[k], r[k + 1]) for k in range(0, 40) if k % 10 != 9]
+    got = neardup.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))
+    want = {x: min(r[k // 10 * 10 : k // 10 * 10 + 10]) for k, x in enumerate(r)}
+    assert {x.rep: x.comp for x in got.collect()} == {x: y for x, y in want.items() if x != y}
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
 def test_langid(spark):
