@@ -7,14 +7,16 @@ bitmaps of their sources and clusters; a piece looks for the least residual
 that holds it and goes on to the successor until it meets a compatible bin,
 which is the tightest one.
 
-Pieces are dealt by a hash to shards of a fixed expected size that are packed
-independently, so a hot source is spread like any other and no task grows with
-the input.  Each shard places its pieces in the order of decreasing length
-(ties: by id, part and cluster).
+Pieces are counted and dealt by a hash of their row and part to shards of a
+fixed expected size that are packed independently, so a hot source, a very long
+text or a row that is repeated very often is spread like any other and no task
+grows with the input.  Each shard places its pieces in the order of decreasing
+length (ties: by id, part and cluster).
 
 Defined results: a text without words has no piece and no row; a null source is
 a source of its own; repeated rows are packed each (in different bins, as they
-are one cluster); other columns are ignored.
+are one cluster); an id that stands for several texts is told apart by the hash
+of the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import words
+from .base import Scratch, salted_join, words
 
 CAPACITY = 2048
 #: Expected pieces of a shard.
 SHARD = 4096
-PLACED = "doc_id string, part int, n_tokens int, source string, cluster long, bin_id long"
+PLACED = "doc_id string, text_hash long, part int, n_tokens int, source string, cluster long, bin_id long"
 
 
 class Bins:
@@ -90,7 +92,7 @@ def _pack(capacity: int):
         for n, s, c in zip(b["n_tokens"], b["source"].fillna("\0"), b["cluster"]):
             bit = 1 << sources.setdefault(s, len(sources))
             out.append(bins.place(int(n), bit, 1 << clusters.setdefault(c, len(clusters))))
-        return b.assign(bin_id=pd.Series(out, index=b.index, dtype="int64") + (int(key[0]) << 32))[["doc_id", "part", "n_tokens", "source", "cluster", "bin_id"]]
+        return b.assign(bin_id=pd.Series(out, index=b.index, dtype="int64") + (int(key[0]) << 32))[["doc_id", "text_hash", "part", "n_tokens", "source", "cluster", "bin_id"]]
 
     return run
 
@@ -100,34 +102,49 @@ def cluster_key(text: Column) -> Column:
     return F.xxhash64(F.array_join(words(F.lower(text)), " "))
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", id_: str = "doc_id", source: str = "source", cluster: Column | None = None) -> DataFrame:
-    """(doc_id, part, n_tokens, source, cluster): each text cut into runs of at most ``capacity`` words."""
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, text: str = "text", id_: str = "doc_id", source: str = "source", clusters: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, text_hash, part, n_tokens, source, cluster, row): each text cut into runs of at most ``capacity`` words.
+
+    ``clusters`` (doc_id, text_hash, cluster) names the cluster of duplicates of
+    a row; without one a text is a cluster with its own copies.
+    """
+    t = F.col(text)
     rows = docs.select(
-        F.col(id_).cast("long").alias("doc_id"), F.col(source).alias("source"),
-        F.size(words(F.col(text))).alias("n"), (cluster_key(F.col(text)) if cluster is None else cluster).alias("cluster"),
+        F.col(id_).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.col(source).alias("source"), F.size(words(t)).alias("n"),
+        cluster_key(t).alias("own"), F.monotonically_increasing_id().alias("row"),
     ).where("n > 0")
+    if clusters is not None:
+        rows = salted_join(rows, clusters, ["doc_id", "text_hash"], F.col("row"), "left", salts=4)
+    else:
+        rows = rows.withColumn("cluster", F.lit(None).cast("long"))
     parts = F.transform(
         F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int")),
         lambda k: F.struct(k.alias("part"), F.least(F.lit(capacity), F.col("n") - k * capacity).alias("n_tokens")),
     )
-    return rows.select("doc_id", "source", "cluster", F.explode(parts).alias("p")).select("doc_id", "p.part", "p.n_tokens", "source", "cluster")
+    rows = rows.select("doc_id", "text_hash", "source", F.coalesce("cluster", "own").alias("cluster"), "row", F.explode(parts).alias("p"))
+    return rows.select("doc_id", "text_hash", "p.part", "p.n_tokens", "source", "cluster", "row")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, **cols) -> DataFrame:
-    """(doc_id, part, n_tokens, source, cluster, bin_id): the bin of every piece."""
-    p = pieces(docs, capacity, **cols)
-    n = max(1, -(-docs.count() // shard))
+    """(doc_id, text_hash, part, n_tokens, source, cluster, bin_id): the bin of every piece."""
+    p = Scratch(docs.sparkSession, "packing").keep(pieces(docs, capacity, **cols))
+    n = max(1, -(-p.n_rows // shard))
     # a full piece has a bin to itself wherever it is packed, so parts needn't stay together
-    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "cluster"), F.lit(n)))
+    p = p.withColumn("shard", F.pmod(F.xxhash64("row", "part", "cluster"), F.lit(n))).drop("row")
     # ids pass Python as text: pandas would make floats of numbers among nulls
     p = p.withColumn("doc_id", F.col("doc_id").cast("string"))
     return p.groupBy("shard").applyInPandas(_pack(capacity), PLACED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def samples(docs: DataFrame, placed: DataFrame, capacity: int = CAPACITY, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(bin_id, n_tokens, text): the packed texts, pieces in the order of id and part; a bin is bounded by its capacity."""
-    cut = docs.select(F.col(id_).cast("long").alias("_id"), words(F.col(text)).alias("_w")).dropDuplicates(["_id"])
-    rows = placed.join(cut, placed["doc_id"].eqNullSafe(cut["_id"]))
-    rows = rows.select("bin_id", "doc_id", "part", "n_tokens", F.array_join(F.slice("_w", F.col("part") * capacity + 1, F.col("n_tokens")), " ").alias("t"))
+    """(bin_id, n_tokens, text): the packed texts, pieces in the order of id, part and text; a bin is bounded by its capacity."""
+    t = F.col(text)
+    cut = docs.select(F.col(id_).cast("long").alias("_id"), F.xxhash64(t).alias("_hash"), words(t).alias("_w")).where(F.size("_w") > 0)
+    cut = cut.select("_id", "_hash", F.posexplode(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(capacity))).alias("_part", "_at"), "_w")
+    cut = cut.select("_id", "_hash", "_part", F.array_join(F.slice("_w", F.col("_at") + 1, F.lit(capacity)), " ").alias("t"))
+    cut = cut.groupBy("_id", "_hash", "_part").agg(F.first("t").alias("t"))  # repeated rows have one text
+    rows = placed.join(cut, placed["doc_id"].eqNullSafe(cut["_id"]) & (placed["text_hash"] == cut["_hash"]) & (placed["part"] == cut["_part"]))
     grouped = rows.groupBy("bin_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("doc_id", "part", "t"))).alias("x"))
     return grouped.select("bin_id", "n_tokens", F.array_join(F.transform("x", lambda r: r["t"]), "\n\n").alias("text"))

@@ -42,10 +42,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    c = neardup.clusters(docs).select(F.col("doc_id").alias("_c_doc"), F.col("text_hash").alias("_c_hash"), F.col("cluster").alias("_cluster"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_c_doc")) & (F.xxhash64("text") == F.col("_c_hash"))
-    # near copies are one cluster; a text without a component is one with its exact copies
-    return packing.pack(docs.join(c, same, "left"), cluster=F.coalesce("_cluster", packing.cluster_key(F.col("text"))))
+    # near copies are one cluster, and don't share a bin
+    return packing.pack(docs, clusters=neardup.clusters(docs))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

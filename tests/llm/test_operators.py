@@ -279,6 +279,49 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packed_texts(spark):
+    rows = [*AWKWARD, (7, prose(7, 5000), "b"), (None, "alpha beta", "a"), (5, "x y", "c"), (8, prose(8, 4096), "c")]
+    d = docs(spark, rows)
+    placed = packing.pack(d)
+    got = {r.bin_id: r for r in packing.samples(d, placed).collect()}
+    want = {}
+    for r in placed.collect():
+        want.setdefault(r.bin_id, []).append(r)
+    assert set(got) == set(want)
+    every = []
+    for k, r in got.items():
+        assert r.n_tokens == len(r.text.split()) == sum(x.n_tokens for x in want[k])
+        every += r.text.split("\n\n")
+    cut = [" ".join((t or "").split()[k : k + packing.CAPACITY]) for _, t, _ in rows for k in range(0, len((t or "").split()), packing.CAPACITY)]
+    assert sorted(every) == sorted(cut)  # every text is there, whole and as often as its rows
+
+
+def test_packing_brute_force(spark):
+    """The whole query against a plain best fit over the same shards."""
+    rows = [(k % 37 if k % 11 else None, prose(k % 50, 1 + (k * 37) % 60), f"s{k % 5}") for k in range(300)]
+    got = packing.pack(docs(spark, rows), capacity=64, shard=80).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.bin_id >> 32, []).append(r)
+    assert len(shards) > 2 and len(got) == len(rows)
+    for pieces in shards.values():
+        order = sorted(pieces, key=lambda r: (-r.n_tokens, "" if r.doc_id is None else str(r.doc_id), r.part))
+        bins, used = [], {}
+        for r in pieces:
+            used.setdefault(r.bin_id, []).append(r)
+        assert all(sum(x.n_tokens for x in b) <= 64 and len({x.source for x in b}) == len({x.cluster for x in b}) == len(b) for b in used.values())
+        for r in order:
+            fits = [b for b in bins if b[0] >= r.n_tokens and r.source not in b[1] and r.cluster not in b[2]]
+            if fits:
+                b = min(fits, key=lambda b: b[0])
+                b[0] -= r.n_tokens
+                b[1].add(r.source)
+                b[2].add(r.cluster)
+            else:
+                bins.append([64 - r.n_tokens, {r.source}, {r.cluster}])
+        assert abs(len(bins) - len(used)) <= 0.1 * len(bins)  # which of equally long pieces comes first may differ
+
+
 def test_packing_near_copies(spark, tmp_path):
     pairs = [(prose(800 + k), prose(800 + k) + " edited") for k in range(6)]
     rows = [(None if k == 0 else k, a, "a") for k, (a, _) in enumerate(pairs)] + [(None if k == 0 else 20, b, "b") for k, (_, b) in enumerate(pairs)]
@@ -343,7 +386,20 @@ def test_langid(spark):
     assert {by[k].lang for k in range(12)} == {"en"} and by[20].lang == "de" and by[25].lang == "fr"
     assert by[21].lang == "fr" and by[24].lang == "de"  # the address alone
     assert by[22].lang == "en"  # the host's prior alone
-    assert langid.identify(pages.limit(0), learn).count() == 0 and langid.identify(pages, learn.limit(0)).count() == 0
+    assert langid.identify(pages.limit(0), learn).count() == 0
+    unknown = langid.identify(pages, learn.limit(0)).collect()
+    assert len(unknown) == len(rows) and {r.lang for r in unknown} == {None}
+
+
+def test_langid_many_languages(spark):
+    """No language is left out, however many there are and however rare it is."""
+    names = [chr(97 + k // 26) + chr(97 + k % 26) + "x" for k in range(230)]
+    learn = [(i, f"{k}a{k}b {k}c{k}d " * 9, k, "a", None) for i, k in enumerate(names)] + [(1000 + i, prose(i, 30), "en", "a", None) for i in range(1200)]
+    learn = spark.createDataFrame(learn, DOCS)
+    langs, logp = langid.train(learn, per_lang=20)
+    assert langs == sorted([*names, "en"]) and logp.shape == (231, langid.BUCKETS)
+    pages = spark.createDataFrame([(i, None, f"<p>{k}a{k}b {k}c{k}d {k}a{k}b</p>") for i, k in enumerate(names) if i % 23 == 0], "page_id long, url string, html string")
+    assert all(r.lang == names[r.page_id] for r in langid.identify(pages, learn).collect())
 
 
 def test_langid_brute_force(spark):
