@@ -362,6 +362,47 @@ def test_pii_terms(spark):
     assert clean[10] == dict((i, t) for i, t, _ in rows)[10] and clean[301] is None
 
 
+def test_pii_far_and_odd_words(spark):
+    """Words of any length and form, at any distance, may disclose an entity."""
+    rows = [(i, f"O'Neil: {prose(i, 30)} {'x' * 400}{i} {prose(40 + i, 30)} agent47 boss@firm.example", "a") for i in range(6)]
+    rows += [(10 + i, f"{prose(10 + i, 40)} {'the' if i % 2 else 'agents'}", "a") for i in range(200)] + [(300, "(Agent47/o'neil's)", "a")]
+    got = {r.doc_id: r for r in pii.report(docs(spark, rows)).collect()}
+    assert got[300].spans == "term:1:8" and got[0].n_term == 2 and got[10].n_term == 0 == got[10].n_secret
+    assert got[0].spans.split(",")[1] == "term:0:6"
+
+
+def test_pii_terms_brute_force(spark):
+    """Disclosure on the whole corpus, by definition, against the spans that the query returns."""
+    import math
+    from collections import Counter
+
+    r, rows = np.random.default_rng(9), []
+    for i in range(260):
+        extra = ["alpha beta k1@one.example", "gamma 10.0.0.7", "delta", "key 0f1e2d3c4b5a69788796a5b4c3d2e1f0 there", "alpha k2@one.example"][i % 13] if i % 13 < 5 else ""
+        rows.append((i, f"{prose(r.integers(1000), 12)} {extra} {prose(r.integers(1000), 6)}", "a"))
+    rows += [(400 + i, rows[0][1], "a") for i in range(9)] + [(500, None, "a"), (None, "Alpha, delta; gamma", "a")]
+    every = {}
+    for t in {t for _, t, _ in rows if t}:
+        spans = [("email", m.group()) for m in re.finditer(PATTERNS["email"], t)] + [("ip", m.group()) for m in re.finditer(PATTERNS["ip"], t)]
+        spans += [("secret", m.group()) for m in re.finditer(r"\b(?=[a-z0-9]*\d)[a-z0-9]{20,}\b", t)]
+        words = t.lower()
+        for _, v in spans:
+            words = words.replace(v.lower(), " ")
+        ents = {("value", k, v) for k, v in spans} | {("domain", v.split("@")[1]) for k, v in spans if k == "email"} | {("kind", k) for k, _ in spans}
+        every[t] = (set(re.findall(r"[a-z0-9]+", words)), ents, set(re.findall(r"[a-z0-9]+", t.lower())))
+    n = len(every)
+    de, both, df = Counter(e for _, es, _ in every.values() for e in es), Counter(), Counter()
+    for inner, es, whole in every.values():
+        both.update((e, w) for e in es for w in inner)
+        df.update(whole)
+    rate = lambda k, e, w: 1 + math.log((k + min(0.5, de[e] / n)) / (df[w] + 1)) / -math.log(min(0.5, de[e] / n))
+    want = {w for (e, w), k in both.items() if k >= pii.SUPPORT and rate(k, e, w) >= pii.GENERALISE}
+    assert want
+    for x, (i, t, _) in zip(sorted(pii.report(docs(spark, rows)).collect(), key=lambda x: (x.doc_id is None, x.doc_id)), sorted(rows, key=lambda x: (x[0] is None, x[0]))):
+        found = {t[int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in x.spans.split(",") if s.startswith("term:")}
+        assert x.doc_id == i and found == want & set(re.findall(r"[a-z0-9]+", (t or "").lower())), (i, found)
+
+
 def test_components(spark):
     r = np.random.default_rng(2).permutation(40).tolist()
     links = [(r[k], r[k + 1]) for k in range(0, 40) if k % 10 != 9]
