@@ -7,10 +7,16 @@ conversation whose whole hash is a proper prefix of another one is dropped by
 an anti-join; of equal conversations the least id stays.  What remains is
 rendered in blocks of turns, so no group is unbounded.
 
-Defined results: turns are ordered by turn (nulls first), then role, then
-text; repeated rows of a turn are one row; a null role or text counts as empty
-and renders so; a null id is a conversation of its own; an empty table gives no
-rows; other columns are ignored.
+Numbering and prefixes work on keys and hashes alone; the texts of the
+conversations that stay are read once more to be rendered.  Turns are dealt by
+the turn number and, where very many rows of a conversation fall into one range
+of numbers, by turn and a prefix of their digest, so neither a very long
+conversation nor very many rows of one turn, or of no id, are sorted in one task.
+
+Defined results: turns are ordered by turn (nulls first), then by the MD5 of
+the role's length, a colon, role and text; repeated rows of a turn are one row; a null role or text counts
+as empty and renders so; a null id is a conversation of its own; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,70 +24,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import MOST_ROWS, Scratch
 
-#: Turns that one rendered row, and one task's sort, may hold.
+#: Turns of one rendered row, and of one range of turn numbers.
 BLOCK = 256
+#: A range with more rows than this is dealt on by turn and digest.
+HEAVY = 4096
 BEGIN, END = "<|im_start|>", "<|im_end|>"
+CELL = ["conv", "range", "at", "sub"]
 
 
-def _numbered(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct turns with ``pos``, their position in the conversation.
-
-    Positions come from ranks inside ranges of turn numbers plus the sizes of
-    the ranges before, so a conversation with very many turns isn't sorted in
-    one task.
-    """
-    rows = turns.distinct().withColumn("range", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
-    sizes = rows.groupBy("conv", "range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("conv").orderBy("range")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("conv", "range").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
-    ranked = rows.withColumn("rank", rank)
-    b = before.select(F.col("conv").alias("_c"), F.col("range").alias("_r"), "before")
-    out = ranked.join(b, ranked["conv"].eqNullSafe(b["_c"]) & (ranked["range"] == b["_r"]))
-    return scratch.keep(out.select("conv", "range", "turn", "role", "text", (F.col("before") + F.col("rank")).alias("pos")))
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; ``right`` is broadcast if it is a kept table of few rows."""
+    rows = getattr(right, "n_rows", MOST_ROWS + 1)
+    right = right.select(*(F.col(c).alias(f"_r_{c}") for c in on), *(c for c in right.columns if c not in on))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(F.broadcast(right) if rows <= MOST_ROWS else right, same, how).drop(*(f"_r_{c}" for c in on))
 
 
-def _hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("pos"), F.col("role"), F.col("text")).cast("decimal(38,0)")
-
+def _numbered(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct turns (conv, turn, digest) with their cell, ``pos``, their position in the conversation, and ``total``, its turns.
 
-def maximal(conversations: DataFrame, scratch: Scratch, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Numbered turns of the conversations that no other one continues, the least id of equal ones."""
-    turns = conversations.select(
-        F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
+    Positions are ranks inside cells plus the sizes of the cells before.
+    """
+    rows = turns.select("conv", "turn", "digest").distinct().withColumn("range", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
+    rows = scratch.keep(rows)
+    heavy = scratch.keep(rows.groupBy("conv", "range").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY))
+    if heavy.n_rows:
+        chars = F.least(F.lit(32), F.ceil(F.log(16.0, F.col("n") / BLOCK))).cast("int")
+        heavy_ = heavy.select("conv", "range", chars.alias("chars"))
+        heavy_.n_rows = heavy.n_rows
+        rows = _same(rows, heavy_, ["conv", "range"], "left")
+        rows = rows.withColumn("at", F.when(F.col("chars").isNotNull(), F.col("turn"))).withColumn("sub", F.coalesce(F.col("digest").substr(F.lit(1), F.col("chars")), F.lit(""))).drop("chars")
+    else:
+        rows = rows.withColumn("at", F.lit(None).cast("long")).withColumn("sub", F.lit(""))
+    whole, order = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("range", F.col("at").asc_nulls_first(), "sub")
+    cells = rows.groupBy(*CELL).agg(F.count("*").alias("n"))
+    cells = cells.select(*CELL, (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"))
+    rank = F.row_number().over(Window.partitionBy(*CELL).orderBy(F.col("turn").asc_nulls_first(), "digest"))
+    out = _same(rows.withColumn("rank", rank), cells, CELL)
+    return scratch.keep(out.select(*CELL, "turn", "digest", (F.col("before") + F.col("rank")).alias("pos"), "total"))
+
+
+def maximal(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv, turn, digest, pos, n_turns, copies): the numbered turns of the conversations that no other one continues, the least id of equal ones."""
     rows = _numbered(turns, scratch)
-    h = rows.select("conv", "range", "pos", _hash(1).alias("h1"), _hash(2).alias("h2"))
-    whole = h.groupBy("conv").agg(F.count("*").alias("k"), F.sum("h1").alias("s1"), F.sum("h2").alias("s2"))
-    # running sums inside a range, plus the sums of the ranges before
-    part = h.groupBy("conv", "range").agg(F.sum("h1").alias("t1"), F.sum("h2").alias("t2"))
-    back = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(F.col("conv").alias("_c"), F.col("range").alias("_r"), *(F.coalesce(F.sum(f"t{i}").over(back), F.lit(0)).alias(f"b{i}") for i in (1, 2)))
-    inside = Window.partitionBy("conv", "range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = h.select("conv", "range", "pos", *(F.sum(f"h{i}").over(inside).alias(f"r{i}") for i in (1, 2)))
-    prefix = run.join(part, run["conv"].eqNullSafe(part["_c"]) & (run["range"] == part["_r"]))
-    prefix = prefix.select("conv", F.col("pos").alias("k"), *((F.col(f"r{i}") + F.col(f"b{i}")).cast("decimal(38,0)").alias(f"s{i}") for i in (1, 2)))
-    whole = scratch.keep(whole.select("conv", "k", F.col("s1").cast("decimal(38,0)").alias("s1"), F.col("s2").cast("decimal(38,0)").alias("s2")))
-    classes = whole.groupBy("k", "s1", "s2").agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
-    # a conversation's own whole hash is no proper prefix: its k is its length
-    own = whole.select(F.col("conv").alias("_w"), F.col("k").alias("_k"))
-    proper = prefix.join(own, prefix["conv"].eqNullSafe(own["_w"]) & (prefix["k"] < own["_k"])).select("k", "s1", "s2").distinct()
-    kept = scratch.keep(classes.join(proper, ["k", "s1", "s2"], "left_anti").select(F.col("conv").alias("_kept"), F.col("k").alias("n_turns"), "copies"))
-    return rows.join(kept, rows["conv"].eqNullSafe(kept["_kept"])).drop("_kept")
+    h = rows.select(*CELL, "pos", "total", *(F.xxhash64(F.lit(k), F.col("pos"), F.col("digest")).alias(f"h{k}") for k in (1, 2)))
+    # running hashes inside a cell, and those of the cells before
+    part = h.groupBy(*CELL).agg(*(F.bit_xor(f"h{k}").alias(f"t{k}") for k in (1, 2)))
+    back = Window.partitionBy("conv").orderBy("range", F.col("at").asc_nulls_first(), "sub").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*CELL, *(F.coalesce(F.bit_xor(f"t{k}").over(back), F.lit(0).cast("long")).alias(f"b{k}") for k in (1, 2)))
+    inside = Window.partitionBy(*CELL).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = h.select(*CELL, "pos", "total", *(F.bit_xor(f"h{k}").over(inside).alias(f"r{k}") for k in (1, 2)))
+    prefix = _same(run, part, CELL).select("conv", F.col("pos").alias("k"), "total", *(F.col(f"r{k}").bitwiseXOR(F.col(f"b{k}")).alias(f"s{k}") for k in (1, 2)))
+    prefix = scratch.keep(prefix)
+    classes = prefix.where("k = total").groupBy("k", "s1", "s2").agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
+    proper = prefix.where("k < total").select("k", "s1", "s2").distinct()
+    kept = scratch.keep(classes.join(proper, ["k", "s1", "s2"], "left_anti").select("conv", F.col("k").alias("n_turns"), "copies"))
+    return scratch.keep(_same(rows.select("conv", "turn", "digest", "pos"), kept, ["conv"]))
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv, block, n_turns, copies, first_turn, rendered): chat markup of blocks of turns."""
+    """(conv, block, n_turns, copies, rendered): chat markup of blocks of turns."""
     line = F.concat(F.lit(BEGIN), F.col("role"), F.lit("\n"), F.col("text"), F.lit(END + "\n"))
     rows = turns.select("conv", "n_turns", "copies", F.floor((F.col("pos") - 1) / BLOCK).cast("long").alias("block"), "pos", line.alias("line"))
     # at most BLOCK turns in a group
-    parts = F.sort_array(F.collect_list(F.struct("pos", "line")))
+    parts = F.sort_array(F.collect_set(F.struct("pos", "line")))
     out = rows.groupBy("conv", "block").agg(F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies"), parts.alias("p"))
     return out.select("conv", "block", "n_turns", "copies", F.array_join(F.transform("p", lambda x: x["line"]), "").alias("rendered"))
 
 
-def chat_format(conversations: DataFrame, conv: str = "conv_id", **cols) -> DataFrame:
+def chat_format(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     scratch = Scratch(conversations.sparkSession, "chat")
-    return render(maximal(conversations, scratch, conv, **cols)).withColumnRenamed("conv", conv)
+    who, said = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    turns = conversations.select(
+        F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"),
+        F.md5(F.concat(F.length(who).cast("string"), F.lit(":"), who, said).cast("binary")).alias("digest"), who.alias("role"), said.alias("text"),
+    )
+    kept = maximal(turns, scratch)
+    # the texts join by turn, not by conversation; a repeated turn adds the same line again
+    return render(_same(turns, kept, ["conv", "turn", "digest"])).withColumnRenamed("conv", conv)

@@ -62,7 +62,7 @@ from c left join best using (rid)
 
 OP6 = """
 with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
-c as (select conv_id, list({'r': role, 't': text} order by turn nulls first, role, text) as l from t group by conv_id),
+c as (select conv_id, list({'r': role, 't': text} order by turn nulls first, md5(cast(length(role) as varchar) || ':' || role || text)) as l from t group by conv_id),
 g as (select l, min(conv_id) as conv_id, count(*) as copies from c group by l),
 kept as (select g.* from g where not exists (select 1 from c where len(c.l) > len(g.l) and c.l[1:len(g.l)] = g.l)),
 b as (select conv_id, l, copies, unnest(range(0, cast(ceil(len(l) / 256.0) as bigint))) as block from kept)
