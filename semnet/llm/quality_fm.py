@@ -11,8 +11,10 @@ rows, picked by a hash of the id) and scores every whole text.
 
 Defined results: a null or empty text is scored from its statistics (all
 zero) alone; a null id is never held out nor learnt from; repeated rows are
-scored each; with no labels, or labels of one kind, every score is 0.5; extra
-columns are ignored.
+scored each; of several texts of a labelled id the one with the least hash is
+learnt from, of several labels the least; with no labels, or labels of one kind,
+nothing can be learnt: every score is 0.5, and ``accepted`` keeps all documents;
+extra columns are ignored, and stay as they are in ``accepted``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS, RANK = 1 << 14, 6
@@ -127,18 +129,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int
     return model
 
 
-def held_out(id_: str) -> F.Column:
+def held_out(id_: str) -> Column:
     """Rows that are never learnt from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> dict | None:
-    """Fit on at most ``sample`` labelled rows that aren't held out, in the order of a hash of their id."""
-    marks = labels.select(F.col(id_).alias("_id"), F.col(label).cast("int").alias("_y")).where(~held_out("_id") & F.col("_y").isin(0, 1))
+    """Fit on at most ``sample`` labelled rows that aren't held out, those with the least hashes of their id."""
+    marks = labels.select(F.col(id_).alias("_id"), F.col(label).cast("int").alias("_y")).where(~held_out("_id") & F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
+    # a bound on the hash that leaves about four times the sample: what is sorted doesn't grow with the labels
+    n = marks.agg(F.approx_count_distinct("_id", 0.02)).first()[0]
+    if n > 4 * sample:
+        marks = marks.where(F.xxhash64("_id") < F.lit(int((1 << 64) * 4 * sample / n) - (1 << 63)))
     marks = marks.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(marks), "_id")
-    made = rows.mapInPandas(_featurise, "id long, y int, idx binary, val binary").orderBy("id", "idx", "val").toPandas()
-    made = made.drop_duplicates("id")
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))  # an id is learnt from once, however many rows it has
+    made = rows.mapInPandas(_featurise, "id long, y int, idx binary, val binary").toPandas().sort_values("id")
     return fit([(np.frombuffer(i, np.int64), np.frombuffer(v, np.float32)) for i, v in zip(made["idx"], made["val"])], made["y"].tolist())
 
 
@@ -148,9 +154,9 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["_id"], "y": b["_y"], "idx": [i.tobytes() for i, _ in made], "val": [v.tobytes() for _, v in made]})
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """Add ``score``: the model's probability that the label is 1."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def scores(spark: SparkSession, model: dict | None, text: Column) -> Column:
+    """The model's probability that the label of ``text`` is 1."""
+    held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = held.value
@@ -163,11 +169,20 @@ def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
 
     # type hints are resolved in this module
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text)))
+    return F.pandas_udf(run, "double")(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """The documents with held_out, score and predicted."""
+    """(id, held_out, score, predicted) of every document."""
     model = train(docs, labels, text, id_)
-    out = score(docs.withColumn("held_out", held_out(id_)), model, text)
+    out = docs.select(F.col(id_), held_out(id_).alias("held_out"), scores(docs.sparkSession, model, F.col(text)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """The documents that the model accepts, all columns as they were; all of them where nothing can be learnt."""
+    model = train(docs, labels, text, id_)
+    if model is None:
+        return docs
+    rows = docs.select(F.struct(*docs.columns).alias("_qf_row"), scores(docs.sparkSession, model, F.col(text)).alias("_qf_score"))
+    return rows.where(F.col("_qf_score") >= THRESHOLD).select("_qf_row.*")
