@@ -7,10 +7,12 @@ hashed and looked up among the benchmark's windows, so a question that was
 re-parameterised still matches.  Each window is also looked up in its plain
 form, lower-cased and without placeholders, so that a verbatim copy in other
 letter case, or after words that make a name of its first word, matches too; a
-position counts if either form hits.  The values in the slots must correspond one
-to one along an alignment: of slot pairs that contradict each other the most
-frequent one holds (the first of equally frequent ones), and a window with
-another doesn't count.  A document is contaminated by an item if it has at least
+position counts if either form hits.  The values in the slots must correspond
+along an alignment: what the item tells apart, the document must not write the
+same, and one name or unit of the item must not become two (a number may: 5 and 5
+may become 7 and 9).  Of slot pairs that contradict each other the most frequent
+one holds (the first of equally frequent ones), and only the windows that contain
+another one don't count.  A document is contaminated by an item if it has at least
 ``COVERAGE`` of the item's windows (excerpts: or ``RUN`` consecutive tokens of
 it along one alignment; edited copies: or ``SPREAD`` of its tokens inside
 matched windows).
@@ -28,16 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, let, lookup_side, words
+from .base import Scratch, bounded_side, let, lookup_side, salted_join, words
 
 WIDTH, LEAST = 8, 4
 COVERAGE = 0.4
 #: Consecutive tokens of an item, and share of its tokens, that are a match by themselves.
 RUN, SPREAD = 13, 2 / 3
 #: Benchmark windows that may be broadcast; beyond that the lookup is a shuffled join.
-MOST_WINDOWS = 2_000_000
-#: No text has more tokens.
-MOST_TOKENS = 2**31 - 1
+MOST_WINDOWS = 1_000_000
 
 NUM, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 # fixed values: units that are recognised after a number
@@ -58,29 +58,31 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(t, rf"({NUM}[0-9.,]+\s{{1,3}})({'|'.join(UNITS)})(?!\p{{L}})", f"$1{UNIT}$2")
 
 
-def canonical(mark: Column) -> Column:
-    return F.regexp_replace(mark, rf"([{NUM}{NAME}{UNIT}])\S*", "$1")
+def canonical(tokens: Column) -> Column:
+    """Hashes of the tokens, of a placeholder its mark alone."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.when(t.substr(1, 1).isin(NUM, NAME, UNIT), t.substr(1, 1)).otherwise(t)))
 
 
-def plain(mark: Column) -> Column:
-    """The tokens themselves: what a placeholder stands for, without its mark."""
-    return F.translate(mark, f"{NUM}{NAME}{UNIT}", "")
+def plain(tokens: Column) -> Column:
+    """Hashes of the tokens themselves: of what a placeholder stands for, without its mark."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.translate(t, f"{NUM}{NAME}{UNIT}", "")))
 
 
-def windows(tokens: Column, widths: list[int]) -> Column:
-    """array<struct<hash, pos, width>> of all windows of the given widths."""
+def windows(hashes: Column, width: int, body) -> Column:
+    """``body`` of the hashes of all windows of ``width``, by first token; as long as ``hashes``, the last ``width`` - 1 stand for no window.
 
-    def of(h: Column, width: int) -> Column:
-        made = F.transform(
-            F.sequence(F.lit(0), F.size(h) - width),
-            lambda i: F.struct(
-                F.xxhash64(F.lit(width), *(F.get(h, i + k) for k in range(width))).alias("hash"), i.alias("pos"), F.lit(width).alias("width")
-            ),
-        )
-        return F.when(F.size(h) >= width, made).otherwise(F.array().cast("array<struct<hash:bigint,pos:int,width:int>>"))
+    Windows of 2, 4, 8 are made of two halves each, others of these.
+    """
+    if width == 1:
+        return body(hashes)
+    half = 1 << (width - 1).bit_length() - 1  # the largest power of two below width
 
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: F.concat(*(of(h, w) for w in widths)))
+    def combined(first: Column, second: Column) -> Column:
+        return F.zip_with(first, F.slice(second, half + 1, F.size(second)), lambda a, b: F.xxhash64(a, b))
+
+    if width == 2 * half:
+        return windows(hashes, half, lambda w: let(w, lambda x: body(combined(x, x))))
+    return windows(hashes, half, lambda w: windows(hashes, width - half, lambda r: body(combined(w, r))))
 
 
 def slots(tokens: Column, pos: Column, width: Column) -> Column:
@@ -92,17 +94,22 @@ def slots(tokens: Column, pos: Column, width: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(hash, item, pos, width, slots, counted, of, size): windows of all items; how many of an item are counted, and its tokens."""
     t = F.col(text)
-    b = benchmark.select(F.col(item).alias("item"), words(marked(t)).alias("read"), F.slice(words(marked(F.concat(F.lit("a "), t))), 2, MOST_TOKENS).alias("inside"))
+    b = benchmark.select(F.col(item).alias("item"), words(marked(t)).alias("read"), F.slice(words(marked(F.concat(F.lit("a "), t))), F.lit(2), F.size(words(marked(F.concat(F.lit("a "), t))))).alias("inside"))
     b = b.withColumn("width", F.least(F.lit(WIDTH), F.size("read"))).where("width > 0")
     # the first word of an item may be a name where the item stands inside a sentence
     b = b.select("item", "width", F.size("read").alias("size"), F.explode(F.array("read", "inside")).alias("tokens"))
 
     def form(of) -> Column:
-        made = windows(F.transform("tokens", of), list(range(1, WIDTH + 1)))
-        return F.transform(made, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), x["width"].alias("width"), F.lit(of is plain).alias("plain")))
+        def some(width: int) -> Column:
+            made = windows(of(F.col("tokens")), width, lambda w: F.slice(w, 1, F.size("tokens") - width + 1))
+            return F.transform(made, lambda x, i: F.struct(x.alias("hash"), i.alias("pos"), F.lit(of is plain).alias("plain")))
+
+        out = some(WIDTH)
+        for width in range(1, WIDTH):
+            out = F.when(F.col("width") == width, some(width)).otherwise(out)
+        return out
 
-    forms = F.concat(form(canonical), form(plain))
-    b = b.withColumn("w", F.explode(F.filter(forms, lambda x: x["width"] == F.col("width"))))
+    b = b.withColumn("w", F.explode(F.concat(form(canonical), form(plain))))
     b = b.select("item", "size", "width", "w.hash", "w.pos", "w.plain", slots(F.col("tokens"), F.col("w.pos"), F.col("width")).alias("slots"))
     usable = (2 * F.size("slots") <= F.col("width")) & (F.col("width") >= LEAST)
     b = b.where(F.col("plain") | usable)
@@ -124,22 +131,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str
     none = "doc long, text_hash long, item long, windows long, of long, run int, share double"
     if not widths:
         return docs.sparkSession.createDataFrame([], none)
-    # a text without placeholders is its own plain form
-    unmarked = lambda m: F.when(m.rlike(f"[{NUM}{NAME}{UNIT}]"), words(plain(m))).otherwise(F.array().cast("array<string>"))
     tiny, widths = [w for w in widths if w < LEAST], [w for w in widths if w >= LEAST]
+    longs = F.array().cast("array<bigint>")
 
     def looked_up(tokens: Column) -> Column:
-        made = windows(tokens, widths) if widths else F.array().cast("array<struct<hash:bigint,pos:int,width:int>>")
-        # an item of a few tokens: the whole text only
-        return let(tokens, lambda w: F.when(F.size(w).isin(tiny), F.filter(windows(w, tiny), lambda x: x["width"] == F.size(w))).otherwise(made)) if tiny else made
-
-    both = let(marked(F.col("t")), lambda m: F.arrays_zip(looked_up(words(canonical(m))).alias("c"), looked_up(unmarked(m)).alias("p")))
-    rows = mine.select("doc", "text_hash", F.explode(both).alias("w"))
-    either = F.when(F.col("w.c.hash") != F.col("w.p.hash"), F.array("w.c.hash", "w.p.hash")).otherwise(F.array("w.c.hash"))
-    rows = rows.select("doc", "text_hash", F.explode(either).alias("hash"), F.col("w.c.pos").alias("at"))
+        """The hashes of all windows, by form and width, each array as long as ``tokens``."""
+        def form(of) -> Column:
+            return let(of(tokens), lambda h: F.concat(*(windows(h, w, lambda x: x) for w in widths), *(F.when(F.size(h) == w, windows(h, w, lambda x: x)).otherwise(longs) for w in tiny)))
+
+        # a text without placeholders is its own plain form
+        marks = F.exists(tokens, lambda t: t.substr(1, 1).isin(NUM, NAME, UNIT))
+        return F.when(marks, F.concat(form(canonical), form(plain))).otherwise(form(plain))
+
+    made = let(words(marked(F.col("t"))), lambda t: F.struct(F.size(t).alias("n"), looked_up(t).alias("w")))
+    rows = mine.select("doc", "text_hash", made.alias("m")).select("doc", "text_hash", F.col("m.n").alias("n"), F.posexplode("m.w").alias("at", "hash"))
     known = scratch.keep(bench.select("hash").distinct())
-    hits = scratch.keep(rows.join(lookup_side(known, MOST_WINDOWS), "hash", "left_semi"))
-    found = hits.join(bench, "hash")
+    hits = rows.join(lookup_side(known, MOST_WINDOWS), "hash", "left_semi")
+    hits = scratch.keep(hits.select("doc", "text_hash", "hash", (F.col("at") % F.col("n")).alias("at")).distinct())
+    # one window may be in very many documents
+    held = bounded_side(bench)
+    found = hits.join(held, "hash") if held is not bench else salted_join(hits, bench, ["hash"], F.struct("doc", "text_hash", "at"), salts=16)
     about = ["pos", "width", "counted", "of", "size"]
     along = ["doc", "text_hash", "item", "shift"]
     found = found.withColumn("shift", F.col("at") - F.col("pos"))
@@ -147,7 +158,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str
     typed = scratch.keep(found.where(F.size("slots") > 0))
     if not typed.isEmpty():  # the values come from a second look at the documents concerned
         keys = scratch.keep(typed.select("doc", "text_hash").distinct())
-        k = lookup_side(keys, MOST_WINDOWS).select(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"))
+        k = lookup_side(keys).select(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"))
         toks = mine.join(k, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
         toks = toks.dropDuplicates(["doc", "text_hash"]).select(F.col("doc").alias("_d"), F.col("text_hash").alias("_h"), words(marked(F.col("t"))).alias("tokens"))
         typed = typed.join(toks, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
@@ -155,8 +166,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str
         typed = scratch.keep(typed.select(*along, *about, z.alias("z")))
         pairs = typed.select(*along, "pos", F.explode("z").alias("z")).select(*along, "pos", "z.*")
         times = pairs.groupBy(*along, "b", "d").agg(F.count_distinct("i").alias("n"), F.min("i").alias("first"))
-        best = [F.row_number().over(Window.partitionBy(*along, x).orderBy(F.desc("n"), "first")) for x in "bd"]
-        wrong = times.select(*along, "b", "d", F.greatest(*best).alias("rank")).where("rank > 1").drop("rank")
+        by_b, by_d = (F.row_number().over(Window.partitionBy(*along, x).orderBy(F.desc("n"), "first")) for x in "bd")
+        rank = F.when(F.col("b").startswith(NUM), by_d).otherwise(F.greatest(by_b, by_d))
+        wrong = times.select(*along, "b", "d", rank.alias("rank")).where("rank > 1").drop("rank")
         typed = _without(typed, _semi(pairs, wrong, [*along, "b", "d"]).select(*along, "pos").distinct(), [*along, "pos"])
         matched = matched.union(typed.select(*along, *about))
     matched = scratch.keep(matched.distinct())
@@ -189,13 +201,29 @@ def _without(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return _joined(left, right.select(*on), on, "left_anti")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
-    """All documents with n_items, items (ids in order, comma-joined) and contaminated."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
+    """(doc, text_hash, n_items, items): the documents with benchmark items, and the ids of these in order, comma-joined. A kept table."""
     m = matches(docs, benchmark, text, id_)
     m = m.where((F.col("windows") >= coverage * F.col("of")) | (F.col("run") >= RUN) | (F.col("share") >= SPREAD))
     # items per document: bounded by the benchmark passages that fit into its text
     m = m.groupBy("doc", "text_hash").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("item")), lambda x: x.cast("string"))).alias("items"))
     m = m.select(F.col("doc").alias("_dc_doc"), F.col("text_hash").alias("_dc_hash"), "n_items", "items")
-    m = lookup_side(Scratch(docs.sparkSession, "decontam").keep(m), 200_000)
-    out = docs.join(m, F.col(id_).eqNullSafe(F.col("_dc_doc")) & (F.xxhash64(F.col(text)) == F.col("_dc_hash")), "left").drop("_dc_doc", "_dc_hash")
-    return out.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long"))).withColumn("contaminated", F.col("n_items") > 0)
+    return Scratch(docs.sparkSession, "decontam").keep(m)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", **how) -> DataFrame:
+    """(id, n_items, items, contaminated) of every document; items is null where there are none."""
+    m = contaminated(docs, benchmark, text, id_, **how)
+    rows = docs.select(F.col(id_).alias("_dc_id"), F.xxhash64(F.col(text)).alias("_dc_text"))
+    out = rows.join(bounded_side(m), F.col("_dc_id").eqNullSafe(F.col("_dc_doc")) & (F.col("_dc_text") == F.col("_dc_hash")), "left")
+    return out.select(F.col("_dc_id").alias(id_), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "items", F.col("n_items").isNotNull().alias("contaminated"))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", **how) -> DataFrame:
+    """The documents without benchmark items, all columns as they were."""
+    m = contaminated(docs, benchmark, text, id_, **how)
+    keys = m.select("_dc_doc", "_dc_hash")
+    keys.n_rows = m.n_rows
+    rows = docs.select(F.struct(*docs.columns).alias("_dc_row"), F.col(id_).alias("_dc_id"), F.xxhash64(F.col(text)).alias("_dc_text"))
+    same = F.col("_dc_id").eqNullSafe(F.col("_dc_doc")) & (F.col("_dc_text") == F.col("_dc_hash"))
+    return rows.join(lookup_side(keys), same, "left_anti").select("_dc_row.*")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, lines, neardup, packing, pii, quality_fm, urls, warc
 from .base import table
@@ -19,13 +18,11 @@ def op2_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "held_out", "score", "predicted")
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_items", F.coalesce("items", F.lit("")).alias("items"), "contaminated")
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).fillna("", ["items"])
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,11 @@ def test_quality(spark):
     assert held and all(r.predicted == int(r.doc_id < 100) for r in held)
     assert 0 <= got[900].score <= 1 and got[900].score == got[901].score
     assert {r.score for r in quality_fm.classify(d, labels.limit(0)).collect()} == {0.5}
+    again = d.union(d.where("doc_id < 120")).union(d.limit(0)).withColumn("score", F.lit("mine"))
+    kept = quality_fm.accepted(again, labels)
+    assert kept.columns == again.columns and {r.score for r in kept.collect()} == {"mine"} and {r.doc_id for r in kept.where("doc_id < 900").collect()} == set(range(40))
+    assert quality_fm.accepted(d, labels.limit(0)).count() == d.count() and quality_fm.accepted(d, labels.where("quality = 1")).count() == d.count()
+    assert quality_fm.classify(d.limit(0), labels).count() == 0
 
 
 def test_sum_of_squares():
@@ -171,8 +176,111 @@ def test_decontam(spark):
     rows = [(1, prose(1) + " " + same + " " + prose(2), "a"), (2, mixed, "a"), (3, None, "a"), (4, item.upper(), "a"), (5, prose(3), "a"), (1, prose(1) + " " + same, "a")]
     bench = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (10, item)], "item_id long, text string")
     got = [(r.doc_id, r.contaminated, r["items"]) for r in decontam.decontaminate(docs(spark, rows), bench).collect()]
-    assert sorted(x[0] for x in got if x[1]) == [1, 1] and all(x[2] == "7,10" for x in got if x[1])
+    # of the second document only the windows with Anna contradict; capitals are a copy in plain form
+    assert sorted(x[0] for x in got if x[1]) == [1, 1, 2, 4] and all(x[2] == "7,10" for x in got if x[1])
     assert decontam.decontaminate(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.decontaminate(docs(spark, []), bench).count() == 0
+
+
+def test_decontam_contradictions(spark):
+    item = "now Tom met Ann by the mill and Tom met Ann by the pond and Tom met Ann by the hill"
+    mixed = "now Bob met Eve by the mill and Eve met Bob by the pond and Tim met Bob by the hill"
+    sums = "a farmer sold 5 old goats and then 5 young ones for 20 euros and kept 8 goats and 9 sheep for the long winter"
+    bench = spark.createDataFrame([(1, item), (2, sums)], "item_id long, text string")
+    rows = [(1, mixed, "a"), (2, item.replace("Tom", "Bob").replace("Ann", "Eve"), "a"), (3, sums.replace("5 old", "7 old").replace("5 young", "9 young"), "a"), (4, sums, "a")]
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {1: None, 2: "1", 3: "2", 4: "2"}
+
+
+def reparameterised(r, k):
+    """A question and the same one with other names, numbers and units."""
+    names, units = ["Maria", "Peter", "Olga", "Ravi", "Chen", "Lena", "Omar", "Ivan"], ["km", "kg", "hours", "liters", "dollars"]
+    frame = [w if r.random() > 0.16 else r.choice(["NUM", "NUM UNIT", "NAME"]) for w in prose(5000 + k, int(r.integers(18, 60))).split()]
+    slots = [w for w in " ".join(frame).split() if w.isupper()]
+    of = [{n: str(m) for n, m in zip(range(3), r.permutation(names)[:3])} for _ in range(2)]
+    who, out = [int(r.integers(3)) for _ in slots], []
+    unit = [dict(zip(range(2), r.permutation(units)[:2])) for _ in range(2)]
+    for side in range(2):
+        fill = iter(zip(slots, who))
+        text = []
+        for w in " ".join(frame).split():
+            if w.isupper():
+                kind, n = next(fill)
+                w = str(r.integers(2, 12)) if kind == "NUM" else of[side][n] if kind == "NAME" else unit[side][n % 2]
+            text.append(str(w))
+        out.append("so " + " ".join(text))
+    return out
+
+
+def test_decontam_recall(spark):
+    """Re-parameterised items, numbers drawn anew so that equal ones become different and the reverse, inside other text."""
+    r = np.random.default_rng(6)
+    pairs = [reparameterised(r, k) for k in range(120)]
+    bench = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "item_id long, text string")
+    rows = [(k, f"{prose(9000 + k, 80)} {b} {prose(9500 + k, 80)}", "a") for k, (_, b) in enumerate(pairs)] + [(1000 + k, prose(7000 + k, 200), "a") for k in range(60)]
+    got = {x.doc_id: x["items"] for x in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert sum(str(k) in (got[k] or "").split(",") for k in range(120)) >= 0.9 * 120
+    assert all(got[1000 + k] is None for k in range(60))
+
+
+def test_decontam_brute_force(spark):
+    """The whole query against the definition in plain loops; the tokens come from the operator."""
+    from collections import Counter
+
+    r = np.random.default_rng(8)
+    pairs = [reparameterised(r, 300 + k) for k in range(14)]
+    items = [(k, a if k % 3 else " ".join(a.split()[:7])) for k, (a, _) in enumerate(pairs)] + [(50, "Count to 5 now please"), (51, "12 7"), (52, None)]
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        cut = b.split()
+        rows += [(k, f"{prose(k, 9)} {b}", "a"), (100 + k, " ".join(cut[: len(cut) // 2]), "a"), (200 + k, a.upper(), "a")]
+        rows.append((300 + k, " ".join(w if q % 7 else "edit" for q, w in enumerate(cut)), "a"))
+        rows.append((400 + k, " ".join(str(r.choice(["Olga", "Ravi"])) if w[:1].isupper() else w for w in cut), "a"))
+    rows += [(600, "count to 9 now please", "a"), (601, "12 7", "a"), (602, "12 8", "a"), (603, None, "a"), (None, pairs[1][1], "a")]
+    marks = (decontam.NUM, decontam.NAME, decontam.UNIT)
+    read = lambda texts, lead: [x[0] for x in spark.createDataFrame([(lead + t if t else t,) for t in texts], "t string").select(base.words(decontam.marked(F.col("t")))).collect()]
+    form = lambda toks, plain: [(t[1:] if plain else t[0]) if t[0] in marks else t for t in toks]
+    bench = {}
+    for (k, t), one, two in zip(items, read([t for _, t in items], ""), read([t for _, t in items], "a ")):
+        if one:
+            bench[k] = (one, two[1:])
+    want = {}
+    for (doc, _, _), toks in zip(rows, read([t for _, t, _ in rows], "")):
+        hits = []
+        for k, (one, two) in bench.items():
+            width = min(decontam.WIDTH, len(one))
+            ok = lambda w: width >= decontam.LEAST and 2 * sum(t[0] in marks for t in w) <= width  # noqa: B023, E731
+            usable = {p for v in (one, two) for p in range(len(one) - width + 1) if ok(v[p : p + width])}
+            counted = usable or set(range(len(one) - width + 1))
+            places, typed = set(), {}
+            for at in range(len(toks) - width + 1):
+                if width < decontam.LEAST and len(toks) != width:
+                    continue
+                for p in range(len(one) - width + 1):
+                    for v in (one, two):
+                        w, d = v[p : p + width], toks[at : at + width]
+                        if form(w, True) == form(d, True) or (ok(w) and form(w, False) == form(d, False) == [x for x in w]):
+                            places.add((at - p, p))
+                        elif ok(w) and form(w, False) == form(d, False):
+                            typed.setdefault(at - p, set()).add((p, tuple((p + i, x, y) for i, (x, y) in enumerate(zip(w, d)) if x[0] in marks)))
+                        if form(w, True) == form(d, True) and ok(w) and form(w, False) == form(d, False):
+                            typed.setdefault(at - p, set()).add((p, tuple((p + i, x, y) for i, (x, y) in enumerate(zip(w, d)) if x[0] in marks)))
+            for shift, ws in typed.items():
+                at_ = {}
+                for _, z in ws:
+                    for i, x, y in z:
+                        at_.setdefault((x, y), set()).add(i)
+                rank = lambda side, pair: sorted((q for q in at_ if q[side] == pair[side]), key=lambda q: (-len(at_[q]), min(at_[q]))).index(pair)  # noqa: B023, E731
+                wrong = {q for q in at_ if rank(1, q) or (q[0][0] != decontam.NUM and rank(0, q))}
+                bad = {p for p, z in ws if any((x, y) in wrong for _, x, y in z)}
+                places |= {(shift, p) for p, _ in ws if p not in bad}
+            runs = [max((sum(1 for _ in iter(lambda n=iter(range(p, 10**6)): (shift, next(n)) in places, False)) for s, p in places if s == shift), default=0) for shift in {s for s, _ in places}]
+            covered = {p + i for _, p in places for i in range(width)}
+            if places and (len({p for _, p in places} & counted) >= decontam.COVERAGE * len(counted) or max(runs) + width - 1 >= decontam.RUN or len(covered) >= decontam.SPREAD * len(one)):
+                hits.append(k)
+        want[doc] = ",".join(map(str, sorted(hits))) or None
+    got = {x.doc_id: x["items"] for x in decontam.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert Counter(map(bool, want.values()))[True] > 30 and got == want
 
 
 def test_decontam_letter_case(spark):
@@ -229,6 +337,32 @@ def test_chat(spark):
     assert chat.chat_format(d.limit(0)).count() == 0
 
 
+def test_chat_brute_force(spark, monkeypatch):
+    """Heavy turns, null ids and many prefixes, against a plain collapse."""
+    import hashlib
+
+    monkeypatch.setattr(chat, "HEAVY", 5)
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    r, rows = np.random.default_rng(4), []
+    for c in range(60):
+        n = int(r.integers(1, 14))
+        rows += [(c if c % 9 else None, k if k % 5 else None, ["user", "assistant", None][k % 3], f"t{k}_{0 if k < 9 else c % 3}") for k in range(n)]
+    rows += [(70, 3, "user", f"x{k}") for k in range(40)] + [(71, 3, "user", f"x{k}") for k in range(40)] + rows[:20]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("pos", F.lit(1)).withColumn("digest", F.lit("clash"))
+    convs = {}
+    for c, k, who, t in set(rows):
+        convs.setdefault(c, set()).add((-1 if k is None else k, hashlib.md5(f"{len(who or '')}:{who or ''}{t or ''}".encode()).hexdigest(), who or "", t or ""))
+    lists = {c: [(x[2], x[3]) for x in sorted(v)] for c, v in convs.items()}
+    want = set()
+    for c, v in lists.items():
+        same = [x for x, y in lists.items() if y == v and x is not None]
+        if c == (min(same) if same else None) and not any(len(y) > len(v) and y[: len(v)] == v for y in lists.values()):
+            copies = sum(y == v for y in lists.values())
+            want |= {(c, b, len(v), copies, "".join(f"{chat.BEGIN}{a}\n{t}{chat.END}\n" for a, t in v[4 * b : 4 * b + 4])) for b in range(-(-len(v) // 4))}
+    got = [tuple(x) for x in chat.chat_format(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_warc(spark):
     big = "é" * 60
     rows = [(5, "u\r\nx", big), (3, None, big), (9, "v", big), (3, "w", big), (1, "s", "tiny"), (2, "s", "tiny"), (4, "n", None), (None, "q", big), (2**60 + 1, "l", "x" * 300000)]
