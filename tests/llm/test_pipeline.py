@@ -56,18 +56,32 @@ def test_stages_agree_with_brute_force(spark, tmp_path):
         assert len({r.source for r in b}) == len({r.cluster for r in b}) == len(b)
 
 
+CLASHES = "score predicted held_out n_items items contaminated email ip card phone secret term kept cluster text_hash rep key n".split()
+
+
 def test_stages_keep_columns(spark, tmp_path):
-    """Each stage but the last returns the columns of documents, clashing and null ones too, and takes empty tables."""
-    cols = "doc_id long, text string, lang string, source string, n_chars long, score double, term string"
-    rows = [(None, None, None, None, None, 1.0, "x"), (1, "", "en", "a", 0, None, None), (1, "", "en", "a", 0, None, None)]
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    """Each stage but the last returns the columns of documents, names, types and values, clashing and null ones too, and takes empty tables."""
+    cols = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} {'double' if i % 2 else 'string'}" for i, c in enumerate(CLASHES))
+    extra = lambda k: [None if (i + k) % 5 == 0 else (k + i / 8 if i % 2 else f"v{k}-{i}") for i in range(len(CLASHES))]
+    texts = [(None, None), (1, ""), (1, ""), (None, f"{prose(1)} a@b.example"), (None, prose(2)), (5, f"{prose(3)} +1 234 567 8901"), (5, prose(4)), (6, "x"), (7, prose(5))]
+    rows = [(i, t, "en" if k % 2 else None, "a" if k % 3 else None, k, *extra(k)) for k, (i, t) in enumerate(texts)]
+    rows += [rows[-1]]  # a whole row twice
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(5)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for these in (rows, []):
         docs = spark.createDataFrame(these, cols)
-        for name, stage in corpus_pipeline.STAGES[:-1]:
+        # (1, "") and the last row are there twice; the benchmark holds the last text
+        for (name, stage), kept in zip(corpus_pipeline.STAGES[:-1], (10, 8, 8, 10)):
             out = stage(spark, docs, str(tmp_path))
-            assert out.columns == docs.columns, name
-            assert out.count() <= docs.count()
+            assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
+            got = out.collect()
+            assert len(got) == (kept if these else 0), name
+            changed = ("text", "n_chars") if name == "sanitise" else ()
+            strip = lambda r: tuple(v for c, v in zip(docs.columns, r) if c not in changed)  # noqa: B023, E731
+            assert {strip(r) for r in got} <= {strip(r) for r in these}, name
+            if name == "sanitise" and these:
+                assert {r.text for r in got} >= {f"{prose(1)} <EMAIL>", f"{prose(3)} <PHONE>", None, ""}
+        corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
 
 
 def test_near_dedup_at_80_and_without_ids(spark, tmp_path):
