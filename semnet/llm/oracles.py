@@ -5,6 +5,8 @@ entry here is tested against brute force, an exact round trip or held-out
 accuracy in tests/llm.
 """
 
+from .urls import LISTED
+
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 OP1 = f"""
@@ -50,14 +52,19 @@ from sh join cls on md5(array_to_string(sh.s, chr(10))) = cls.h left join comp o
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?:[\\s\\S]*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?:[\\s\\S]*?)://[^/?#]*([^?#]*)', 1)"
 
+def _canonical(host: str, path: str) -> str:
+    return f"regexp_replace(regexp_replace({host}, '^www\\.', ''), ':(80|443)$', '') || regexp_replace({path}, '/+$', '')"
+
+
 OP5 = f"""
-with p as (select row_number() over () as rid, page_id, {_HOST} as host, {_PATH} as path from pages),
-c as (select *, regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') as canonical from p),
+with list(url) as (values {", ".join(f"('{u}')" for u in LISTED)}),
+bad as (select distinct {_canonical(_HOST, _PATH)} as canonical from list),
+p as (select row_number() over () as rid, page_id, {_HOST} as host, {_PATH} as path from pages),
+c as (select *, {_canonical("host", "path")} as canonical from p),
 rules(verdict, h, pre) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-best as (select rid, arg_max(h || pre, length(h || pre)) as rule, arg_max(verdict, length(h || pre)) as v from c join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by rid)
-select page_id, host, path, rule, canonical <> '' and starts_with(md5(canonical), '0') as listed,
-  coalesce(v, case when canonical <> '' and starts_with(md5(canonical), '0') then 'block' else 'allow' end) as verdict
-from c left join best using (rid)
+best as (select rid, arg_max(h || pre, length(h || pre)) as rule, arg_max(verdict, length(h || pre)) as v from c join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by rid),
+o as (select rid, page_id, host, path, canonical <> '' and canonical in (select canonical from bad) as listed from c)
+select page_id, host, path, rule, listed, coalesce(v, case when listed then 'block' else 'allow' end) as verdict from o left join best using (rid)
 """
 
 OP6 = """

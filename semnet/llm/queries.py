@@ -26,7 +26,7 @@ def op4_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_filter(spark, table(spark, sf_dir, "pages"))
+    return urls.url_filter(spark, sf_dir)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """URL filters: rules by host and path, and a list of URLs behind a blocked Bloom filter.
 
-The filter is a table of blocks of 256 bits.  A canonical URL picks one block
-and sets eight bits in it, so building is one grouped ``bit_or`` and probing
-is one lookup of a block.  Possible hits go to an exact hash join with the
-list, which removes the false positives.
+The filter has blocks of 256 bits.  A canonical URL picks one block and sets
+eight bits in it, so building is one grouped ``bit_or`` and probing is one
+lookup of a block.  Rows that it can't hold are done at once; only possible hits
+go to an exact hash join with the list, which removes the false positives.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is on no list; repeated rows get a row each; repeated
-listed URLs count once; other columns are ignored.
+listed URLs count once, empty and null ones not at all; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, dealt_join, lookup_side
+from .base import Scratch, lookup_side, salted_join, table
 
 #: (verdict, host, path)
 RULES = [
@@ -31,6 +32,15 @@ RULES = [
 PER_BLOCK, BITS = 16, 8
 #: Blocks that may be broadcast (40 bytes each).
 MOST_BLOCKS = 500_000
+#: The file beside the pages that lists URLs to block, one column ``url``; without one the list is LISTED.
+LIST = "blocked_urls"
+# fixed values: a small list for tables that come without one
+LISTED = [
+    "http://www.cheap-pills.example.com/en/450?page=2&ref=x", "https://www.cheap-pills.example.com/fr/176/", "https://www.cheap-pills.example.com/en/680",
+    "https://www.cheap-pills.example.com/en/926/", "https://www.cheap-pills.example.com/de/612", "http://www.casino-win.example.org/en/14", "https://casino-win.example.org/de/571",
+    "http://m.free-bets.example.com/en/27#top", "http://m.free-bets.example.com:80/de/963", "https://m.free-bets.example.com/de/216.html", "https://m.free-bets.example.net/fr/31",
+    "http://m.casino-win.example.com/en/4033.html", "https://free-bets.example.com/en/5462", "https://www.cheap-pills.example.com/de/6652.html", "https://free-bets.example.com/de/3008/",
+]
 
 
 def host_of(url: Column) -> Column:
@@ -79,41 +89,49 @@ def bloom_blocks(listed: DataFrame, n_blocks: int, col: str = "canonical") -> Da
     return rows.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)))
 
 
-def possible(rows: DataFrame, blocks: DataFrame, n_blocks: int, col: str = "canonical") -> DataFrame:
-    """The rows whose value the filter may hold: all listed ones, and a few more."""
+def marked(rows: DataFrame, blocks: DataFrame, n_blocks: int, col: str = "canonical") -> DataFrame:
+    """``rows`` with ``possible``: whether the filter may hold the value; true for all listed ones, and for a few more."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col(col)), F.lit(n_blocks)))
-    hit = rows.join(lookup_side(blocks, MOST_BLOCKS), "block")
+    if blocks.n_rows <= MOST_BLOCKS:
+        hit = rows.join(lookup_side(blocks, MOST_BLOCKS), "block", "left")
+    else:  # a block may be hit by the rows of one very frequent URL
+        hit = salted_join(rows, blocks, ["block"], F.col("row"), "left", salts=8)
     all_set = F.lit(True)
     for k, m in enumerate(_word_masks(F.xxhash64(F.col(col), F.lit(1)))):
         all_set = all_set & (F.col(f"w{k}").bitwiseAND(m) == m)
-    return hit.where(all_set).drop("block", "w0", "w1", "w2", "w3")
-
-
-def stand_in_list(pages: DataFrame, url: str = "url") -> DataFrame:
-    """A blocklist by rule, in place of a published one: canonical URLs whose md5 begins with 0."""
-    c = canonical(F.col(url))
-    return pages.select(c.alias("canonical")).where((F.col("canonical") != "") & F.md5("canonical").startswith("0")).distinct()
+    return hit.withColumn("possible", F.coalesce(all_set, F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
 
 
 def judge(pages: DataFrame, listed: DataFrame, id_: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """One row per page: id, host, path, rule, listed, verdict (the rule's, else block if the URL is listed, else allow)."""
     scratch = Scratch(pages.sparkSession, "urls")
-    rows = pages.select(F.col(id_), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical"))
-    exact = scratch.keep(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct())
-    n_blocks = max(1, -(-exact.count() // PER_BLOCK))
+    rows = pages.select(
+        F.col(id_).alias("_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("canonical"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    exact = scratch.keep(listed.select("canonical").where("canonical is not null and canonical <> ''").distinct())
+    n_blocks = max(1, -(-exact.n_rows // PER_BLOCK))
     blocks = scratch.keep(bloom_blocks(exact, n_blocks))
-    # distinct possible hits against the exact list; what remains is true
-    maybe = possible(rows.select("canonical"), blocks, n_blocks).distinct()
-    true = scratch.keep(maybe.join(exact, "canonical").withColumn("listed", F.lit(True)))
-    marked = dealt_join(rows, true, ["canonical"], F.coalesce(F.col(id_).cast("string"), F.col("url")), "left")
-    best = longest_rule(F.col("host"), F.col("path"), rules)
+    # what the filter rules out is done; the rest is kept, to be joined with the list
+    probed = marked(rows, blocks, n_blocks)
+    maybe = scratch.keep(probed.where("possible"))
+    true = exact.withColumn("listed", F.lit(True))
+    sure = salted_join(maybe, true, ["canonical"], F.col("row"), "left", salts=8)
+    every = probed.where("not possible").withColumn("listed", F.lit(False)).unionByName(sure.withColumn("listed", F.coalesce("listed", F.lit(False))))
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return (
-        marked.withColumn("listed", F.coalesce("listed", F.lit(False)))
-        .withColumn("best", best)
-        .select(F.col(id_), "host", "path", F.col("best.rule").alias("rule"), "listed", verdict.alias("verdict"))
-    )
+    out = every.withColumn("best", longest_rule(F.col("host"), F.col("path"), rules))
+    return out.select(F.col("_id").alias(id_), "host", "path", F.col("best.rule").alias("rule"), "listed", verdict.alias("verdict"))
+
+
+def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical URLs of the list beside the pages, or of LISTED."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{LIST}.parquet")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        urls = table(spark, sf_dir, LIST)
+    else:
+        urls = spark.createDataFrame([(u,) for u in LISTED], "url string")
+    return urls.select(canonical(F.col("url")).alias("canonical"))
 
 
-def url_filter(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return judge(pages, stand_in_list(pages))
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), blocklist(spark, sf_dir))
