@@ -9,7 +9,9 @@ and the digest is computed as the payload passes; a bad frame or digest raises.
 
 Records with equal payloads of at least ``LEAST`` bytes are written once: the
 one with the smallest page id is a response, the others are revisits that
-name it and carry headers only.
+name it and carry headers only.  Payloads are hashed where they lie and stay
+there while the repeated digests fit into a broadcast; beyond that only the rows
+long enough to be repeated are shuffled.
 
 Defined results: a null payload is empty; a null url is an empty target; rows
 that repeat the smallest id of a payload are all responses; a null id is
@@ -20,6 +22,7 @@ empty table gives no archive and no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, salted_join
+from .base import MOST_ROWS, Scratch, salted_join
 
 LEAST = 100
 ROLL = 64 << 20
@@ -44,7 +47,8 @@ class BadRecord(ValueError):
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a path; s3a and s3n are other names of s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -168,9 +172,16 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_: str = "
     """Write all rows as records under ``folder``; the committed manifest (path, records)."""
     rows = pages.select(F.col(id_).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256))
-    sized = rows.where(F.octet_length("html") >= LEAST)
-    first = sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = salted_join(rows, first, ["digest"], F.coalesce("page_id", F.lit(0)), "left", salts=16)
+    sized = F.coalesce(F.octet_length("html") >= LEAST, F.lit(False))
+    # 32 bytes of digest and an id
+    first = rows.where(sized).select(F.unhex("digest").alias("_sha"), "page_id").groupBy("_sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = scratch.keep(first.where("n > 1").select("_sha", "first"))
+    rows = rows.withColumn("_sha", F.when(sized, F.unhex("digest")))
+    if first.n_rows <= MOST_ROWS:
+        rows = rows.join(F.broadcast(first), "_sha", "left")
+    else:
+        short = rows.where("_sha is null").withColumn("first", F.lit(None).cast("long"))
+        rows = salted_join(rows.where("_sha is not null"), first, ["_sha"], F.coalesce("page_id", F.lit(0)), "left", salts=16).unionByName(short)
     ref = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     # as text: pandas would make floats of numbers among nulls
     rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", ref.cast("string").alias("ref"))

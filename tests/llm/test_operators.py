@@ -317,13 +317,39 @@ def test_urls(spark):
     assert got[5][2] == "www.q.org" and got[6][2] == ""
 
 
-def test_bloom_has_no_misses(spark):
-    listed = spark.range(500).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("canonical"))
+def test_bloom_has_no_misses(spark, monkeypatch):
+    listed = spark.range(500).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("canonical"), F.col("id").alias("row"))
     n = 500 // urls.PER_BLOCK
-    blocks = urls.bloom_blocks(listed, n)
-    assert urls.possible(listed, blocks, n).count() == 500
-    other = spark.range(500, 5500).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("canonical"))
-    assert urls.possible(other, blocks, n).count() < 250
+    blocks = Scratch(spark, "test").keep(urls.bloom_blocks(listed, n))
+    other = spark.range(500, 5500).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("canonical"), F.col("id").alias("row"))
+    for most in (urls.MOST_BLOCKS, 0):
+        monkeypatch.setattr(urls, "MOST_BLOCKS", most)
+        assert urls.marked(listed, blocks, n).where("possible").count() == 500
+        got = urls.marked(other, blocks, n)
+        assert got.where("possible").count() < 250 and got.count() == 5000
+
+
+def test_urls_brute_force(spark, tmp_path):
+    """The whole query, with a list beside the pages, against plain loops."""
+    r = np.random.default_rng(2)
+    hosts = ["a.com", "www.a.com", "b.example.com", "example.net", "c.org:80", "notcom", "x.net"]
+    rows = [(int(k) if k % 7 else None, f"{['http', 'https'][k % 2]}://{r.choice(hosts)}/{r.choice(['en', 'de', 'es'])}/{r.choice([7, 8, 70, 1])}{r.choice(['', '/', '?q', '#f'])}") for k in range(400)] + [(1, None), (1, ""), (2, "x"), (2, "://")]
+    spark.createDataFrame(rows, "page_id long, url string").withColumn("row", F.lit("c")).withColumn("host", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([("http://a.com/de/7",), ("https://c.org/en/8/",), (None,), ("nothing",), ("http://a.com/de/7",)], "url string").write.parquet(f"{tmp_path}/{urls.LIST}.parquet")
+
+    def split(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (m.group(1).lower(), m.group(2)) if m else ("", "")
+
+    want = []
+    for i, u in rows:
+        h, p = split(u)
+        best = max(((len(rh + rp), rh + rp, v) for v, rh, rp in urls.RULES if (h == rh or h.endswith("." + rh)) and p.startswith(rp)), default=None)
+        c = re.sub(r":(80|443)$", "", re.sub(r"^www\.", "", h)) + p.rstrip("/")
+        listed = c in ("a.com/de/7", "c.org/en/8")
+        want.append((i, h, p, best and best[1], listed, best[2] if best else "block" if listed else "allow"))
+    got = [tuple(x) for x in urls.url_filter(spark, str(tmp_path)).collect()]
+    assert any(x[4] for x in got) and sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_chat(spark):
@@ -363,7 +389,9 @@ def test_chat_brute_force(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("most", [warc.MOST_ROWS, -1])
+def test_warc(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_ROWS", most)
     big = "é" * 60
     rows = [(5, "u\r\nx", big), (3, None, big), (9, "v", big), (3, "w", big), (1, "s", "tiny"), (2, "s", "tiny"), (4, "n", None), (None, "q", big), (2**60 + 1, "l", "x" * 300000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
