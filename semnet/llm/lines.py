@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import let, salted_join, total, words
+from .base import Scratch, let, salted_join, total, words
 
 WIDTH = 5
-#: A line is boilerplate if more documents of its host carry it than both of these.
-MAX_DOCS, MAX_SHARE = 20, 0.01
+#: A line is boilerplate if more than MAX_DOCS documents of its host carry it, and more than MAX_SHARE of them or than MANY.
+MAX_DOCS, MAX_SHARE, MANY = 20, 0.01, 300
 #: A document is depleted if boilerplate has more than this share of its words.
 MAX_LOST = 0.5
 
@@ -92,33 +92,33 @@ def line_structs(text: Column) -> Column:
     )
 
 
-def common_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line): the hashes of lines above the limits. Counts are over all documents."""
+def lines_of(docs: DataFrame, keys: list[Column], text: str = "text", host: str = "source") -> DataFrame:
+    """(host, keys, at, line, n): every line of every document, once read; a kept table of hashes and counts."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = docs.select(F.col(host).alias("host"), *(k.alias(n) for k, n in zip(keys, names)), F.posexplode(line_structs(F.col(text))).alias("at", "x"))
+    return Scratch(docs.sparkSession, "lines").keep(rows.select("host", *names, "at", F.col("x.hash").alias("line"), F.col("x.n").alias("n")))
+
+
+def common_lines(lines: DataFrame, docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, many: int = MANY) -> DataFrame:
+    """(host, line): the hashes of lines above the limits. Counts are over all documents, told apart by the last key, the hash of their text."""
+    counts = lines.groupBy("host", "line").agg(F.count_distinct(lines["_k1"]).alias("n")).where(F.col("n") > max_docs)
     t = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(
-        F.col(host).alias("host"), t.alias("doc"), F.explode(F.array_distinct(F.transform(line_structs(F.col(text)), lambda x: x["hash"]))).alias("line")
-    )
-    counts = rows.groupBy("host", "line").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > max_docs)
     hosts = docs.select(F.col(host).alias("host"), t.alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("of"))
     near = salted_join(counts, hosts, ["host"], F.col("line"))
-    return near.where(F.col("n") > max_share * F.col("of")).select("host", "line")
+    return near.where((F.col("n") > max_share * F.col("of")) | (F.col("n") > many)).select("host", "line")
 
 
 def lost_words(docs: DataFrame, keys: list[Column], text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """(_host, keys, lost, lines): per distinct document with boilerplate, its words and the hashes of these lines.
+    """(host, keys, lost, lines): per distinct document with boilerplate, its words and the hashes of these lines.
 
     The host is part of the key: boilerplate is a property of a line at a host.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = docs.select(
-        F.col(host).alias("host"), *(k.alias(n) for k, n in zip(keys, names)), F.posexplode(line_structs(F.col(text))).alias("at", "x")
-    ).select("host", *names, "at", F.col("x.hash").alias("line"), F.col("x.n").alias("n"))
-    hit = salted_join(rows, common_lines(docs, text, host, **limits).withColumn("_hit", F.lit(True)), ["host", "line"], F.struct(*names))
+    rows = lines_of(docs, keys, text, host)
+    hit = salted_join(rows, common_lines(rows, docs, text, host, **limits), ["host", "line"], F.struct(*names))
     # each line of a document is there once for each repeated row of it
     once = F.size(F.collect_set("at")) / F.count("*")
-    return hit.groupBy("host", *names).agg(
-        F.round(F.sum("n") * once).cast("long").alias("lost"), F.collect_set("line").alias("lines")
-    )
+    return hit.groupBy("host", *names).agg(F.round(F.sum("n") * once).cast("long").alias("lost"), F.collect_set("line").alias("lines"))
 
 
 def keyed(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> list[Column]:

@@ -18,7 +18,7 @@ ln as (select rid, source, t, unnest(string_split(t, chr(10))) as x from d),
 filled as (select rid, count(*) - count(distinct x) as dup from ln where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by rid),
 norm as (select rid, source, t, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), ' ') as y from ln),
 host as (select source, count(distinct t) as h from d group by source),
-common as (select n.source, y from norm n join host using (source) where y <> '' group by n.source, y, h having count(distinct t) > 20 and count(distinct t) > 0.01 * h),
+common as (select n.source, y from norm n join host using (source) where y <> '' group by n.source, y, h having count(distinct t) > 20 and (count(distinct t) > 0.01 * h or count(distinct t) > 300)),
 lost as (select rid, sum(len(string_split(y, ' '))) as lost from norm join common using (source, y) group by rid),
 o as (
   select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,

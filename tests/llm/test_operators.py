@@ -42,6 +42,9 @@ def test_boilerplate(spark):
     assert got[0].lost_words == 4 and got[0].kept
     assert got[99].lost_words == got[99].n_words and not got[99].kept
     assert got[98].lost_words == 0
+    # in a host of any size a line of very many documents goes, whatever its share
+    assert {r.lost_words for r in lines.line_frequency_rules(d, max_share=2.0).collect()} == {0}
+    assert {r.doc_id: r.lost_words for r in lines.line_frequency_rules(d, max_share=2.0, many=25).collect()}[0] == 4
     cut = {r.doc_id: r.text for r in lines.strip_common_lines(d).collect()}
     assert cut[0] == prose(0, 12) and cut[98].endswith("reserved 1.")
 
