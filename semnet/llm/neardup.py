@@ -44,6 +44,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,85 +82,126 @@ STEPS = (np.arange(1, M, dtype=np.int64)[:, None] * np.arange(M) % M).astype(np.
 FRACTION = 48
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, memo: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; bytes.split cuts at the contract's white space."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.array([memo[w] for w in found], dtype=np.uint64)
-    n = max(1, len(h) - WORDS + 1)
-    out = np.full(n, np.uint64(min(len(h), WORDS)))
-    for k in range(min(len(h), WORDS)):
-        out = out * POLY + h[k : k + n]
-    return np.unique(mix(out))
-
-
-def registers(s: np.ndarray) -> np.ndarray:
-    """M truncated, exponentially spaced minima of the set; an empty set has zeros."""
-    if not len(s):
-        return np.zeros(M, np.uint16)
-    low = np.full(M, np.uint64(MASK))
+def _named(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each string, mixed eight bytes at a time, and whether it has any."""
+    names = names.cast(pa.binary())
+    raw = np.frombuffer(names.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
+    start, size = ends[:-1], np.diff(ends)
+    out = mix(size.astype(np.uint64) + POLY)
+    lanes = -(-size // 8)
+    for k in np.unique(lanes[(lanes > 0) & (lanes <= 16)]):
+        mine = np.flatnonzero(lanes == k)
+        at = start[mine, None] + np.arange(8 * k)
+        byte = np.where(at < ends[mine + 1][:, None], raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8)
+        for lane in byte.view(np.uint64).T:
+            out[mine] = mix(out[mine] ^ lane) + POLY
+    for i in np.flatnonzero(lanes > 16):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : ends[i + 1]].tobytes())
+    return out, size > 0
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, in order, and the number of words of each text.
+
+    Arrow lower-cases A-Z only and cuts at the contract's white space; a word is
+    hashed once however often a batch has it.
+    """
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = cut.flatten().dictionary_encode()
+    of, full = _named(flat.dictionary)
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    real = full[codes]
+    ends = np.concatenate([[0], np.cumsum(real)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+    return of[codes[real]], np.diff(ends)
+
+
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of the 5-word shingles of each text, one text after the other, and the number of each."""
+    h, n = word_hashes(texts)
+    first = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(h)) - first[doc]
+    starts = np.flatnonzero(at <= np.maximum(n[doc] - WORDS, 0))  # of a short text its first word
+    width = np.minimum(n[doc[starts]], WORDS)
+    out = width.astype(np.uint64)
+    for k in range(WORDS):
+        longer = slice(None) if (width > k).all() else width > k
+        out[longer] = out[longer] * POLY + h[starts[longer] + k]
+    out, doc = mix(out), doc[starts]
+    order = np.argsort(out)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]
+    out, doc = out[order], doc[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return out[new], np.bincount(doc[new], minlength=len(n))
+
+
+def registers(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """M truncated, exponentially spaced minima of each set; an empty set has zeros. ``s`` has the sets one after the other, ``n`` their sizes."""
+    low = np.full((len(n), M), np.uint64(MASK))
+    doc = np.repeat(np.arange(len(n)), n)
     where = mix(s ^ POLY)
-    first = (((where & np.uint64(0xFFFFFFFF)) * np.uint64(M - 1)) >> np.uint64(32)).astype(np.int64)
-    offset = (((where >> np.uint64(32)) * np.uint64(M)) >> np.uint64(32)).astype(np.int16)
-    done, width = 0, max(1, math.ceil(1.2 * M * math.log(M) / len(s)))
-    while done < M:
-        width = min(width, M - done)
-        for at in range(0, len(s), 1 << 16):  # bounded memory for very long texts
-            part = slice(at, at + (1 << 16))
-            j = np.arange(done, done + width, dtype=np.uint64)
-            to = STEPS[first[part], done : done + width] + offset[part, None]
-            to -= np.int16(M) * (to >= M)
-            point = mix(s[part, None] + (j + np.uint64(1)) * POLY) >> np.uint64(64 - FRACTION) | j << np.uint64(FRACTION)
-            np.minimum.at(low, to.ravel(), point.ravel())
-        done += width
-        if int(low.max()) < done << FRACTION:  # no later interval can lower a register
+    step = (((where & np.uint64(0xFFFFFFFF)) * np.uint64(M - 1)) >> np.uint64(32)).astype(np.int64)
+    offset = (((where >> np.uint64(32)) * np.uint64(M)) >> np.uint64(32)).astype(np.int64)
+    for j in range(M):
+        to = STEPS[step, j] + offset
+        to -= M * (to >= M)
+        point = mix(s + np.uint64(j + 1) * POLY) >> np.uint64(64 - FRACTION) | np.uint64(j << FRACTION)
+        np.minimum.at(low.reshape(-1), doc * M + to, point)
+        # no later interval can lower a register of a set whose registers are all below it
+        open_ = low.max(axis=1) >= np.uint64((j + 1) << FRACTION) if j + 1 < M else np.zeros(len(n), bool)
+        more = open_[doc]
+        if not more.any():
             break
-        width *= 2
+        if not more.all():
+            s, doc, step, offset = s[more], doc[more], step[more], offset[more]
     u = (low.astype(np.float64) + 0.5) / 2.0**FRACTION / M
     h = -np.log1p(-np.minimum(u, 1 - 1e-16)) / RATE
-    return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, TOP).astype(np.uint16)
+    out = np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, TOP).astype(np.uint16)
+    out[n == 0] = 0
+    return out
+
+
+def portions(b: pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, one row at least."""
+    size = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
+        yield b.slice(at, end - at)
+        at = end
 
 
-SKETCH = "doc_id string, text_hash long, n_shingles long, set_id binary, sketch binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_id binary, sketch binary"
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo = _Hashes()
-    for b in batches:
-        n, ids, sketches = [], [], []
-        with np.errstate(over="ignore"):
-            for t in b["text"]:
-                s = shingles(t, memo)
-                n.append(len(s))
-                ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketches.append(registers(s).tobytes())
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "sketch": sketches})
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in portions(whole, "text"):
+            with np.errstate(over="ignore"):
+                s, n = shingles(b.column("text"))
+                r = registers(s, n)
+            ends = np.cumsum(n)
+            raw = s.tobytes()
+            ids = [xxhash.xxh3_128_digest(raw[8 * (e - k) : 8 * e]) for e, k in zip(ends.tolist(), n.tolist())]
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(ids, pa.binary()), pa.array([x.tobytes() for x in r], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_shingles", "set_id", "sketch"])
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo = _Hashes()
-    for b in batches:
-        with np.errstate(over="ignore"):
-            yield pd.DataFrame({"rep": b["rep"], "shingles": [shingles(t, memo).view(np.int64) for t in b["text"]]})
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in portions(whole, "text"):
+            with np.errstate(over="ignore"):
+                s, n = shingles(b.column("text"))
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), made], ["rep", "shingles"])
 
 
 def loglik(j: np.ndarray, u: np.ndarray, more, less, same) -> np.ndarray:
@@ -246,7 +289,7 @@ def sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scra
     reps = scratch.keep(classes.join(lookup_side(reps), "rep", "left_semi").select("rep", F.col("one.doc_id").alias("_d"), F.col("one.text_hash").alias("_h")))
     same = texts["doc_id"].eqNullSafe(reps["_d"]) & (texts["text_hash"] == reps["_h"])
     mine = texts.join(lookup_side(reps), same).groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows count once
-    return scratch.keep(mine.mapInPandas(_sets, "rep binary, shingles array<long>"))
+    return scratch.keep(mine.select("rep", "text").mapInArrow(_sets, "rep binary, shingles array<long>"))
 
 
 def relabel(df: DataFrame, col: str, to: DataFrame, by: str) -> DataFrame:
@@ -434,9 +477,7 @@ def linked(docs: DataFrame, text: str, id_: str, percent: int, rows: int) -> tup
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    # ids pass Python as text: pandas would make floats of numbers among nulls
-    sk = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch, SKETCH)
-    sk = scratch.keep(sk.withColumn("doc_id", F.col("doc_id").cast("long")))
+    sk = scratch.keep(texts.mapInArrow(_sketch, SKETCH))
     # 1. classes of equal sets: the least id of each, and one document to make the set from again
     full = sk.where("n_shingles > 0").groupBy(F.col("set_id").alias("rep"))
     classes = full.agg(

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, salted_join, words
+from .base import WORD, Scratch, salted_join, words
 
 CAPACITY = 2048
 #: Expected pieces of a shard.
@@ -111,16 +111,18 @@ def pieces(
     a row; without one a text is a cluster with its own copies.
     """
     t = F.col(text)
+    key = cluster_key(t) if clusters is None else F.lit(None).cast("long")
     rows = docs.select(
-        F.col(id_).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.col(source).alias("source"), F.size(words(t)).alias("n"),
-        cluster_key(t).alias("own"), F.monotonically_increasing_id().alias("row"),
-    ).where("n > 0")
+        F.col(id_).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.col(source).alias("source"), F.regexp_count(F.coalesce(t, F.lit("")), F.lit(WORD)).alias("n"),
+        key.alias("own"), F.monotonically_increasing_id().alias("row"),
+    )
     if clusters is not None:
         rows = salted_join(rows, clusters, ["doc_id", "text_hash"], F.col("row"), "left", salts=4)
     else:
         rows = rows.withColumn("cluster", F.lit(None).cast("long"))
+    # a text without words has no part
     parts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int")),
+        F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))),
         lambda k: F.struct(k.alias("part"), F.least(F.lit(capacity), F.col("n") - k * capacity).alias("n_tokens")),
     )
     rows = rows.select("doc_id", "text_hash", "source", F.coalesce("cluster", "own").alias("cluster"), "row", F.explode(parts).alias("p"))

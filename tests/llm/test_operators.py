@@ -4,6 +4,7 @@ import io
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,12 @@ def test_boilerplate(spark):
     assert cut[0] == prose(0, 12) and cut[98].endswith("reserved 1.")
 
 
+def sets_of(texts):
+    with np.errstate(over="ignore"):
+        s, n = neardup.shingles(pa.array(texts, pa.string()))
+    return np.split(s, np.cumsum(n)[:-1])
+
+
 def test_neardup_brute_force(spark):
     base = prose(1, 200).split()
     rows = [(k, t, s) for k, t, s in AWKWARD if k != 6]
@@ -61,7 +68,7 @@ def test_neardup_brute_force(spark):
         rows.append((i, prose(seed) + f" last{i}", "a"))
     rows += [(None, prose(52) + " other", "a"), (80, prose(53), "a")]
     got = neardup.near_duplicates(docs(spark, rows)).collect()
-    sets = [neardup.shingles(t, neardup._Hashes()) if t else np.empty(0) for _, t, _ in rows]
+    sets = sets_of([t for _, t, _ in rows])
     ids = [i for i, _, _ in rows]
     root = list(range(len(rows)))
     for _ in rows:
@@ -78,14 +85,32 @@ def test_neardup_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_shingles():
+    texts = [None, "", " \t", "a B", "A b c D e", "a b c d e", " \n".join("x y z".split()) + "  ", "q " * 9, prose(3), "É é a b c d", "a\x1cb c\u00a0d"]
+    low = lambda t: t.translate({k: k + 32 for k in range(65, 91)})
+    plain = []
+    for t in texts:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", low(t or "")) if x]
+        plain.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    got = [set(x.tolist()) for x in sets_of(texts)]
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    assert all((got[i] == got[k]) == (plain[i] == plain[k]) for i in range(len(texts)) for k in range(len(texts)))
+    # in portions as at once
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [x for b in neardup.portions(whole, "text", 4) for x in sets_of(b.column("text").to_pylist())]
+    assert [set(x.tolist()) for x in parts] == got
+
+
 def test_registers():
-    memo = neardup._Hashes()
+    a, b = sets_of([prose(1, 500), prose(1, 500) + " " + prose(2, 40)])
     with np.errstate(over="ignore"):
-        a, b = neardup.shingles(prose(1, 500), memo), neardup.shingles(prose(1, 500) + " " + prose(2, 40), memo)
-        u = neardup.registers(np.union1d(a, b))
-        assert (u == np.maximum(neardup.registers(a), neardup.registers(b))).all()
-        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        est = neardup.estimate(neardup.registers(a)[None], neardup.registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
+        every = [a, np.empty(0, np.uint64), b, np.union1d(a, b), a[:1]]
+        r = neardup.registers(np.concatenate(every), np.array([len(x) for x in every]))
+        alone = [neardup.registers(x, np.array([len(x)]))[0] for x in every]
+    assert (r == np.array(alone)).all() and not r[1].any()
+    assert (r[3] == np.maximum(r[0], r[2])).all()
+    j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    est = neardup.estimate(r[0][None], r[2][None], np.array([len(a)]), np.array([len(b)]))[0]
     assert abs(est - j) < 0.15
 
 
@@ -124,13 +149,13 @@ def test_prefix_links(spark, monkeypatch):
         rows.append((i, " ".join(w), "a"))
     d = docs(spark, rows).select(F.col("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     scratch = Scratch(spark, "test")
-    sk = scratch.keep(d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "text_hash").mapInPandas(neardup._sketch, neardup.SKETCH))
+    sk = scratch.keep(d.mapInArrow(neardup._sketch, neardup.SKETCH))
     one = F.first(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_hash").alias("text_hash")))
     classes = scratch.keep(sk.groupBy(F.col("set_id").alias("rep")).agg(one.alias("one"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     members = scratch.keep(classes.select("rep", F.col("rep").alias("comp")))
     links = neardup.prefix_links(members, classes, d, scratch, 85)
     named = {bytes(c.rep): c.one.doc_id for c in classes.collect()}
-    sets = {i: set(neardup.shingles(t, neardup._Hashes()).tolist()) for i, t, _ in rows if i in named.values()}
+    sets = {i: set(x.tolist()) for (i, _, _), x in zip(rows, sets_of([t for _, t, _ in rows])) if i in named.values()}
     parent = {i: i for i in sets}
 
     def root(i):
