@@ -395,22 +395,25 @@ def _blocks(percent: int):
     return run
 
 
-def _prefixes(percent: int, usual: np.ndarray):
+def _prefixes(percent: int, usual: np.ndarray, size: np.ndarray):
     """The rarest shingles of each set, as many as any set that reaches the threshold must share one of.
 
-    ``usual`` has frequent shingles, sorted; a set's other shingles come first.
+    ``usual`` has frequent shingles, sorted, and ``size`` the logarithms of
+    their frequencies; a set's other shingles come first.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for rep, s in zip(b["rep"], b["shingles"]):
+            reps, comps, found = [], [], [np.empty(0, np.int64)]
+            for rep, comp, s in zip(b["rep"], b["comp"], b["shingles"]):
                 s = np.asarray(s, np.int64)
-                at = np.searchsorted(usual, s)
-                late = np.zeros(len(s), bool) if not len(usual) else usual[np.minimum(at, len(usual) - 1)] == s
+                at = np.minimum(np.searchsorted(usual, s), max(0, len(usual) - 1))
+                late = np.where(usual[at] == s, size[at], 0) if len(usual) else np.zeros(len(s), np.int8)
                 n = len(s) - (percent * len(s) + 99) // 100 + 1
-                out += [(rep, int(t)) for t in s[np.lexsort((s, late))][:n]]
-            yield pd.DataFrame(out, columns=["rep", "token"]) if out else pd.DataFrame({"rep": pd.Series([], dtype=object), "token": pd.Series([], dtype="int64")})
+                found.append(s[np.lexsort((s, late))][:n])
+                reps += [rep] * len(found[-1])
+                comps += [comp] * len(found[-1])
+            yield pd.DataFrame({"rep": pd.Series(reps, dtype=object), "comp": pd.Series(comps, dtype=object), "token": np.concatenate(found)})
 
     return run
 
@@ -437,17 +440,19 @@ def prefix_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scrat
     """
     sets = sets_of(members, classes, texts, scratch)
     counts = scratch.keep(sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
-    # the order of the shingles may be any: the most frequent ones that fit into a bounded array come last
-    by_size = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("k")).collect()  # at most 63 rows
-    floor, held = 63, 0
+    # the order of the shingles may be any: by frequency, as far down as fits into a bounded array
+    log = F.floor(F.log2("n")).cast("int")
+    by_size = counts.groupBy(log.alias("size")).agg(F.count("*").alias("k")).collect()  # at most 63 rows
+    floor, held = 64, 0
     for r in sorted(by_size, reverse=True):
         if held + r["k"] > MOST_COMMON:
             break
         floor, held = r["size"], held + r["k"]
-    usual = np.sort(np.array([r[0] for r in counts.where(F.col("n") >= F.lit(2.0) ** floor).select("token").collect()], np.int64)) if held else np.empty(0, np.int64)
-    rows = sets.select("rep", "shingles").mapInPandas(_prefixes(percent, usual), "rep binary, token long")
+    frequent = sorted((r["token"], r["size"]) for r in counts.select("token", log.alias("size")).where(F.col("size") >= floor).collect()) if held else []
+    usual, size = np.array([t for t, _ in frequent], np.int64), np.array([k for _, k in frequent], np.int8)
     mine = members.select("rep", "comp")
-    rows = scratch.keep(rows.join(F.broadcast(mine) if members.n_rows <= MOST_ROWS else mine, "rep"))
+    mine = sets.join(F.broadcast(mine) if members.n_rows <= MOST_ROWS else mine, "rep").select("rep", "comp", "shingles")
+    rows = scratch.keep(mine.mapInPandas(_prefixes(percent, usual, size), "rep binary, comp binary, token long"))
     by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
     live = by_comp.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("n_in"), F.max(F.struct("n", "comp")).alias("most")).where("k > 1")
     live = scratch.keep(live.select("token", "n_in", F.col("most.n").alias("n_most"), F.col("most.comp").alias("most")))
@@ -467,7 +472,8 @@ def prefix_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scrat
     across = F.transform(upto("bm"), lambda o: meet(True, o, F.col("blk"), F.lit(1)))
     of_most = F.transform(upto("bo"), lambda o: meet(True, F.col("blk"), o, F.lit(0)))
     met = large.select("token", "rep", "comp", F.explode(F.when(F.col("is_most"), of_most).otherwise(F.concat(among, across))).alias("m")).select("token", "rep", "comp", "m.*")
-    met = met.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep").join(sets, "rep")
+    about = classes.select("rep", F.col("n_shingles").alias("n"), "sketch").join(sets, "rep")
+    met = met.join(about, "rep")
     more = scratch.keep(met.groupBy("token", "most", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary").distinct())
     return scratch.keep(found.union(more))
 
