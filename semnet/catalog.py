@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import cluster, graph, measures, queries, stats, ties
+from .plans.network import Network
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -271,18 +272,25 @@ add(
     f"""with {E_}, m(o, n) as (values (11, 1), (12, 2)), x as (select coalesce(a.n, src) as s, coalesce(b.n, dst) as d, src, dst, weight from e left join m a on a.o = src left join m b on b.o = dst)
     select cast(s as bigint) as src, cast(d as bigint) as dst, round(sum(weight), 6) as weight from x where s <> d or src = dst group by s, d""",
 )(lambda s, d: graph.merge_nodes(_edges(s, d), s.createDataFrame([(11, 1), (12, 2)], "old int, new int")))
-STRONG = "s as (select * from e where weight > 1.2)"
-
-
 def _ego(depth: int) -> str:
     balls = "b0 as (select seed, seed as node from (values (3), (5)) as x(seed))"
     for k in range(depth):
         balls += f", b{k + 1} as (select * from b{k} union select seed, dst from b{k} join s on node = src)"
-    return f"with {E_}, {STRONG}, {balls} select distinct {EDGE} from s join b{depth} x on x.node = src join b{depth} y on y.node = dst and x.seed = y.seed"
+    return f"with {E_}, s as (select * from e), {balls} select distinct {EDGE} from s join b{depth} x on x.node = src join b{depth} y on y.node = dst and x.seed = y.seed"
 
 
 for _k in (1, 2):
-    add(f"ego_depth{_k}", _ego(_k))(lambda s, d, k=_k: graph.ego_network(_edges(s, d).where("weight > 1.2"), s.createDataFrame([(3,), (5,)], "id int"), k))
+    add(f"ego_depth{_k}", _ego(_k))(lambda s, d, k=_k: graph.ego_network(_edges(s, d), s.createDataFrame([(3,), (5,)], "id int"), k))
+
+_TOP = "s as (select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) as r from e) where r <= 12)"
+_WORDS3 = lambda s: s.range(200).select(F.col("id").cast("int").alias("token_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"))
+for _k in (0, 1, 2):
+    _sql = _ego(_k).replace("s as (select * from e)", _TOP) if _k else f"with {E_}, {_TOP} select {EDGE} from s where src in (3, 5)"
+    add(f"ego_search{_k}", _sql)(lambda s, d, k=_k: Network(_ties(s, d), _WORDS3(s)).condition(tokens=[3, 5], depth=k, max_degree=12).edges.select("src", "dst", "weight"))
+on_edges("max_scaled", graph.max_scaled, f"with {E_} select {L('src', 'dst')}, round(weight / max(weight) over (), 6) as weight from e")
+on_edges("neighbours_ranked", lambda e: graph.ranked(e.withColumn("weight", F.round("weight", 6))), f"with {E_} select {EDGE}, row_number() over (partition by src order by round(weight, 6) desc, dst) - 1 as rank from e")
+on_edges("strongest_ties", lambda e: graph.strongest(e.withColumn("weight", F.round("weight", 6))), f"with {E_} select {EDGE} from e order by round(weight, 6) desc, src, dst limit 100")
+on_edges("softmax", graph.softmax, f"with {E_}, x as (select src, dst, exp(exp(weight - max(weight) over (partition by src))) as x from e) select {L('src', 'dst')}, round(x / sum(x) over (partition by src), 6) as weight from x")
 
 # --- measures
 on_edges("proximity", lambda e: measures.proximity(e, IDS), f"with {E_} select cast(src as bigint) as token_id, cast(dst as bigint) as alter_id, {R('weight')} from e where src in ({_IN(IDS)})")
@@ -300,18 +308,32 @@ on_edges("pagerank_joins", lambda e: measures.pagerank_joins(e, rounds=2),
 SYMW = "z as (select src, dst, sum(w) as w, count(*) as ways from (select src, dst, weight as w from {0} where src <> dst union all select dst, src, weight from {0} where src <> dst) group by src, dst)"
 for _m, _v in (("unweighted", "1.0"), ("weighted", "pow(weight / (select max(weight) from s where src <> dst), 1.0 / 3)")):
     on_edges(
-        f"clustering_{_m}", lambda e, m=_m: measures.local_clustering(e.where("weight > 1"), m == "weighted"),
-        f"""with {E_}, s as (select * from e where weight > 1), v as (select src, dst, {_v} as weight from s), {SYMW.format('v')},
+        f"clustering_{_m}", lambda e, m=_m: measures.local_clustering(e, m == "weighted"),
+        f"""with {E_}, s as (select * from e), v as (select src, dst, {_v} as weight from s), {SYMW.format('v')},
         t as (select a.src as node, sum(a.w * b.w * c.w) as t from z a join z b on a.dst = b.src and a.src <> b.dst join z c on b.dst = c.src and c.dst = a.src group by a.src),
         d as (select src as node, sum(ways) as d, sum(case when ways = 2 then 1 else 0 end) as m from z group by src)
         select cast(d.node as bigint) as node, round(case when 2 * (d * (d - 1) - 2 * m) > 0 and t is not null then t / (2 * (d * (d - 1) - 2 * m)) else 0 end, 6) as clustering from d left join t on t.node = d.node""",
     )
-on_edges("constraint", lambda e: measures.constraint(e.where("weight > 1")),
-    f"""with {E_}, s as (select * from e where weight > 1), {SYMW.format('s')}, p as (select src, dst, w / sum(w) over (partition by src) as p from z),
+_MEASURE = """v_{0} as (select win, src, dst, {1} as w from y where src <> dst), z_{0} as (select win, src, dst, sum(w) as w, count(*) as ways from (select win, src, dst, w from v_{0} union all select win, dst, src, w from v_{0}) group by win, src, dst),
+  t_{0} as (select a.win, a.src as node, sum(a.w * b.w * c.w) as t from z_{0} a join z_{0} b on a.win = b.win and a.dst = b.src join z_{0} c on c.win = b.win and b.dst = c.src and c.dst = a.src group by all),
+  d_{0} as (select win, src as node, sum(ways) as d, sum(case when ways = 2 then 1 else 0 end) as m from z_{0} group by win, src),
+  o_{0} as (select n.win, '{2}' as measure, n.node, case when 2 * (d * (d - 1) - 2 * m) > 0 and t is not null then t / (2 * (d * (d - 1) - 2 * m)) else 0 end as value from n left join d_{0} d on d.win = n.win and d.node = n.node left join t_{0} t on t.win = n.win and t.node = n.node)"""
+on_ties(
+    "yearly_centralities", lambda t: measures.yearly_centralities(t, ["local_clustering", "weighted_local_clustering", "frequency"], queries.moving_windows(t, 1, 0)),
+    f"""with {T}, w as (select distinct time as win from ties), near as (select win, ties.* from ties join w on time between win - 1 and win),
+    y as (select win, sub as src, occ as dst, sum(weight) as weight from near group by all), top as (select win, max(weight) as top from y where src <> dst group by win),
+    n as (select win, src as node from y union select win, dst from y),
+    {_MEASURE.format("u", "1.0", "local_clustering")}, {_MEASURE.format("w", "pow(weight / (select top from top where top.win = y.win), 1.0 / 3)", "weighted_local_clustering")},
+    f as (select win, occ as node, round(sum(weight)) as value from near group by all),
+    o as (select * from o_u union all select * from o_w union all select n.win, 'frequency', n.node, coalesce(value, 0) from n left join f on f.win = n.win and f.node = n.node)
+    select cast(win as bigint) as "window", measure, cast(node as bigint) as token_id, round(value, 6) as value from o""",
+)
+on_edges("constraint", measures.constraint,
+    f"""with {E_}, s as (select * from e), {SYMW.format('s')}, p as (select src, dst, w / sum(w) over (partition by src) as p from z),
     t as (select a.src as i, b.dst as j, sum(a.p * b.p) as s from p a join p b on a.dst = b.src where a.src <> b.dst group by all)
     select cast(src as bigint) as node, round(sum(pow(p + coalesce(t.s, 0), 2)), 6) as "constraint" from p left join t on i = src and j = dst group by src""")
-on_edges("effective_size", lambda e: measures.effective_size(e.where("weight > 1")),
-    f"""with {E_}, s as (select * from e where weight > 1), {SYMW.format('s')}, p as (select src, dst, w / sum(w) over (partition by src) as p from z), m as (select src, dst, w / max(w) over (partition by src) as m from z),
+on_edges("effective_size", measures.effective_size,
+    f"""with {E_}, s as (select * from e), {SYMW.format('s')}, p as (select src, dst, w / sum(w) over (partition by src) as p from z), m as (select src, dst, w / max(w) over (partition by src) as m from z),
     r as (select z.src as i, sum(p * m) as r from z join p on p.src = z.src join m on m.src = z.dst and m.dst = p.dst where p.dst <> z.src group by z.src)
     select cast(z.src as bigint) as node, round(count(*) - coalesce(max(r), 0), 6) as effective_size from z left join r on i = z.src group by z.src""")
 on_ties(
@@ -365,6 +387,27 @@ DOCS = lambda s, d: _table(s, d, "documents")
 add("text_normalise_numeric", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(translate(trim(regexp_replace(text, '\s+', ' ', 'g')), '#(){}', ''), '^\d+', ''), '\d+$', ''), '\b\d{5,}\b', '', 'g') as text from documents""")(
     lambda s, d: DOCS(s, d).select("doc_id", text.strip_numbers(text.drop_brackets(text.collapse_space(F.col("text")))).alias("text"))
 )
+_V1 = "translate(replace(replace(replace(replace(replace(replace({0}, chr(10), ' '), ' ' || chr(39), ' ' || chr(39) || ' '), ' .', '. '), ' ,', ', '), '...', '. '), '<p>', ' '), '#$%()*/<>@\\{{}}[]+^~\"', '                    ')"
+add("text_clean_v1", "select doc_id, regexp_replace(regexp_replace(trim(regexp_replace(" + _V1.format("text") + r", '\s+', ' ', 'g')), '^\d+', ''), '\d+$', '') as text from documents")(
+    lambda s, d: DOCS(s, d).select("doc_id", text.clean_v1(F.col("text")).alias("text"))
+)
+_LINES = lambda s, d: DOCS(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq_id", "text"))
+add("text_row_rules", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as seq_id from documents),
+    w as (select doc_id, seq_id, string_split(text, ' ') as w from l where length(text) >= 2),
+    c as (select doc_id, seq_id, w, list_transform(generate_series(1, len(w)), lambda k: length(array_to_string(w[1:k], ' '))) as sizes from w),
+    t as (select doc_id, seq_id, array_to_string(w[1:len(list_filter(sizes, lambda n: n <= 79))], ' ') as t from c)
+    select cast(doc_id as bigint) as doc_id, cast(seq_id as bigint) as seq_id, replace(translate(case when regexp_matches(t, '[,.;":]$') then t else t || '.' end, '‘’´“”–-', repeat(chr(39), 3) || '""--'), '?', ' ? ') as text from t""")(
+    lambda s, d: text.row_rules(_LINES(s, d), "text", 80)
+)
+_IDS = "list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w))"
+add("text_padded", f"select doc_id, array_to_string(([101] || ({_IDS})[1:14] || [102] || list_transform(range(14 - least(14, len({_IDS}))), lambda i: 0)), ',') as ids from documents where length(text) >= 3")(
+    lambda s, d: text.drop_short(DOCS(s, d), "text").select("doc_id", text.padded(F.transform(text.tokens(F.col("text")), lambda w: F.length(w)), 16, 101, 102, 0).alias("ids"))
+)
+add("text_token_rows", """with k as (select doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w <> 'the') as w from documents)
+    select doc_id, source, generate_subscripts(w, 1) - 1 as pos, unnest(w) as token from k""")(
+    lambda s, d: text.token_rows(DOCS(s, d).select("doc_id", "source", "text"), text.known_only(text.tokens(F.col("text")), "the")).drop("text")
+)
+add("first_rows", "select doc_id, source from documents order by source, doc_id limit 40")(lambda s, d: text.first_rows(DOCS(s, d).select("doc_id", "source"), ["source", "doc_id"], 40))
 add("html_strip", """select page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') as text from pages""")(
     lambda s, d: _table(s, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 )
@@ -393,10 +436,10 @@ def _(s, d):
 
 # --- tie construction on text
 def _tokens(s, d) -> DataFrame:
-    return DOCS(s, d).where("lang = 'en'").select(F.col("doc_id").alias("run_index"), F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
+    return DOCS(s, d).select(F.col("doc_id").alias("run_index"), F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
 
 
-MODEL = """tok as (select doc_id as run_index, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) - 1 as pos from documents where lang = 'en'),
+MODEL = """tok as (select doc_id as run_index, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) - 1 as pos from documents),
 n as (select *, lag(token) over w as l, lead(token) over w as r from tok window w as (partition by run_index order by pos)),
 t as (select * from n where l is not null and r is not null),
 b as (select l, r, token as cand, count(*) as c from t group by l, r, token), b2 as (select *, count(*) over (partition by l, r) as k, c / sum(c) over (partition by l, r) as prob from b),
@@ -438,7 +481,6 @@ add("tie_own_tie_removed", f"""with {MODEL}, {CUT.format(pct=99, deg=10)}, p as
     select sub, occ, count(*) as n, round(sum(w) + 5e-8, 5) as weight from x group by sub, occ""")(lambda s, d: TIE_AGG(_own(s, d)))
 
 # --- iterative and numeric operators without SQL
-SOME = lambda s, d: _edges(s, d).where("weight > 1 and src < 60 and dst < 60")
 add("pagerank")(lambda s, d: measures.pagerank(_edges(s, d)))
 add("louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d))))
 add("consensus_louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="consensus_louvain"))

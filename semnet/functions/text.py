@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: characters that the older preprocessor replaces with a space, and typographic marks with their plain forms
-KILL_CHARS = "+*&%$#@^~`|\\/<>=_[]"
-CURLY, PLAIN = "‘’“”–—", "''\"\"--"
+KILL_CHARS = "#$%()*/<>@\\{}[]+^~\""
+CURLY, PLAIN = "‘’´“”–-", "'''\"\"--"
 
 
 @F.pandas_udf(StringType())
@@ -80,15 +80,45 @@ def clean(c: Column, markup: bool = True) -> Column:
 
 
 def clean_v1(c: Column) -> Column:
-    """The older preprocessor's chain."""
-    t = F.replace(c, F.lit(" '"), F.lit(" "))
-    t = F.translate(t, KILL_CHARS, " " * len(KILL_CHARS))
-    for old, new in (("...", "."), (" .", ". "), (" ,", ",")):
-        t = F.replace(t, F.lit(old), F.lit(new))
-    t = collapse_space(t)
+    """The older preprocessor's chain: marks spaced out, paragraph tags and odd characters blanked, outer digits dropped."""
+    for old, new in (("\n", " "), (" '", " ' "), (" .", ". "), (" ,", ", "), ("...", ". "), ("<p>", " ")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    t = collapse_space(F.translate(c, KILL_CHARS, " " * len(KILL_CHARS)))
     return F.regexp_replace(F.regexp_replace(t, r"^\d+", ""), r"\d+$", "")
 
 
+def row_rules(rows: DataFrame, text: str, most_chars: int, least: int = 2) -> DataFrame:
+    """Rows of at least ``least`` characters, cut at a word to fewer than ``most_chars``, closed with a point, typographic marks plain."""
+    t = trim_words(F.col(text), most_chars - 1)
+    closed = F.when(t.rlike('[,.;":]$'), t).otherwise(F.concat(t, F.lit(".")))
+    return rows.where(F.length(text) >= least).withColumn(text, plain_marks(closed))
+
+
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows in an order: the preprocessor's limit on a corpus."""
+    return rows.orderBy(*order).limit(most)
+
+
+def drop_short(rows: DataFrame, text: str, least: int = 3) -> DataFrame:
+    return rows.where(F.length(text) >= least)
+
+
+def padded(ids: Column, width: int, first: int, last: int, pad: int) -> Column:
+    """Token ids between two special ones, cut and filled up to ``width``."""
+    inner = F.slice(ids, 1, width - 2)
+    return F.concat(F.array(F.lit(first)), inner, F.array(F.lit(last)), F.array_repeat(F.lit(pad), F.lit(width - 2) - F.size(inner)))
+
+
+def known_only(tokens_: Column, unknown: str = "[UNK]") -> Column:
+    """Tokens without the unknown one; places are counted among those that remain."""
+    return F.filter(tokens_, lambda t: t != unknown)
+
+
+def token_rows(rows: DataFrame, tokens_: Column, pos: str = "pos", token: str = "token") -> DataFrame:
+    """One row per token, with the attributes of its sentence."""
+    return rows.select("*", F.posexplode(tokens_).alias(pos, token))
+
+
 def sentences(c: Column) -> Column:
     """Cut after . ! or ? and white space. A pattern, not a trained splitter: abbreviations do cut."""
     return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)

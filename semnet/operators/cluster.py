@@ -133,16 +133,23 @@ def consensus(adj: dict, runs: int = 4, least: float = 0.5, resolution: float =
     return best_partition(kept, resolution, 0)
 
 
-ALGORITHMS = {"louvain": best_partition, "consensus_louvain": consensus, "infomap": best_partition}
+ALGORITHMS = {"louvain": best_partition, "consensus_louvain": consensus}
+#: Edges of one graph, which one task clusters.
+MOST_EDGES = 5_000_000
 
 
 def cluster_edges(edges: DataFrame, by: list[str] = (), algorithm="louvain", resolution: float = 1.0, seed: int = 0) -> DataFrame:
     """(by..., node, cluster): clusters of many small graphs at once, one group each.
 
     ``algorithm`` is a name or a function of a frame of edges that returns a frame (node, cluster).
-    Infomap isn't available here; Louvain stands in for it.
+    A graph of more than MOST_EDGES edges, or another name, is refused; Infomap isn't available here.
     """
     by = list(by)
+    if not callable(algorithm) and algorithm not in ALGORITHMS:
+        raise NotImplementedError(f"no algorithm {algorithm!r}; there are {sorted(ALGORITHMS)}")
+    largest = edges.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_EDGES:
+        raise ValueError(f"a graph has {largest} edges, more than {MOST_EDGES}: condition the network first")
     rows = edges if by else edges.withColumn("_one", F.lit(0))
     keys = by or ["_one"]
     kinds = dict(rows.dtypes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,17 @@ SYMMETRIES = ("avg-sym", "sum", "min-sym", "max-sym", "max-sym-keep", "min-sym-a
 DENSE_NODES = 3000
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder; without one a temporary folder on a single machine, an error on a cluster."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="semnet-"))
+    return df.checkpoint()
+
+
 def reverse(e: DataFrame) -> DataFrame:
     swap = {"src": "dst", "dst": "src"}
     return e.select(*(F.col(swap[c]).alias(c) if c in swap else F.col(c) for c in e.columns))
@@ -124,10 +137,44 @@ def balls(e: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     for k in range(depth):
         new = reached.where(F.col("d") == k).join(steps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         new = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("d", F.lit(k + 1))
-        reached = reached.unionByName(new)
+        reached = settled(reached.unionByName(new))
     return reached.select("seed", "node")
 
 
+def max_scaled(e: DataFrame) -> DataFrame:
+    """Weights as shares of the largest."""
+    return e.join(F.broadcast(e.agg(F.max("weight").alias("_top"))), F.lit(True)).withColumn("weight", F.col("weight") / F.col("_top")).drop("_top")
+
+
+def ranked(e: DataFrame) -> DataFrame:
+    """Neighbours in the order of weight, from 0."""
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")) - 1)
+
+
+def strongest(e: DataFrame, k: int = 100) -> DataFrame:
+    """The ``k`` strongest ties of the whole network."""
+    return e.orderBy(F.col("weight").desc(), "src", "dst").limit(k)
+
+
+def search_ego(query, seeds: DataFrame, depth: int, top: int | None = None) -> DataFrame:
+    """The ego net of ``seeds`` found from the inside out: only the ties of nodes that are reached are aggregated.
+
+    ``query`` gives the out-edges of the nodes in a table (id); a node's ``top``
+    strongest ones are kept. After ``depth`` + 1 rounds the union of the seeds'
+    induced balls remains; for a depth of 0 the seeds' own edges.
+    """
+    new = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct()
+    known, edges = new, None
+    for k in range(depth + 1):
+        found = query(new)
+        found = settled(found if top is None else max_degree(found, top))
+        edges = found if edges is None else edges.unionByName(found)
+        if k < depth:
+            new = settled(found.select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti"))
+            known = known.union(new)
+    return ego_network(edges, seeds, depth) if depth else edges
+
+
 def ego_network(e: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Union of the seeds' induced balls, which isn't the induced ball of the union."""
     b = balls(e, seeds, depth)
@@ -143,7 +190,8 @@ def dense(e: DataFrame, most: int = DENSE_NODES) -> tuple[list, np.ndarray]:
     nodes = sorted(nodes)
     at = {n: k for k, n in enumerate(nodes)}
     a = np.zeros((len(nodes), len(nodes)))
-    for r in e.select("src", "dst", "weight").toPandas().itertuples(index=False):
+    # one row per pair: no more than the square of the nodes
+    for r in e.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).toPandas().itertuples(index=False):
         a[at[r.src], at[r.dst]] += r.weight
     return nodes, a
 

@@ -12,6 +12,8 @@ from ..operators import cluster, graph, measures, queries
 
 #: Radius that stands for a whole network.
 UNBOUNDED = 1000
+#: An ego net of at most so many steps from so many words is searched from the inside out; others are cut from the whole network.
+SEARCH_DEPTH, SEARCH_WORDS = 5, 5
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,11 @@ class ConditionedNetwork:
 
     @property
     def nodes(self) -> DataFrame:
-        n = self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst")).distinct()
+        """(id, token): the ends of the edges; of a whole network all words, isolated ones too."""
+        n = self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst"))
+        if self.meta.get("tokens") is None:
+            n = n.union(self.network.words.select("token_id"))
+        n = n.distinct()
         return n.join(self.network.words.select(F.col("token_id").alias("id"), "token"), "id", "left")
 
     def __getitem__(self, tokens) -> DataFrame:
@@ -66,9 +72,9 @@ class ConditionedNetwork:
         e, out = self.edges, None
         for name in names:
             if name == "PageRank":
-                df = measures.pagerank(e).select("node", F.col("pagerank").alias("value"))
+                df = measures.pagerank_any(e).select("node", F.col("pagerank").alias("value"))
             elif name == "normedPageRank":
-                df = measures.pagerank(e).select("node", F.col("normed").alias("value"))
+                df = measures.pagerank_any(e).select("node", F.col("normed").alias("value"))
             elif name in ("local_clustering", "weighted_local_clustering"):
                 df = measures.local_clustering(e, name.startswith("weighted")).withColumnRenamed("clustering", "value")
             elif name in ("frequency", "freq", "frequencies"):
@@ -143,12 +149,32 @@ class Network:
         max_degree: int | None = None, prune_min_frequency: int | None = None, keep_only_tokens=False, post_cutoff=None, post_norm=False,
     ) -> ConditionedNetwork:
         """Aggregate substitution ties; then the ego net, keep-only, cut and norm, prune, compositional, reverse, in this order."""
+        if context is None and tokens is not None and depth is not None and not keep_only_tokens:
+            ids = self.ids(tokens)
+            if depth == 0 or (depth <= SEARCH_DEPTH and len(ids) <= SEARCH_WORDS):
+                e = self.search(ids, depth, times, weight_cutoff, max_degree)
+                return self._finish(e, "sub", times, ids, UNBOUNDED, compositional, reverse, None, prune_min_frequency, False, post_cutoff, post_norm)
         if context is None:
             e = queries.substitution(self.ties, times=times, cutoff=weight_cutoff)
         else:
             e = queries.substitution_in_context(self.ties, self.ids(context), context_mode, times=times, cutoff=weight_cutoff)
         return self._finish(e, "sub", times, tokens, depth, compositional, reverse, max_degree, prune_min_frequency, keep_only_tokens, post_cutoff, post_norm)
 
+    def search(self, ids: list[int], depth: int, times=None, weight_cutoff=None, max_degree: int | None = None):
+        """Edges of the ego net of ``ids``; ties of words that aren't reached are never aggregated."""
+        seeds = self.ties.sparkSession.createDataFrame([(i,) for i in ids], "id int")
+
+        def out_edges(nodes):
+            return queries.substitution(self.ties.join(nodes, F.col("sub") == F.col("id"), "left_semi"), times=times, cutoff=weight_cutoff)
+
+        return graph.search_ego(out_edges, seeds, depth, max_degree)
+
+    def yearly_centralities(self, names=("PageRank", "normedPageRank", "frequency"), before: int = 0, after: int = 0, reverse: bool = False, tokens=None):
+        """(window, measure, token_id, value) of every year's moving window."""
+        windows = queries.moving_windows(self.ties, before, after)
+        out = measures.yearly_centralities(self.ties, list(names), windows, graph.reverse if reverse else None)
+        return out if tokens is None else out.where(F.col("token_id").isin(*self.ids(tokens)))
+
     def context_condition(self, times=None, tokens=None, weight_cutoff=None, depth=None, occurrence=False, **options) -> ConditionedNetwork:
         """Networks of words that occur together."""
         e = queries.node_context(self.ties, None, times, weight_cutoff, occurrence).select(F.col("ego").alias("src"), F.col("alter").alias("dst"), "weight")

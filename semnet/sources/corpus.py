@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
@@ -59,6 +60,14 @@ def split_hierarchy(rows: DataFrame, columns: list[str]) -> DataFrame:
     return d.withColumn("name", F.concat_ws("-", *(F.col(c).cast("string") for c in columns))).withColumn("query", F.concat_ws(" & ", *each))
 
 
+def predicate(query: str, rename: dict[str, str] | None = None) -> Column:
+    """A split's ``query``, such as (year == 1999) & (source == a), as a condition; columns are renamed as told."""
+    names, out = rename or {}, F.lit(True)
+    for name, value in re.findall(r"\((\w+) == ([^()]*)\)", query):
+        out = out & (F.col(names.get(name, name)).cast("string") == value)
+    return out
+
+
 def write_ties(ties: DataFrame, path: str, merge: bool = False) -> None:
     """Replace the time partitions that ``ties`` has and no others; ``merge`` drops repeated ties."""
     rows = ties.dropDuplicates(["time", "run_index", "pos", "occ", "sub"]) if merge else ties
@@ -75,6 +84,41 @@ def delete_times(spark: SparkSession, path: str, times: list[int] | None = None)
         fs.delete(d, True)
 
 
+def delete_incomplete(spark: SparkSession, path: str, which: Column) -> int:
+    """Delete the ties of a subcorpus from a store; how many there were. Only their time partitions are written anew."""
+    ties = spark.read.parquet(path)
+    gone = ties.where(which).groupBy("time").agg(F.count("*").alias("n")).collect()  # one row per time
+    if gone:
+        rest = ties.where(F.col("time").isin([r["time"] for r in gone]) & ~F.coalesce(which, F.lit(False)))
+        beside = f"{path.rstrip('/')}.rest"
+        rest.write.mode("overwrite").parquet(beside)
+        delete_times(spark, path, [r["time"] for r in gone])
+        spark.read.parquet(beside).write.mode("append").partitionBy("time").parquet(path)
+        delete_times(spark, beside)
+    return sum(r["n"] for r in gone)
+
+
+def process_subcorpora(rows: DataFrame, columns: list[str], build, path: str, steps: Manifest, rename: dict[str, str] | None = None) -> list[str]:
+    """Run ``build`` (rows of a split to ties) for every split that isn't done, in order; the names of those run.
+
+    What an attempt before left of a split is deleted first. Splits are few:
+    each is a whole job over its rows.
+    """
+    spark, ran = rows.sparkSession, []
+    for r in split_hierarchy(rows, columns).orderBy("name").collect():
+        if steps.done(f"{path}:{r['name']}"):
+            continue
+        try:
+            delete_incomplete(spark, path, predicate(r["query"], rename))
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        build(rows.where(predicate(r["query"]))).write.mode("append").partitionBy("time").parquet(path)
+        steps.mark(f"{path}:{r['name']}")
+        ran.append(r["name"])
+    return ran
+
+
 def prune_words(words: DataFrame, ties: DataFrame) -> DataFrame:
     used = ties.select(F.col("occ").alias("token_id")).union(ties.select("sub")).distinct()
     return words.join(used, "token_id", "left_semi")
