@@ -55,7 +55,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for lang, t in zip(b["lang"], b["text"]):
             sums[lang] = sums.get(lang, 0) + trigrams(t)
-    yield pd.DataFrame({"lang": list(sums), "n": [v.astype(np.int64).tobytes() for v in sums.values()]})
+    if sums:
+        yield pd.DataFrame({"lang": list(sums), "n": [v.astype(np.int64).tobytes() for v in sums.values()]})
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str = "doc_id", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:

@@ -163,7 +163,8 @@ def _writer(folder: str, roll: int):
         if sink is not None:
             sink.close()
             done.append((path, n))
-        yield pd.DataFrame(done, columns=["path", "records"])
+        if done:
+            yield pd.DataFrame(done, columns=["path", "records"])
 
     return run
 
@@ -202,7 +203,8 @@ def _reader(folder: str):
                         if len(held) == 4096:
                             yield _frame(held)
                             held = []
-                yield _frame(held)
+                if held:
+                    yield _frame(held)
 
     return run
 

@@ -627,6 +627,11 @@ def test_langid_many_languages(spark):
     names = [chr(97 + k // 26) + chr(97 + k % 26) + "x" for k in range(230)]
     learn = [(i, f"{k}a{k}b {k}c{k}d " * 9, k, "a", None) for i, k in enumerate(names)] + [(1000 + i, prose(i, 30), "en", "a", None) for i in range(1200)]
     learn = spark.createDataFrame(learn, DOCS)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # some partitions have no language
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert langid.train(learn.where("lang = 'en'"))[0] == ["en"]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     langs, logp = langid.train(learn, per_lang=20)
     assert langs == sorted([*names, "en"]) and logp.shape == (231, langid.BUCKETS)
     pages = spark.createDataFrame([(i, None, f"<p>{k}a{k}b {k}c{k}d {k}a{k}b</p>") for i, k in enumerate(names) if i % 23 == 0], "page_id long, url string, html string")
