@@ -264,8 +264,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scra
     """The pairs (a, b) of classes that link: size, then estimate, then the full sets. ``pairs`` is a kept table."""
     if not pairs.n_rows:
         return pairs
-    mine = scratch.keep(_ends(pairs))
-    mine = scratch.keep(classes.join(lookup_side(mine), "rep", "left_semi").select("rep", "one", "n_shingles", "sketch"))
+    mine = scratch.keep(classes.join(_few(_ends(pairs), 2 * pairs.n_rows), "rep", "left_semi").select("rep", "one", "n_shingles", "sketch"))
     side = lambda s: mine.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     if mine.n_rows <= MOST_SKETCHES:
         both = pairs.join(F.broadcast(side("b")), "b").join(F.broadcast(side("a")), "a")
@@ -273,7 +272,11 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scra
         both = dealt_join(pairs.join(side("b"), "b"), side("a"), ["a"], F.col("b"))
     both = both.where(size_ok(F.col("na"), F.col("nb"), percent))
     both = scratch.keep(both.where(_possible(percent)("sa", "sb", "na", "nb")).select("a", "b", "na", "nb"))
-    sets = sets_of(scratch.keep(_ends(both)), mine, texts, scratch)
+    if not both.n_rows:
+        none = both.select("a", "b")
+        none.n_rows = 0
+        return none
+    sets = sets_of(_ends(both), 2 * both.n_rows, mine, texts, scratch)
     xa, xb = (sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"x{s}")) for s in "ab")
     full = dealt_join(both.join(xb, "b"), xa, ["a"], F.col("b"))
     inter = F.size(F.array_intersect("xa", "xb"))
@@ -284,11 +287,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
-def sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, shingles): full sets of the classes in ``reps``, made again from the text of one document of each."""
-    reps = scratch.keep(classes.join(lookup_side(reps), "rep", "left_semi").select("rep", F.col("one.doc_id").alias("_d"), F.col("one.text_hash").alias("_h")))
-    same = texts["doc_id"].eqNullSafe(reps["_d"]) & (texts["text_hash"] == reps["_h"])
-    mine = texts.join(lookup_side(reps), same).groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows count once
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast a table that is known to have at most ``most`` rows, if these are few."""
+    return F.broadcast(df) if most <= MOST_ROWS else df
+
+
+def sets_of(reps: DataFrame, most: int, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, shingles): full sets of the classes in ``reps`` (at most ``most``), made again from the text of one document of each."""
+    near = classes.join(_few(reps, most), "rep", "left_semi").select("rep", F.col("one.doc_id").alias("_d"), F.col("one.text_hash").alias("_h"))
+    same = texts["doc_id"].eqNullSafe(near["_d"]) & (texts["text_hash"] == near["_h"])
+    mine = texts.join(_few(near, most), same).groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows count once
     return scratch.keep(mine.select("rep", "text").mapInArrow(_sets, "rep binary, shingles array<long>"))
 
 
@@ -438,7 +446,7 @@ def prefix_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scrat
     most frequent component isn't compared with itself: blocks of the other
     members are compared with blocks of all, inside the executors.
     """
-    sets = sets_of(members, classes, texts, scratch)
+    sets = sets_of(members.select("rep"), members.n_rows, classes, texts, scratch)
     counts = scratch.keep(sets.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     # the order of the shingles may be any: by frequency, as far down as fits into a bounded array
     log = F.floor(F.log2("n")).cast("int")
