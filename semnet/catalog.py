@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import cluster, graph, measures, queries, stats, ties
+from .operators import cluster, graph, measures, profiles, queries, stats, ties
 from .plans.network import Network
 
 QUERIES: dict = {}
@@ -480,7 +480,65 @@ add("tie_own_tie_removed", f"""with {MODEL}, {CUT.format(pct=99, deg=10)}, p as
     c as (select * from q where (prob > lo or lo = hi) and cand <> occ), x as (select cand as sub, occ, prob / sum(prob) over (partition by run_index, pos) as w from c)
     select sub, occ, count(*) as n, round(sum(w) + 5e-8, 5) as weight from x group by sub, occ""")(lambda s, d: TIE_AGG(_own(s, d)))
 
+# --- networks of every year, rules of a store, profiles of clusters
+on_ties("yearly_networks", profiles.yearly_networks,
+    f"""with {T} select cast(time as varchar) as year, {L('sub', 'occ').replace('as sub', 'as src').replace('as occ', 'as dst')}, round(sum(weight), 6) as weight from ties group by time, sub, occ
+    union all select 'all', cast(sub as bigint), cast(occ as bigint), round(sum(weight), 6) from ties group by sub, occ""")
+_YEARLY = f"""with {T}, y as (select cast(time as varchar) as year, sub as src, occ as dst, sum(weight) as weight from ties group by all union all select 'all', sub, occ, sum(weight) from ties group by sub, occ),
+    f as (select cast(time as varchar) as year, occ as node, round(sum(weight)) as freq from ties group by time, occ union all select 'all', occ, round(sum(weight)) from ties group by occ),
+    top as (select * from y qualify row_number() over (partition by year, src order by round(weight, 9) desc, dst) <= 10),
+    k as (select t.year, src, dst, weight, d.freq from top t join f s on s.year = t.year and s.node = src and s.freq > 3 join f d on d.year = t.year and d.node = dst and d.freq > 3)"""
+on_ties("yearly_networks_pruned", lambda t: profiles.yearly_networks(t, max_degree=10, least=3, reverse=True, compositional=True),
+    f"{_YEARLY} select year, cast(dst as bigint) as src, cast(src as bigint) as dst, round(weight / freq, 6) as weight from k")
+on_ties("yearly_networks_symmetric", lambda t: profiles.yearly_networks(t, max_degree=10, least=3, technique="max-sym"),
+    f"{_YEARLY} select a.year, cast(a.src as bigint) as src, cast(a.dst as bigint) as dst, round(case when a.src = a.dst then a.weight else greatest(a.weight, b.weight) end, 6) as weight from k a join k b on a.year = b.year and a.src = b.dst and a.dst = b.src where a.src <= a.dst")
+
+
+@add(
+    "store_violations",
+    f"""with {T}, w as (select i as token_id, 'w' || (i % 180) as token from range(190) as x(i)), u as (select occ as id from ties union select sub from ties)
+    select 'token_id is unique' as rule, count(*) as n from (select token_id from w group by 1 having count(*) > 1) union all select 'token is unique', count(*) from (select token from w group by 1 having count(*) > 1)
+    union all select 'tie is unique', count(*) from (select time, run_index, pos, occ, sub from ties group by all having count(*) > 1) union all select 'sequence has one time', count(*) from (select run_index from ties group by 1 having count(distinct time) > 1)
+    union all select 'tie is complete', count(*) from ties where time is null or run_index is null or pos is null or occ is null or sub is null or weight is null union all select 'word is known', count(*) from u where id not in (select token_id from w)""",
+)
+def _(s, d):
+    from .sources.corpus import violations
+
+    return violations(_ties(s, d), s.range(190).select(F.col("id").alias("token_id"), F.concat(F.lit("w"), (F.col("id") % 180).cast("string")).alias("token")))
+
+
+@add(
+    "cluster_profile",
+    f"""with {T}, m as (select 'base' as name, null::varchar as parent, 0 as level, i as node from range(200) as x(i) union all select 'base-' || (i % 7), 'base', 1, i from range(200) as x(i)),
+    w as (select part_of_speech, occ as node, 'w' || occ as token, floor(round(sum(weight), 6)) as weight, round(max(sentiment) * 10000) as sentiment, round(max(subjectivity) * 10000) as subjectivity from ties group by all),
+    z as (select name, parent, level, count(*) as nr_nodes from m group by all), j as (select part_of_speech, name, w.* exclude (part_of_speech) from m join w using (node) where weight > 2.5),
+    r as (select *, row_number() over (partition by part_of_speech, name order by weight desc, token) as r from j),
+    g as (select part_of_speech, name, string_agg(token, '-' order by r) filter (r <= 5) as title, max(token) filter (r = 1) as prom_node, count(*) as nr_near, {", ".join(
+        f"avg({c}) as {p}Avg, case when sum({c}) > 0 then sum({c} * {c}) / sum({c}) else 0 end as {p}w_Avg, case when count(*) > 1 then stddev_pop({c}) else 0 end as {p}Std, sum({c}) as {p}Sum"
+        for p, c in (("", "weight"), ("sentiment_", "sentiment"), ("subjectivity_", "subjectivity")))} from r group by all),
+    x as (select 'Cluster' as type, title as token, 0.0::double as node_weight, 0.0::double as node_sentiment, 0.0::double as node_subjectivity, g.* exclude (title) from g
+      union all select 'Node', j.token, j.weight, j.sentiment, j.subjectivity, g.* exclude (title) from j join g using (part_of_speech, name))
+    select type, token, part_of_speech, name as cluster_id, prom_node, parent, cast(level as bigint) as level, nr_near, nr_nodes, {", ".join(f"round({c}, 6) as {c}" for c in ["node_weight", "node_sentiment", "node_subjectivity", *(p + x for p in ("", "sentiment_", "subjectivity_") for x in measures.FIGURES)])}
+    from x join z using (name)""",
+)
+def _(s, d):
+    n = s.range(200).withColumnRenamed("id", "node")
+    base = n.select(F.lit("base").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), "node")
+    m = base.unionByName(n.select(F.concat(F.lit("base-"), (F.col("node") % 7).cast("string")).alias("name"), F.lit("base").alias("parent"), F.lit(1).alias("level"), "node"))
+    # whole numbers: their means are off the middle between two digits
+    felt = [F.round(F.max(c) * 10000).alias(c) for c in ("sentiment", "subjectivity")]
+    w = _ties(s, d).groupBy("part_of_speech", F.col("occ").alias("node")).agg(F.floor(F.round(F.sum("weight"), 6)).cast("double").alias("weight"), *felt).withColumn("token", F.concat(F.lit("w"), F.col("node").cast("string")))
+    return profiles.cluster_profile(m, w, profiles.felt(2.5), by=["part_of_speech"], shown=["weight", "sentiment", "subjectivity"], cutoff=2.5)
+
+
+_NET = lambda s, d: Network(_ties(s, d), _WORDS3(s))
+add("extract_all_clusters")(lambda s, d: profiles.extract_all_clusters(_NET(s, d), 3, 2))
+add("clustered_role_profile")(lambda s, d: profiles.clustered_role_profile(_NET(s, d), 3, CONTEXTS[1:], 2, k=20))
+add("context_clusters_pos")(lambda s, d: profiles.context_clusters(_NET(s, d), substitute=IDS, levels=2, per_pos=True, k=20))
+add("context_clusters_all")(lambda s, d: profiles.context_clusters(_NET(s, d), substitute=IDS, levels=2, k=20, value="pmi"))
+
 # --- iterative and numeric operators without SQL
+add("infomap")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="infomap"))
 add("pagerank")(lambda s, d: measures.pagerank(_edges(s, d)))
 add("louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d))))
 add("consensus_louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="consensus_louvain"))

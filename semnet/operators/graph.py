@@ -30,11 +30,11 @@ def reverse(e: DataFrame) -> DataFrame:
     return e.select(*(F.col(swap[c]).alias(c) if c in swap else F.col(c) for c in e.columns))
 
 
-def symmetrise(e: DataFrame, technique: str = "avg-sym") -> DataFrame:
-    """One edge per unordered pair (src <= dst). Loops stay, but transpose drops them."""
+def symmetrise(e: DataFrame, technique: str = "avg-sym", by: list[str] = ()) -> DataFrame:
+    """One edge per unordered pair (src <= dst), in each network by itself where ``by`` names several. Loops stay, but transpose drops them."""
     if technique not in SYMMETRIES:
         raise AttributeError(f"unknown technique {technique!r}")
-    pairs = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+    pairs = e.groupBy(*by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
         F.sum("weight").alias("s"), F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.count_distinct("src").alias("ways")
     )
     loop, mutual = F.col("a") == F.col("b"), F.col("ways") == 2
@@ -42,7 +42,7 @@ def symmetrise(e: DataFrame, technique: str = "avg-sym") -> DataFrame:
         "avg-sym": F.col("s") / 2, "transpose": F.col("s") / 2, "sum": F.col("s"), "min-sym": F.when(mutual, F.col("lo")), "max-sym": F.when(mutual, F.col("hi")),
         "max-sym-keep": F.col("hi"), "min-sym-avg": F.when(mutual, F.col("s") / 2),
     }[technique]
-    out = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.when(loop, F.lit(None) if technique == "transpose" else F.col("s")).otherwise(value).alias("weight"))
+    out = pairs.select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), F.when(loop, F.lit(None) if technique == "transpose" else F.col("s")).otherwise(value).alias("weight"))
     return out.where("weight is not null")
 
 

@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -269,10 +269,18 @@ def yearly_cosine(t: DataFrame, tokens) -> DataFrame:
     return dot.join(n1, "y1").join(n2, "y2").select("y1", "y2", (F.col("dot") / (F.col("n1") * F.col("n2"))).alias("cosine"))
 
 
+FIGURES = ("Avg", "w_Avg", "Std", "Sum")
+
+
+def measured(x: Column, prefix: str = "") -> list[Column]:
+    """Avg, w_Avg (sum x^2 / sum x; 0 where the sum isn't positive), Std (population, with two values at least) and Sum."""
+    w_avg = F.when(F.sum(x) > 0, F.try_divide(F.sum(x * x), F.sum(x))).otherwise(0.0)
+    values = (F.avg(x), w_avg, F.when(F.count(x) >= 2, F.stddev_pop(x)).otherwise(0.0), F.sum(x))
+    return [v.alias(f"{prefix}{name}") for v, name in zip(values, FIGURES)]
+
+
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Avg, w_Avg (sum x^2 / sum x), Std (population, with two values at least) and Sum."""
-    x = F.col(value)
-    return rows.groupBy(*by).agg(F.avg(x).alias("Avg"), (F.sum(x * x) / F.sum(x)).alias("w_Avg"), F.when(F.count(x) >= 2, F.stddev_pop(x)).otherwise(0.0).alias("Std"), F.sum(x).alias("Sum"))
+    return rows.groupBy(*by).agg(*measured(F.col(value)))
 
 
 def cluster_names(members: DataFrame, by: list[str], value: str = "weight", token: str = "token", k: int = 5) -> DataFrame:
@@ -292,9 +300,9 @@ def cluster_proximities(members: DataFrame, prox: DataFrame) -> DataFrame:
     return summary(members.join(prox.select(F.col("alter_id").alias("node"), "weight"), "node"), ["name"], "weight")
 
 
-def role_profile(context: DataFrame, k: int, by: list[str] = ("part_of_speech",)) -> DataFrame:
+def role_profile(context: DataFrame, k: int, by: list[str] = ("part_of_speech",), value: str = "weight") -> DataFrame:
     """Top ``k`` context words of each part of speech, and the mean over all years where ``time`` is a key."""
-    w = Window.partitionBy(*by).orderBy(F.col("weight").desc(), "e")
+    w = Window.partitionBy(*by).orderBy(F.col(value).desc(), "e")
     return context.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 

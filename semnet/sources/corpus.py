@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import re
 from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
@@ -167,6 +168,48 @@ def write_edge_list(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.join(a, "src").join(b, "dst").select("src_token", "dst_token", "weight").write.mode("overwrite").csv(path, header=True)
 
 
+def write_yearly(nodes: DataFrame, yearly: DataFrame, path: str, gexf: str | None = None) -> None:
+    """Edge lists of yearly networks (year, src, dst, weight), a folder each; ``gexf`` names a local folder for a GEXF file of each."""
+    a, b = (nodes.select(F.col("id").alias(s), F.col("token").alias(f"{s}_token")) for s in ("src", "dst"))
+    yearly.join(a, "src").join(b, "dst").select("year", "src_token", "dst_token", "weight").write.mode("overwrite").partitionBy("year").csv(path, header=True)
+    if gexf is not None:
+        os.makedirs(gexf, exist_ok=True)
+        for r in yearly.select("year").distinct().orderBy("year").collect():  # one row per year
+            write_gexf(nodes, yearly.where(F.col("year") == r["year"]), f"{gexf}/{r['year']}.gexf")
+
+
+def write_pickle(rows: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A pickled frame of a result, such as the rows of clusters; more than ``most`` rows are refused, not cut."""
+    got = rows.limit(most + 1).toPandas()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows; write them as Parquet")
+    got.to_pickle(path)
+
+
+def violations(ties: DataFrame, words: DataFrame) -> DataFrame:
+    """(rule, n): how often a store breaks each of its rules; rules that hold are there with 0."""
+
+    def repeated(df: DataFrame, rule: str, *key: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.count("*").alias("k")).agg(F.lit(rule).alias("rule"), F.count(F.when(F.col("k") > 1, 1)).alias("n"))
+
+    def counted(df: DataFrame, rule: str) -> DataFrame:
+        return df.agg(F.lit(rule).alias("rule"), F.count("*").alias("n"))
+
+    used = ties.select(F.col("occ").alias("token_id")).union(ties.select("sub")).distinct()
+    none = F.lit(False)
+    for c in ("time", "run_index", "pos", "occ", "sub", "weight"):
+        none = none | F.col(c).isNull()
+    checks = [
+        repeated(words, "token_id is unique", "token_id"), repeated(words, "token is unique", "token"), repeated(ties, "tie is unique", "time", "run_index", "pos", "occ", "sub"),
+        repeated(ties.select("run_index", "time").distinct(), "sequence has one time", "run_index"), counted(ties.where(none), "tie is complete"),
+        counted(used.join(words, "token_id", "left_anti"), "word is known"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for raw in b["content"]:
