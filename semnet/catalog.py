@@ -538,7 +538,7 @@ add("context_clusters_pos")(lambda s, d: profiles.context_clusters(_NET(s, d), s
 add("context_clusters_all")(lambda s, d: profiles.context_clusters(_NET(s, d), substitute=IDS, levels=2, k=20, value="pmi"))
 
 # --- iterative and numeric operators without SQL
-add("infomap")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="infomap"))
+add("map_equation")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="map_equation"))
 add("pagerank")(lambda s, d: measures.pagerank(_edges(s, d)))
 add("louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d))))
 add("consensus_louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="consensus_louvain"))

@@ -231,7 +231,7 @@ def map_equation(adj: dict, seed: int = 0, trials: int = 20, time: float = 1.0,
 ALGORITHMS = {
     "louvain": lambda adj, resolution, seed: best_partition(adj, resolution, seed),
     "consensus_louvain": lambda adj, resolution, seed: consensus(adj, resolution=resolution),
-    "infomap": lambda adj, resolution, seed: map_equation(adj, seed),
+    "map_equation": lambda adj, resolution, seed: map_equation(adj, seed),
 }
 #: Edges of one graph, which one task clusters.
 MOST_EDGES = 5_000_000
@@ -241,7 +241,7 @@ def cluster_edges(edges: DataFrame, by: list[str] = (), algorithm="louvain", res
     """(by..., node, cluster): clusters of many small graphs at once, one group each.
 
     ``algorithm`` is a name or a function of a frame of edges that returns a frame (node, cluster).
-    A graph of more than MOST_EDGES edges, or another name, is refused.
+    A graph of more than MOST_EDGES edges, or another name, is refused; so is Infomap, which walks directed links: map_equation takes them as undirected.
     """
     by = list(by)
     if not callable(algorithm) and algorithm not in ALGORITHMS:

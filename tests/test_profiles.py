@@ -43,7 +43,7 @@ def test_map_equation_of_cliques(spark):
     import pandas as pd
 
     rows = [(c * 5 + i, c * 5 + j, 1.0) for c in range(6) for i in range(5) for j in range(i)] + [(c * 5, (c * 5 + 5) % 30, 1.0) for c in range(6)]
-    got = cluster.cluster_edges(spark.createDataFrame(rows, "src long, dst long, weight double"), algorithm="infomap").collect()
+    got = cluster.cluster_edges(spark.createDataFrame(rows, "src long, dst long, weight double"), algorithm="map_equation").collect()
     groups = {}
     for r in got:
         groups.setdefault(r.cluster, set()).add(r.node)
