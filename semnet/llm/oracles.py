@@ -87,10 +87,18 @@ select page_id, cast(n as bigint) as payload_bytes, sha256(p.h) as payload_diges
 from p left join f on p.h = f.h
 """
 
+OP12 = """
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents),
+g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t),
+r as (select doc_id, t, row_number() over (partition by t order by doc_id nulls last) as place from d)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from r join g using (t)
+"""
+
 ORACLES = {
     "op1_line_frequency": OP1,
     "op2_setsketch_neardup": OP2,
     "op5_url_filter": OP5,
     "op6_chat_format": OP6,
     "op7_warc": OP7,
+    "op12_exact_dedup": OP12,
 }
