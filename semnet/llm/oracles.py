@@ -87,6 +87,21 @@ select page_id, cast(n as bigint) as payload_bytes, sha256(p.h) as payload_diges
 from p left join f on p.h = f.h
 """
 
+OP11 = """
+with pieces as (select coalesce(lang, 'und') as lang, row_number() over () as rid, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from pieces),
+ph as (select lang, k, array_to_string(w[p:p+k-1], ' ') as phrase, count(*) as f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as p from w, range(1, 5) as r(k) where len(w) >= k) group by all),
+tot as (select lang, cast(sum(f) as bigint) as n from ph where k = 1 group by lang),
+cand as materialized (select lang, k, phrase, f as a from ph where k > 1 and f >= 30),
+fq as materialized (select lang, phrase, f from ph where f >= 30),
+sub as (select lang, array_to_string(s[i:i+m-1], ' ') as phrase, max(a) as most from (select lang, s, a, m, unnest(range(1, len(s) - m + 2)) as i from (select lang, string_split(phrase, ' ') as s, a, k from cand where k > 2) x, range(2, 4) as r(m) where m < k) group by all),
+kept as (select c.* from cand c left join sub using (lang, phrase) where most is null or 100 * most < 80 * a),
+cut as (select lang, phrase, a, c, array_to_string(s[:c], ' ') as lp, array_to_string(s[c+1:], ' ') as rp from (select lang, phrase, a, string_split(phrase, ' ') as s, unnest(range(1, k)) as c from kept)),
+sc as (select cut.*, x.f as l, y.f as r, (cast(2000000 as hugeint) * a) // (x.f + y.f) as score from cut join fq x on x.lang = cut.lang and x.phrase = lp join fq y on y.lang = cut.lang and y.phrase = rp),
+best as (select lang, phrase, a, l, r, cast(score as bigint) as score from sc qualify row_number() over (partition by lang, phrase order by score, c) = 1)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best) join tot using (lang) where rank <= 2000
+"""
+
 OP12 = """
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t),
@@ -100,5 +115,6 @@ ORACLES = {
     "op5_url_filter": OP5,
     "op6_chat_format": OP6,
     "op7_warc": OP7,
+    "op11_phrase_collocations": OP11,
     "op12_exact_dedup": OP12,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, digests, langid, lines, neardup, packing, pii, quality_fm, urls, warc, whiten
+from . import chat, decontam, digests, langid, lines, neardup, packing, phrases, pii, quality_fm, urls, warc, whiten
 from .base import table
 from .oracles import ORACLES
 
@@ -51,6 +51,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ QUERIES = {
     for f in (
         op1_line_frequency, op2_setsketch_neardup, op3_quality_fm, op4_template_decontam, op5_url_filter,
         op6_chat_format, op7_warc, op8_best_fit_packing, op9_language_id, op10_pii,
-        op12_exact_dedup, op13_embedding_whitening,
+        op11_phrase_collocations, op12_exact_dedup, op13_embedding_whitening,
     )
 }
 ORACLE_SQL = ORACLES

@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semnet.llm import digests, whiten
+from semnet.llm import base, digests, phrases, whiten
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -106,3 +107,55 @@ def test_whiten_edges(spark):
     # past a long, deviations are decimals and still exact
     far = whiten.whiten(spark.createDataFrame([(1, [1e10], 0), (2, [-1e10], 0)], VECTORS))
     assert dict(far.dtypes)["deviation"] == "decimal(38,0)" and {int(x.deviation) for x in far.collect()} == {(64 * 10**10 * 2) ** 2}
+
+
+def mined(rows, least, top=2000, inside=80):
+    """(lang, rank, phrase, a, l, r, n, score) by counting every sequence of words."""
+    f, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            n[lang] += len(w)
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] = f.get((lang, tuple(w[i : i + k])), 0) + 1
+    out = []
+    cand = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    for lang in n:
+        rows_ = []
+        for (g, p), a in cand.items():
+            if g != lang or any(h == g and len(q) > len(p) and 100 * b >= inside * a and any(q[i : i + len(p)] == p for i in range(len(q))) for (h, q), b in cand.items()):
+                continue
+            score, _, l, r = min((2_000_000 * a // (f[g, p[:k]] + f[g, p[k:]]), k, f[g, p[:k]], f[g, p[k:]]) for k in range(1, len(p)))
+            rows_.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows_)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard,chunk,top", [(8 << 20, 1 << 16, 2000), (300, 1, 2000), (2000, 7, 5)])
+def test_phrases_brute_force(spark, monkeypatch, shard, chunk, top):
+    r = np.random.default_rng(11)
+    # é and Ä keep their case, words may hold marks that don't cut; 'a a a a a' overlaps itself
+    names = ["The", "the", "of", "new", "York", "city", "\u00e9t\u00e9", "\u00c4b", "a-b", "(x)", "zz"]
+    texts = [("xx" if i % 3 else None, " ".join(names[k] + ["", "", "", ".", ",", "\n", "  ", "\t"][m] for k, m in zip(r.integers(0, len(names), 60), r.integers(0, 8, 60)))) for i in range(40)]
+    texts += [("xx", "new york city hall\x0bnew york city hall"), ("xx", "a a a a a a a"), ("xx", None), ("xx", ""), ("xx", " .,; "), ("xx", "w" * 40000), ("und", "the of the of")] + [("yy", "one two three four five")] * 6
+    texts += [("xx", "a " * 3000)]
+    d = spark.createDataFrame([(i, t, g, "s", None) for i, (g, t) in enumerate(texts)], DOCS).withColumn("shard", F.lit(1)).withColumn("p", F.lit(2)).repartition(3)
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    got = sorted(tuple(x) for x in phrases.collocations(d, least=6, top=top, shard=shard).collect())
+    assert got == mined(texts, 6, top) and len(got) > 10
+
+
+def test_phrases_empty(spark):
+    assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
+    assert phrases.collocations(docs(spark, [(1, "a b c"), (2, None)])).count() == 0
+
+
+def test_phrases_pass_64_bits(spark):
+    words = spark.createDataFrame([(1, "x", "a", 9 * 10**18), (2, "x", "b", 9 * 10**18)], "id long, lang string, word string, f long")
+    words.n_rows = 2
+    pairs = spark.createDataFrame([([1, 2], 6 * 10**18)], "p array<long>, f long")
+    got = phrases.scored(words, pairs, base.Scratch(spark, "test")).collect()
+    assert [(x.a, x.l, x.r, x.score) for x in got] == [(6 * 10**18, 9 * 10**18, 9 * 10**18, 2_000_000 * 6 // 18)]
