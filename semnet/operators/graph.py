@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 SYMMETRIES = ("avg-sym", "sum", "min-sym", "max-sym", "max-sym-keep", "min-sym-avg", "transpose")
 #: Nodes up to which dense linear algebra runs on the driver.
 DENSE_NODES = 3000
@@ -18,10 +18,7 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder; without one a temporary folder on a single machine, an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="semnet-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

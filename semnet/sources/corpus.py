@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import json
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
 SENTENCES = "filename string, year string, parameters array<string>, sentence string, index long, year_index long, file_index long"
 
 
@@ -33,7 +35,7 @@ def flat_folder(files: DataFrame, symbol: str = "_", exclude: list[str] = ()) ->
     """The year is the first part of a file's name, the rest are parameters; names that begin with w are reversed first."""
     parts = F.split("filename", f"\\Q{symbol}\\E")
     parts = F.when(parts[0] == "w", F.reverse(parts)).otherwise(parts)
-    out = files.withColumn("_p", parts).withColumn("year", F.col("_p")[0].cast("int")).withColumn("parameters", F.slice("_p", 2, 100)).drop("_p")
+    out = files.withColumn("_p", parts).withColumn("year", F.col("_p")[0].cast("int")).withColumn("parameters", F.slice("_p", F.lit(2), F.size("_p"))).drop("_p")
     return out.where(~F.arrays_overlap("parameters", F.array(*map(F.lit, exclude)))) if exclude else out
 
 
@@ -55,17 +57,18 @@ def train_validation(rows: DataFrame, key: str, seed: int = 0, percent: int = 10
 
 
 def split_hierarchy(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct combinations, with a name and a predicate for each."""
+    """Distinct combinations, with a name and a predicate for each; both are for reading, ``split_condition`` selects the rows."""
     d = rows.select(*columns).distinct()
-    each = [F.concat(F.lit(f"({c} == "), F.col(c).cast("string"), F.lit(")")) for c in columns]
-    return d.withColumn("name", F.concat_ws("-", *(F.col(c).cast("string") for c in columns))).withColumn("query", F.concat_ws(" & ", *each))
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns}
+    each = [F.concat(F.lit(f"({c} == "), text[c], F.lit(")")) for c in columns]
+    return d.withColumn("name", F.concat_ws("-", *text.values())).withColumn("query", F.concat_ws(" & ", *each))
 
 
-def predicate(query: str, rename: dict[str, str] | None = None) -> Column:
-    """A split's ``query``, such as (year == 1999) & (source == a), as a condition; columns are renamed as told."""
+def split_condition(values: dict, rename: dict[str, str] | None = None) -> Column:
+    """Rows that have these values, whatever characters are in them; null is equal to null. Columns are renamed as told."""
     names, out = rename or {}, F.lit(True)
-    for name, value in re.findall(r"\((\w+) == ([^()]*)\)", query):
-        out = out & (F.col(names.get(name, name)).cast("string") == value)
+    for name, value in values.items():
+        out = out & F.col(f"`{names.get(name, name)}`").eqNullSafe(F.lit(value))
     return out
 
 
@@ -85,38 +88,19 @@ def delete_times(spark: SparkSession, path: str, times: list[int] | None = None)
         fs.delete(d, True)
 
 
-def delete_incomplete(spark: SparkSession, path: str, which: Column) -> int:
-    """Delete the ties of a subcorpus from a store; how many there were. Only their time partitions are written anew."""
-    ties = spark.read.parquet(path)
-    gone = ties.where(which).groupBy("time").agg(F.count("*").alias("n")).collect()  # one row per time
-    if gone:
-        rest = ties.where(F.col("time").isin([r["time"] for r in gone]) & ~F.coalesce(which, F.lit(False)))
-        beside = f"{path.rstrip('/')}.rest"
-        rest.write.mode("overwrite").parquet(beside)
-        delete_times(spark, path, [r["time"] for r in gone])
-        spark.read.parquet(beside).write.mode("append").partitionBy("time").parquet(path)
-        delete_times(spark, beside)
-    return sum(r["n"] for r in gone)
-
-
-def process_subcorpora(rows: DataFrame, columns: list[str], build, path: str, steps: Manifest, rename: dict[str, str] | None = None) -> list[str]:
-    """Run ``build`` (rows of a split to ties) for every split that isn't done, in order; the names of those run.
+def process_subcorpora(rows: DataFrame, columns: list[str], build: Callable[[DataFrame], DataFrame], store: Store, rename: dict[str, str] | None = None) -> list[str]:
+    """Run ``build`` (rows of a split to ties) for every split that the store hasn't marked as done, in order; the names of those run.
 
-    What an attempt before left of a split is deleted first. Splits are few:
-    each is a whole job over its rows.
+    A split's ties, the removal of what there was of it and its mark are one
+    change of the store. Splits are few: each is a whole job over its rows.
     """
-    spark, ran = rows.sparkSession, []
+    ran = []
     for r in split_hierarchy(rows, columns).orderBy("name").collect():
-        if steps.done(f"{path}:{r['name']}"):
-            continue
-        try:
-            delete_incomplete(spark, path, predicate(r["query"], rename))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        build(rows.where(predicate(r["query"]))).write.mode("append").partitionBy("time").parquet(path)
-        steps.mark(f"{path}:{r['name']}")
-        ran.append(r["name"])
+        values = {c: r[c] for c in columns}
+        step = json.dumps(["subcorpus", *([c, None if v is None else str(v)] for c, v in values.items())])
+        if not store.done(step):
+            store.replace(split_condition(values, rename), build(rows.where(split_condition(values))), step)
+            ran.append(r["name"])
     return ran
 
 

@@ -62,13 +62,20 @@ def test_tie_invariants(spark):
 
 
 def test_stream(spark, tmp_path):
+    from semnet.sources.store import Store
     from semnet.streaming.ingest import ingest
 
-    t = spark.createDataFrame([(1, 1, 1, 2, 3, 0.5)], "time int, run_index long, pos int, occ int, sub int, weight double")
-    t.write.json(str(tmp_path / "in"))
-    q = ingest(spark, str(tmp_path / "in"), t.schema, lambda b: b, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    kind = "time int, run_index long, pos int, occ int, sub int, weight double"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q = ingest(spark, str(tmp_path / "in"), kind, lambda b: b, str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination()
+        return sorted((r.run_index, r.weight) for r in Store(spark, str(tmp_path / "out")).read().collect())
+
+    assert arrive((1, 1, 1, 2, 3, 0.5)) == [(1, 0.5)]
+    # a second file of the same year adds to it; a tie that is there is kept
+    assert arrive((1, 2, 1, 2, 3, 0.25), (1, 1, 1, 2, 3, 0.75)) == [(1, 0.5), (2, 0.25)]
 
 
 def test_row_rules(spark):
@@ -86,24 +93,47 @@ def test_clean_v1(spark):
 
 
 def test_subcorpora(spark, tmp_path):
+    from semnet.sources.store import Store
+
     rows = spark.createDataFrame([(k, 1999 + k % 2, "ab"[k % 3 == 0]) for k in range(12)], "run_index long, year int, p1 string")
     built = []
 
     def build(part):
         built.append(part.count())
-        return part.select(F.col("year").alias("time"), "run_index", "p1")
-
-    steps, path = corpus.Manifest(spark, f"{tmp_path}/steps"), f"{tmp_path}/ties"
-    assert len(corpus.process_subcorpora(rows, ["year", "p1"], build, path, steps, {"year": "time"})) == 4 and sum(built) == 12
-    assert spark.read.parquet(path).count() == 12
-    assert corpus.process_subcorpora(rows, ["year", "p1"], build, path, steps, {"year": "time"}) == []
-    which = corpus.predicate("(year == 1999) & (p1 == b)", {"year": "time"})
-    n = spark.read.parquet(path).where(which).count()
-    assert n and corpus.delete_incomplete(spark, path, which) == n and spark.read.parquet(path).count() == 12 - n
-    # an attempt that left a part behind is done anew, without doubled rows
-    again = corpus.Manifest(spark, f"{tmp_path}/none")
-    assert len(corpus.process_subcorpora(rows, ["year", "p1"], build, path, again, {"year": "time"})) == 4
-    assert sorted(r.run_index for r in spark.read.parquet(path).collect()) == list(range(12))
+        return part.select(F.col("year").alias("time"), "run_index", F.lit(1).alias("pos"), F.lit(2).alias("occ"), F.lit(3).alias("sub"), "p1")
+
+    store = Store(spark, f"{tmp_path}/ties")
+    assert len(corpus.process_subcorpora(rows, ["year", "p1"], build, store, {"year": "time"})) == 4 and sum(built) == 12
+    assert store.read().count() == 12
+    assert corpus.process_subcorpora(rows, ["year", "p1"], build, store, {"year": "time"}) == []
+    which = corpus.split_condition({"year": 1999, "p1": "b"}, {"year": "time"})
+    n = store.read().where(which).count()
+    assert n and store.delete(which) == n and store.read().count() == 12 - n
+    # an attempt that left a part behind, without a mark, is done anew, without doubled rows
+    again = Store(spark, f"{tmp_path}/again")
+    again.append(build(rows.where("year = 1999 and p1 = 'b'").limit(1)))
+    assert len(corpus.process_subcorpora(rows, ["year", "p1"], build, again, {"year": "time"})) == 4
+    assert sorted(r.run_index for r in again.read().collect()) == list(range(12))
+
+
+def test_split_values(spark, tmp_path):
+    """Values of a hierarchy may hold any characters, or be null."""
+    from semnet.sources.store import Store
+
+    values = ["a(b)", "a", "x & y", "(source == a)", "it's \"q\"", "", None, "a\\b"]
+    rows = spark.createDataFrame([(k, 1, 1, 2, 3, v) for k, v in enumerate(values)], "run_index long, time int, pos int, occ int, sub int, source string")
+    store = Store(spark, f"{tmp_path}/ties")
+    store.append(rows)
+    for k, v in enumerate(values):
+        assert [r.run_index for r in rows.where(corpus.split_condition({"source": v})).collect()] == [k]
+    assert store.delete(corpus.split_condition({"source": "a(b)"})) == 1
+    assert sorted(r.run_index for r in store.read().collect()) == list(range(1, len(values)))
+    other = Store(spark, f"{tmp_path}/other")
+    assert len(corpus.process_subcorpora(rows, ["source"], lambda part: part, other)) == len(values)
+    assert other.read().count() == len(values)
+    assert corpus.split_hierarchy(rows, ["source"]).where("query is null or name is null").count() == 0
+    many = spark.createDataFrame([("1999" + "".join(f"_p{i}" for i in range(150)),)], "filename string")
+    assert len(corpus.flat_folder(many).first().parameters) == 150
 
 
 def test_refusals(spark, monkeypatch):
