@@ -15,7 +15,12 @@ parts, so the search goes through the shards twice: for pairs of frequent
 words, and for longer phrases, all of whose pairs are frequent in the whole
 language.  Which words and pairs these are reaches a shard by a join with what
 the shard has, never as a list of all of them, and a frequent word is a row a
-shard, never a hot key.
+shard, never a hot key.  Rare pairs and triples are mostly not counted at all:
+while shards are made, all sequences of two and three words are counted by a
+hash in tables of fixed size, whose sums bound each count from above.  Sequences
+under a slot that stays below the limit are left out; what the tables let
+through is counted exactly, so they only save work.  They save most of it up to
+some 10**9 words and less beyond, where the exact pruning remains.
 
 Defined results: a null text is empty, a null lang is ``und``.  Counts are over
 all rows, repeated ones included; phrases and words may be of any length in
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch, bounded_side, dealt_join
-from .neardup import portions
+from .neardup import POLY, _named, mix, portions
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one that contains it has this share of its count, in percent.
@@ -52,7 +57,19 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
-SHARDS = "shard long, lang string, words array<string>, counts array<int>, gaps binary"
+#: Slots of a table of sequences, as a power of two, and slots of a block of it: 2 MB of bits a table in the end.
+SLOTS, BLOCK = 24, 20
+SEQUENCES = (2, 3)
+
+SHARDS = "shard long, lang string, words array<string>, hashes array<long>, counts array<int>, gaps binary, block int, table binary"
+
+
+def _slots(chain: np.ndarray) -> np.ndarray:
+    return (mix(chain) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _chained(chain: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return chain * POLY + word
 
 
 def _placed(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -68,10 +85,24 @@ def _placed(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found.dictionary, found.indices.to_numpy(), np.arange(len(starts)) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
 
 
-def _shard(number: int, lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
+def _add(table: np.ndarray, slots: np.ndarray) -> None:
+    """Count slots in a table of bytes that stop at 255."""
+    slot, n = np.unique(slots, return_counts=True)
+    table[slot] = np.minimum(table[slot] + n, 255)
+
+
+def _shard(number: int, lang: str, texts: list[bytes], tables: dict[int, np.ndarray]) -> pa.RecordBatch | None:
     names, code, place = _placed(b"\n".join(texts))
     if not len(code):
         return None
+    hashes = _named(names)[0]
+    chain, next_ = hashes[code], np.diff(place) == 1
+    whole = np.ones(len(code), bool)
+    for k in range(2, max(SEQUENCES) + 1):  # sequences that end at each place
+        whole = whole[:-1] & next_[k - 2 :]
+        chain = _chained(chain[:-1], hashes[code[k - 1 :]])
+        if k in tables:
+            _add(tables[k], _slots(chain[whole]))
     both = np.sort(code.astype(np.int64) << 32 | place)  # places by word
     code, place = both >> 32, both & 0xFFFFFFFF
     counts = np.bincount(code, minlength=len(names))
@@ -81,8 +112,21 @@ def _shard(number: int, lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
     planes = np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T)  # high bytes are mostly zero, and lie together
     packed = pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
     listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    cols = [pa.array([number]), pa.array([lang]), listed(names.cast(pa.string())), listed(pa.array(counts.astype(np.int32))), pa.array([packed], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, ["shard", "lang", "words", "counts", "gaps"])
+    cols = [pa.array([number]), pa.array([lang]), listed(names.cast(pa.string())), listed(pa.array(hashes.view(np.int64))), listed(pa.array(counts.astype(np.int32))), pa.array([packed], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, _SCHEMA.names)
+
+
+_SCHEMA = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("gaps", pa.binary()), ("block", pa.int32()), ("table", pa.binary())])
+
+
+def _blocks(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's tables, numbered through."""
+    for i, k in enumerate(SEQUENCES):
+        for j in range(1 << SLOTS - BLOCK):
+            part = tables[k][j << BLOCK : (j + 1) << BLOCK]
+            if part.any():
+                row = {c: [None] for c in _SCHEMA.names} | {"block": [(i << SLOTS - BLOCK) + j], "table": [pa.Codec("zstd", 1).compress(part.tobytes(), asbytes=True)]}
+                yield pa.RecordBatch.from_pydict(row, _SCHEMA)
 
 
 def _shards(most: int):
@@ -90,12 +134,14 @@ def _shards(most: int):
         number = TaskContext.get().partitionId() << 33
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
+        tables = {k: np.zeros(1 << SLOTS, np.uint8) for k in SEQUENCES}
 
         def full(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal number
             while size and (max(size.values()) >= least or sum(size.values()) >= 8 * least):
                 lang = max(size, key=size.get)
-                made = _shard(number, lang, held.pop(lang))
+                with np.errstate(over="ignore"):
+                    made = _shard(number, lang, held.pop(lang), tables)
                 number, _ = number + 1, size.pop(lang)
                 if made is not None:
                     yield made
@@ -109,10 +155,41 @@ def _shards(most: int):
                     size[lang] = size.get(lang, 0) + len(held[lang][-1])
                 yield from full(most)
         yield from full(0)
+        yield from _blocks(tables)
 
     return run
 
 
+def _summed(least: int):
+    """Add the blocks of one number up; the slots that reach ``least``, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, table in zip(b.column("block").to_pylist(), b.column("table")):
+                part = np.frombuffer(pa.Codec("zstd").decompress(table.as_py(), 1 << BLOCK, asbytes=True), np.uint8)
+                have = held.setdefault(block, np.zeros(1 << BLOCK, np.uint16))
+                np.minimum(have + part, 60_000, out=have)
+        for block, have in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(have >= min(least, 255)).tobytes()], pa.binary())})
+
+    return run
+
+
+def full_slots(made: DataFrame, least: int):
+    """A broadcast of bits, a table for each length of SEQUENCES: the slots under which a sequence may have ``least`` occurrences. Its size is fixed."""
+    n = len(SEQUENCES) << SLOTS - BLOCK
+    sums = made.where("block is not null").select("block", "table").repartitionById(n, F.col("block")).mapInArrow(_summed(least), "block int, bits binary")
+    bits = np.zeros((n, 1 << BLOCK >> 3), np.uint8)
+    for r in sums.toLocalIterator():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return made.sparkSession.sparkContext.broadcast(dict(zip(SEQUENCES, bits.reshape(len(SEQUENCES), -1))))
+
+
+def _open(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def shards(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", most: int = SHARD) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     return scratch.keep(rows.mapInArrow(_shards(most), SHARDS))
@@ -126,6 +203,7 @@ class Bitmaps:
         n = int(counts.sum())
         planes = np.frombuffer(pa.Codec("zstd").decompress(row["gaps"][0].as_py(), 4 * n, asbytes=True), np.uint8)
         gaps = np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+        self.hashes = row["hashes"].combine_chunks().flatten().to_numpy()[chosen].view(np.uint64)
         code = np.full(len(counts), -1)
         code[chosen] = np.arange(len(chosen))
         mine = code >= 0
@@ -173,25 +251,39 @@ def _counted(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, np.bincount(at, np.bitwise_count(mask), len(keys)).astype(np.int64), at
 
 
-def _pairs(known: pa.Table, row: pa.Table) -> pa.Table:
-    """(shard, a, b, at, n): pairs of known words, ``at`` their numbers in the shard."""
-    made = []
-    if known.num_rows and row.num_rows:
-        known = known.sort_by("word")
-        number, id_ = known["word"].to_numpy().astype(np.int64), known["id"].to_numpy()
-        bits = Bitmaps(row, number)
-        for chunk in bits.chunks():
-            a, b, _, mask = bits.extend(*chunk)
-            key, n, _ = _counted(a * bits.size + b, mask)
-            a, b = np.divmod(key, bits.size)
-            made.append((id_[a], id_[b], number[a] << 32 | number[b], n))
-    cols = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 4
-    shard = row["shard"][0].as_py() if row.num_rows else 0
-    return pa.table([np.full(len(cols[0]), shard), *cols], ["shard", "a", "b", "at", "n"])
+def _lang(row: pa.Table, n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(row["lang"][0].as_py() if row.num_rows else "", pa.string()), n)
+
+
+def _pairs(slots):
+    def run(known: pa.Table, row: pa.Table) -> pa.Table:
+        """(lang, shard, a, b, at, n, l, r): pairs of known words that may be frequent, ``at`` their numbers in the shard, l and r their frequencies."""
+        made = []
+        if known.num_rows and row.num_rows:
+            known = known.sort_by("word")
+            number, id_, f = (known[c].to_numpy().astype(np.int64) for c in ("word", "id", "f"))
+            bits = Bitmaps(row, number)
+            with np.errstate(over="ignore"):
+                for chunk in bits.chunks():
+                    a, b, _, mask = bits.extend(*chunk)
+                    key, n, _ = _counted(a * bits.size + b, mask)
+                    a, b = np.divmod(key, bits.size)
+                    some = _open(slots.value[2], _slots(_chained(bits.hashes[a], bits.hashes[b])))
+                    a, b, n = a[some], b[some], n[some]
+                    made.append((id_[a], id_[b], number[a] << 32 | number[b], n, f[a], f[b]))
+        cols = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 6
+        shard = row["shard"][0].as_py() if row.num_rows else 0
+        return pa.table([_lang(row, len(cols[0])), np.full(len(cols[0]), shard), *cols], ["lang", "shard", "a", "b", "at", "n", "l", "r"])
+
+    return run
+
+
+def _longer(slots):
+    return lambda pairs, row: _extended(slots.value, pairs, row)
 
 
-def _longer(pairs: pa.Table, row: pa.Table) -> pa.Table:
-    """(a, b, c, d, n): phrases of three and four words whose pairs are all in ``pairs``; d is null for three."""
+def _extended(slots: dict[int, np.ndarray], pairs: pa.Table, row: pa.Table) -> pa.Table:
+    """(lang, a, b, c, d, n): phrases of three and four words whose pairs are all in ``pairs`` and whose triples may be frequent; d is null for three."""
     made = []
     if pairs.num_rows and row.num_rows:
         at, ids = pairs["at"].to_numpy(), [pairs[c].to_numpy() for c in "ab"]
@@ -202,6 +294,10 @@ def _longer(pairs: pa.Table, row: pa.Table) -> pa.Table:
         known = np.sort(np.searchsorted(number, left) * bits.size + np.searchsorted(number, right))
         last = known % bits.size
 
+        def open_triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return _open(slots[3], _slots(_chained(_chained(bits.hashes[a], bits.hashes[b]), bits.hashes[c])))
+
         def of_pairs(word: np.ndarray, next_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Which (word, next_) are known pairs, and the place of each pair."""
             key = word * bits.size + next_
@@ -216,6 +312,8 @@ def _longer(pairs: pa.Table, row: pa.Table) -> pa.Table:
                 continue
             pair, c, block, mask = bits.extend(pair, block[good], mask[good])
             good, _ = of_pairs(last[pair], c)
+            a, b = np.divmod(known[pair[good]], bits.size)
+            good = good[open_triple(a, b, c[good])]
             if not len(good):
                 continue
             block, mask = block[good], mask[good]
@@ -225,30 +323,33 @@ def _longer(pairs: pa.Table, row: pa.Table) -> pa.Table:
             made.append((id_[a], id_[b], id_[c], np.full(len(n), -1), n))
             of, d, _, mask = bits.extend(of, block, mask)
             good, _ = of_pairs(c[of], d)
+            good = good[open_triple(b[of[good]], c[of[good]], d[good])]
             four, n, _ = _counted(of[good] * bits.size + d[good], mask[good])
             of, d = np.divmod(four, bits.size)
             made.append((id_[a[of]], id_[b[of]], id_[c[of]], id_[d], n))
     cols = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 5
-    return pa.table([*cols[:3], pa.array(cols[3], mask=cols[3] < 0), cols[4]], ["a", "b", "c", "d", "n"])
+    return pa.table([_lang(row, len(cols[0])), *cols[:3], pa.array(cols[3], mask=cols[3] < 0), cols[4]], ["lang", "a", "b", "c", "d", "n"])
 
 
-def frequent_phrases(made: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(words, phrases) of the kept table of shards: (id, lang, word, f) of the frequent words, and (p, f) of frequent phrases of two to four, ``p`` the ids of their words."""
+def frequent_phrases(made: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, pairs, longer) of the kept table of shards: (id, lang, word, f) of the frequent words, (lang, p, f, l, r) of pairs with the counts of their words, (lang, p, f) of phrases of three and four. ``p`` has the ids of the words."""
+    slots = full_slots(made, least)
+    made = made.where("block is null")
     local = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select("shard", "lang", F.col("at").alias("word_at"), "_w.words", "_w.counts")
     f = local.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
     words = scratch.keep(f.select("lang", "word", "f", F.monotonically_increasing_id().alias("id")))
 
-    known = local.select("shard", "lang", F.col("words").alias("word"), "word_at").join(bounded_side(words.select("lang", "word", "id").transform(_counts_of(words))), ["lang", "word"])
-    known = known.select(F.col("shard").alias("of"), F.col("word_at").alias("word"), "id")
-    bitmaps = made.select("shard", "counts", "gaps").groupBy("shard")
-    pairs = known.groupBy("of").cogroup(bitmaps).applyInArrow(_pairs, "shard long, a long, b long, at long, n long")
+    known = local.select("shard", "lang", F.col("words").alias("word"), "word_at").join(bounded_side(words), ["lang", "word"])
+    known = known.select(F.col("shard").alias("of"), F.col("word_at").alias("word"), "id", "f")
+    bitmaps = made.select("shard", "lang", "hashes", "counts", "gaps").groupBy("shard")
+    pairs = known.groupBy("of").cogroup(bitmaps).applyInArrow(_pairs(slots), "lang string, shard long, a long, b long, at long, n long, l long, r long")
     # a pair has one row a shard at most: its shards learn its sum by a window
     pairs = scratch.keep(pairs.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least).drop("n"))
-    longer = pairs.select("shard", "a", "b", "at").groupBy("shard").cogroup(bitmaps).applyInArrow(_longer, "a long, b long, c long, d long, n long")
-    longer = longer.groupBy("a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    two = pairs.groupBy("a", "b").agg(F.first("f").alias("f")).select(F.array("a", "b").alias("p"), "f")
+    longer = pairs.select("shard", "a", "b", "at").groupBy("shard").cogroup(bitmaps).applyInArrow(_longer(slots), "lang string, a long, b long, c long, d long, n long")
+    longer = longer.groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    two = pairs.groupBy("lang", "a", "b").agg(*(F.first(c).alias(c) for c in ("f", "l", "r"))).select("lang", F.array("a", "b").alias("p"), "f", "l", "r")
     ids = F.when(F.col("d").isNull(), F.array("a", "b", "c")).otherwise(F.array("a", "b", "c", "d"))
-    return words, scratch.keep(two.union(longer.select(ids.alias("p"), "f")))
+    return words, scratch.keep(two), scratch.keep(longer.select("lang", ids.alias("p"), "f"))
 
 
 def _counts_of(kept: DataFrame):
@@ -265,36 +366,43 @@ def _big(c: str):
     return F.col(c).cast("decimal(20,0)")
 
 
-def scored(words: DataFrame, phrases: DataFrame, scratch: Scratch, inside: int = INSIDE) -> DataFrame:
-    """(p, a, l, r, score) of the phrases that no longer one stands for. Sums and products are decimals: they may pass 64 bits."""
-    longer = phrases.where(F.size("p") > 2)
-    parts = F.flatten(F.transform(F.sequence(F.lit(2), F.size("p") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("p") - n + 1), lambda i: F.slice("p", i, n))))
-    most = longer.select(F.explode(parts).alias("p"), "f").groupBy("p").agg(F.max("f").alias("most"))
-    kept = phrases.join(most, "p", "left").where(F.col("most").isNull() | (100 * _big("most") < inside * _big("f")))
-    cuts = kept.select("p", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
-    cuts = cuts.select("p", "a", "k", F.slice("p", F.lit(1), F.col("k")).alias("left"), F.slice("p", F.col("k") + 1, F.size("p")).alias("right"))
+def _score():
+    return F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))").alias("score")
+
+
+def scored(words: DataFrame, pairs: DataFrame, longer: DataFrame, scratch: Scratch, inside: int = INSIDE) -> DataFrame:
+    """(lang, p, a, l, r, score) of the phrases that no longer one stands for. Sums and products are decimals: they may pass 64 bits."""
+    none = F.lit(None).cast("long")
+    sizes = F.sequence(F.lit(2), F.size("p") - 1)
+    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("p") - n + 1), lambda i: F.slice("p", i, n))))
+    most = longer.select("lang", F.explode(parts).alias("p"), none.alias("f"), none.alias("l"), none.alias("r"), F.col("f").alias("most"))
+    every = pairs.select("lang", "p", "f", "l", "r", none.alias("most")).union(longer.select("lang", "p", "f", none, none, none)).union(most)
+    # a phrase and what contains it meet under one key: no join
+    kept = every.groupBy("lang", "p").agg(*(F.max(c).alias(c) for c in ("f", "l", "r", "most"))).where(F.col("f").isNotNull())
+    kept = scratch.keep(kept.where(F.col("most").isNull() | (100 * _big("most") < inside * _big("f"))).select("lang", "p", F.col("f").alias("a"), "l", "r"))
+    two = kept.where("size(p) = 2").select("lang", "p", "a", "l", "r", _score())
+    cuts = kept.where("size(p) > 2").select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
+    cuts = cuts.select("lang", "p", "a", "k", F.slice("p", F.lit(1), F.col("k")).alias("left"), F.slice("p", F.col("k") + 1, F.size("p")).alias("right"))
     # frequencies of parts: at most three ids a row; a frequent word is a part of very many phrases, and is dealt
-    f = scratch.keep(words.select(F.array("id").alias("q"), "f").union(phrases.where(F.size("p") < LONGEST).select("p", "f")))
+    f = scratch.keep(words.select(F.array("id").alias("q"), "f").union(pairs.select("p", "f")).union(longer.where(F.size("p") < LONGEST).select("p", "f")))
     for part, name in (("left", "l"), ("right", "r")):
         cuts = dealt_join(cuts, f.select(F.col("q").alias(part), F.col("f").alias(name)), [part], F.xxhash64("p"), rows=f.n_rows)
-    score = F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    best = cuts.groupBy("p").agg(F.min(F.struct(score.alias("score"), "k", "a", "l", "r")).alias("_b"))
-    return best.select("p", "_b.a", "_b.l", "_b.r", "_b.score")
+    best = cuts.groupBy("lang", "p").agg(F.min(F.struct(_score(), "k", "a", "l", "r")).alias("_b"))
+    return two.union(best.select("lang", "p", "_b.a", "_b.l", "_b.r", "_b.score"))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, inside: int = INSIDE, shard: int = SHARD) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score."""
     scratch = Scratch(docs.sparkSession, "phrases")
     made = shards(docs, scratch, text, lang, shard)
-    words, phrases = frequent_phrases(made, scratch, least)
-    named = lambda *c: bounded_side(words.select(F.col("id").alias("_id"), *c).transform(_counts_of(words)))
-    rows = scored(words, phrases, scratch, inside).withColumn("_id", F.col("p")[0]).join(named("lang"), "_id").drop("_id")
+    words, pairs, longer = frequent_phrases(made, scratch, least)
+    rows = scored(words, pairs, longer, scratch, inside)
     # phrases are spelt out only where they may be among the first
     order = [F.desc("score"), F.desc("a")]
     first = scratch.keep(rows.withColumn("_r", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= top).drop("_r"))
-    each = first.select("p", F.posexplode("p").alias("_at", "_id")).join(named("word"), "_id")
+    each = first.select("p", F.posexplode("p").alias("_at", "_id")).join(bounded_side(words.select(F.col("id").alias("_id"), "word").transform(_counts_of(words))), "_id")
     spelt = each.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("_at", "word"))).alias("_w")).select("p", F.concat_ws(" ", "_w.word").alias("phrase"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")
     ranked = first.join(spelt, "p").withColumn("rank", place).where(F.col("rank") <= top)
-    n = made.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    n = made.where("block is null").groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -156,6 +156,7 @@ def test_phrases_empty(spark):
 def test_phrases_pass_64_bits(spark):
     words = spark.createDataFrame([(1, "x", "a", 9 * 10**18), (2, "x", "b", 9 * 10**18)], "id long, lang string, word string, f long")
     words.n_rows = 2
-    pairs = spark.createDataFrame([([1, 2], 6 * 10**18)], "p array<long>, f long")
-    got = phrases.scored(words, pairs, base.Scratch(spark, "test")).collect()
+    pairs = spark.createDataFrame([("x", [1, 2], 6 * 10**18, 9 * 10**18, 9 * 10**18)], "lang string, p array<long>, f long, l long, r long")
+    longer = spark.createDataFrame([], "lang string, p array<long>, f long")
+    got = phrases.scored(words, pairs, longer, base.Scratch(spark, "test")).collect()
     assert [(x.a, x.l, x.r, x.score) for x in got] == [(6 * 10**18, 9 * 10**18, 9 * 10**18, 2_000_000 * 6 // 18)]
