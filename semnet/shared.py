@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +38,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     atexit.register(clear)
     return path
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read back: the lineage ends here, and a lost executor costs a read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
