@@ -15,12 +15,11 @@ parts, so the search goes through the shards twice: for pairs of frequent
 words, and for longer phrases, all of whose pairs are frequent in the whole
 language.  Which words and pairs these are reaches a shard by a join with what
 the shard has, never as a list of all of them, and a frequent word is a row a
-shard, never a hot key.  Rare pairs and triples are mostly not counted at all:
-while shards are made, all sequences of two and three words are counted by a
-hash in tables of fixed size, whose sums bound each count from above.  Sequences
-under a slot that stays below the limit are left out; what the tables let
-through is counted exactly, so they only save work.  They save most of it up to
-some 10**9 words and less beyond, where the exact pruning remains.
+shard, never a hot key.  Rare pairs are mostly not counted at all: while shards are made, all pairs of
+words are counted by a hash in a table of fixed size, whose slots bound the
+counts from above.  Pairs under a slot that stays below the limit are left out;
+what the table lets through is counted exactly, so it only saves work.  It saves
+most of it up to some 10**8 words and less beyond, where the exact pruning remains.
 
 Defined results: a null text is empty, a null lang is ``und``.  Counts are over
 all rows, repeated ones included; phrases and words may be of any length in
@@ -36,12 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch, bounded_side, dealt_join
-from .neardup import POLY, _named, mix, portions
+from .neardup import POLY, mix, portions
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one that contains it has this share of its count, in percent.
@@ -57,19 +57,16 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
-#: Slots of a table of sequences, as a power of two, and slots of a block of it: 2 MB of bits a table in the end.
+#: Slots of the table of pairs, as a power of two, and slots of a block of it: 2 MB of bits in the end.
 SLOTS, BLOCK = 24, 20
-SEQUENCES = (2, 3)
 
-SHARDS = "shard long, lang string, words array<string>, hashes array<long>, counts array<int>, gaps binary, block int, table binary"
+SHARDS = "shard long, lang string, words array<string>, counts array<int>, gaps binary, block int, table binary"
 
 
-def _slots(chain: np.ndarray) -> np.ndarray:
-    return (mix(chain) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
-def _chained(chain: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return chain * POLY + word
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Slots of pairs of words, given the hashes of the words: XXH64 with a seed of 42, as Spark has it."""
+    with np.errstate(over="ignore"):
+        return (mix(a * POLY + b) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
 def _placed(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -85,24 +82,15 @@ def _placed(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found.dictionary, found.indices.to_numpy(), np.arange(len(starts)) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
 
 
-def _add(table: np.ndarray, slots: np.ndarray) -> None:
-    """Count slots in a table of bytes that stop at 255."""
-    slot, n = np.unique(slots, return_counts=True)
-    table[slot] = np.minimum(table[slot] + n, 255)
-
-
-def _shard(number: int, lang: str, texts: list[bytes], tables: dict[int, np.ndarray]) -> pa.RecordBatch | None:
+def _shard(number: int, lang: str, texts: list[bytes], table: np.ndarray) -> pa.RecordBatch | None:
+    """A shard of texts; its pairs are added to ``table``, whose bytes stop at 255."""
     names, code, place = _placed(b"\n".join(texts))
     if not len(code):
         return None
-    hashes = _named(names)[0]
-    chain, next_ = hashes[code], np.diff(place) == 1
-    whole = np.ones(len(code), bool)
-    for k in range(2, max(SEQUENCES) + 1):  # sequences that end at each place
-        whole = whole[:-1] & next_[k - 2 :]
-        chain = _chained(chain[:-1], hashes[code[k - 1 :]])
-        if k in tables:
-            _add(tables[k], _slots(chain[whole]))
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in names.to_pylist()], np.uint64)
+    first = np.flatnonzero(np.diff(place) == 1)
+    slot, n = np.unique(_slots(hashes[code[first]], hashes[code[first + 1]]), return_counts=True)
+    table[slot] = np.minimum(table[slot] + n, 255)
     both = np.sort(code.astype(np.int64) << 32 | place)  # places by word
     code, place = both >> 32, both & 0xFFFFFFFF
     counts = np.bincount(code, minlength=len(names))
@@ -112,21 +100,19 @@ def _shard(number: int, lang: str, texts: list[bytes], tables: dict[int, np.ndar
     planes = np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T)  # high bytes are mostly zero, and lie together
     packed = pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
     listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    cols = [pa.array([number]), pa.array([lang]), listed(names.cast(pa.string())), listed(pa.array(hashes.view(np.int64))), listed(pa.array(counts.astype(np.int32))), pa.array([packed], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
+    cols = [pa.array([number]), pa.array([lang]), listed(names.cast(pa.string())), listed(pa.array(counts.astype(np.int32))), pa.array([packed], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
     return pa.RecordBatch.from_arrays(cols, _SCHEMA.names)
 
 
-_SCHEMA = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("gaps", pa.binary()), ("block", pa.int32()), ("table", pa.binary())])
+_SCHEMA = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("gaps", pa.binary()), ("block", pa.int32()), ("table", pa.binary())])
 
 
-def _blocks(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The blocks of a task's tables, numbered through."""
-    for i, k in enumerate(SEQUENCES):
-        for j in range(1 << SLOTS - BLOCK):
-            part = tables[k][j << BLOCK : (j + 1) << BLOCK]
-            if part.any():
-                row = {c: [None] for c in _SCHEMA.names} | {"block": [(i << SLOTS - BLOCK) + j], "table": [pa.Codec("zstd", 1).compress(part.tobytes(), asbytes=True)]}
-                yield pa.RecordBatch.from_pydict(row, _SCHEMA)
+def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for j in range(1 << SLOTS - BLOCK):
+        part = table[j << BLOCK : (j + 1) << BLOCK]
+        if part.any():
+            row = {c: [None] for c in _SCHEMA.names} | {"block": [j], "table": [pa.Codec("zstd", 1).compress(part.tobytes(), asbytes=True)]}
+            yield pa.RecordBatch.from_pydict(row, _SCHEMA)
 
 
 def _shards(most: int):
@@ -134,14 +120,13 @@ def _shards(most: int):
         number = TaskContext.get().partitionId() << 33
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
-        tables = {k: np.zeros(1 << SLOTS, np.uint8) for k in SEQUENCES}
+        table = np.zeros(1 << SLOTS, np.uint8)
 
         def full(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal number
             while size and (max(size.values()) >= least or sum(size.values()) >= 8 * least):
                 lang = max(size, key=size.get)
-                with np.errstate(over="ignore"):
-                    made = _shard(number, lang, held.pop(lang), tables)
+                made = _shard(number, lang, held.pop(lang), table)
                 number, _ = number + 1, size.pop(lang)
                 if made is not None:
                     yield made
@@ -155,7 +140,7 @@ def _shards(most: int):
                     size[lang] = size.get(lang, 0) + len(held[lang][-1])
                 yield from full(most)
         yield from full(0)
-        yield from _blocks(tables)
+        yield from _blocks(table)
 
     return run
 
@@ -177,13 +162,13 @@ def _summed(least: int):
 
 
 def full_slots(made: DataFrame, least: int):
-    """A broadcast of bits, a table for each length of SEQUENCES: the slots under which a sequence may have ``least`` occurrences. Its size is fixed."""
-    n = len(SEQUENCES) << SLOTS - BLOCK
+    """A broadcast of bits: the slots under which a pair may have ``least`` occurrences. Its size is fixed."""
+    n = 1 << SLOTS - BLOCK
     sums = made.where("block is not null").select("block", "table").repartitionById(n, F.col("block")).mapInArrow(_summed(least), "block int, bits binary")
     bits = np.zeros((n, 1 << BLOCK >> 3), np.uint8)
     for r in sums.toLocalIterator():
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return made.sparkSession.sparkContext.broadcast(dict(zip(SEQUENCES, bits.reshape(len(SEQUENCES), -1))))
+    return made.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
 def _open(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -203,7 +188,6 @@ class Bitmaps:
         n = int(counts.sum())
         planes = np.frombuffer(pa.Codec("zstd").decompress(row["gaps"][0].as_py(), 4 * n, asbytes=True), np.uint8)
         gaps = np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
-        self.hashes = row["hashes"].combine_chunks().flatten().to_numpy()[chosen].view(np.uint64)
         code = np.full(len(counts), -1)
         code[chosen] = np.arange(len(chosen))
         mine = code >= 0
@@ -261,16 +245,15 @@ def _pairs(slots):
         made = []
         if known.num_rows and row.num_rows:
             known = known.sort_by("word")
-            number, id_, f = (known[c].to_numpy().astype(np.int64) for c in ("word", "id", "f"))
-            bits = Bitmaps(row, number)
-            with np.errstate(over="ignore"):
-                for chunk in bits.chunks():
-                    a, b, _, mask = bits.extend(*chunk)
-                    key, n, _ = _counted(a * bits.size + b, mask)
-                    a, b = np.divmod(key, bits.size)
-                    some = _open(slots.value[2], _slots(_chained(bits.hashes[a], bits.hashes[b])))
-                    a, b, n = a[some], b[some], n[some]
-                    made.append((id_[a], id_[b], number[a] << 32 | number[b], n, f[a], f[b]))
+            number, id_, f, hash_ = (known[c].to_numpy().astype(np.int64) for c in ("word", "id", "f", "hash"))
+            bits, hash_ = Bitmaps(row, number), hash_.view(np.uint64)
+            for chunk in bits.chunks():
+                a, b, _, mask = bits.extend(*chunk)
+                key, n, _ = _counted(a * bits.size + b, mask)
+                a, b = np.divmod(key, bits.size)
+                some = _open(slots.value, _slots(hash_[a], hash_[b]))
+                a, b, n = a[some], b[some], n[some]
+                made.append((id_[a], id_[b], number[a] << 32 | number[b], n, f[a], f[b]))
         cols = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 6
         shard = row["shard"][0].as_py() if row.num_rows else 0
         return pa.table([_lang(row, len(cols[0])), np.full(len(cols[0]), shard), *cols], ["lang", "shard", "a", "b", "at", "n", "l", "r"])
@@ -278,12 +261,8 @@ def _pairs(slots):
     return run
 
 
-def _longer(slots):
-    return lambda pairs, row: _extended(slots.value, pairs, row)
-
-
-def _extended(slots: dict[int, np.ndarray], pairs: pa.Table, row: pa.Table) -> pa.Table:
-    """(lang, a, b, c, d, n): phrases of three and four words whose pairs are all in ``pairs`` and whose triples may be frequent; d is null for three."""
+def _longer(pairs: pa.Table, row: pa.Table) -> pa.Table:
+    """(lang, a, b, c, d, n): phrases of three and four words whose pairs are all in ``pairs``; d is null for three."""
     made = []
     if pairs.num_rows and row.num_rows:
         at, ids = pairs["at"].to_numpy(), [pairs[c].to_numpy() for c in "ab"]
@@ -294,10 +273,6 @@ def _extended(slots: dict[int, np.ndarray], pairs: pa.Table, row: pa.Table) -> p
         known = np.sort(np.searchsorted(number, left) * bits.size + np.searchsorted(number, right))
         last = known % bits.size
 
-        def open_triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-            with np.errstate(over="ignore"):
-                return _open(slots[3], _slots(_chained(_chained(bits.hashes[a], bits.hashes[b]), bits.hashes[c])))
-
         def of_pairs(word: np.ndarray, next_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Which (word, next_) are known pairs, and the place of each pair."""
             key = word * bits.size + next_
@@ -312,8 +287,6 @@ def _extended(slots: dict[int, np.ndarray], pairs: pa.Table, row: pa.Table) -> p
                 continue
             pair, c, block, mask = bits.extend(pair, block[good], mask[good])
             good, _ = of_pairs(last[pair], c)
-            a, b = np.divmod(known[pair[good]], bits.size)
-            good = good[open_triple(a, b, c[good])]
             if not len(good):
                 continue
             block, mask = block[good], mask[good]
@@ -323,7 +296,6 @@ def _extended(slots: dict[int, np.ndarray], pairs: pa.Table, row: pa.Table) -> p
             made.append((id_[a], id_[b], id_[c], np.full(len(n), -1), n))
             of, d, _, mask = bits.extend(of, block, mask)
             good, _ = of_pairs(c[of], d)
-            good = good[open_triple(b[of[good]], c[of[good]], d[good])]
             four, n, _ = _counted(of[good] * bits.size + d[good], mask[good])
             of, d = np.divmod(four, bits.size)
             made.append((id_[a[of]], id_[b[of]], id_[c[of]], id_[d], n))
@@ -340,12 +312,12 @@ def frequent_phrases(made: DataFrame, scratch: Scratch, least: int = LEAST) -> t
     words = scratch.keep(f.select("lang", "word", "f", F.monotonically_increasing_id().alias("id")))
 
     known = local.select("shard", "lang", F.col("words").alias("word"), "word_at").join(bounded_side(words), ["lang", "word"])
-    known = known.select(F.col("shard").alias("of"), F.col("word_at").alias("word"), "id", "f")
-    bitmaps = made.select("shard", "lang", "hashes", "counts", "gaps").groupBy("shard")
+    known = known.select(F.col("shard").alias("of"), F.col("word_at").alias("word"), "id", "f", F.xxhash64("word").alias("hash"))
+    bitmaps = made.select("shard", "lang", "counts", "gaps").groupBy("shard")
     pairs = known.groupBy("of").cogroup(bitmaps).applyInArrow(_pairs(slots), "lang string, shard long, a long, b long, at long, n long, l long, r long")
     # a pair has one row a shard at most: its shards learn its sum by a window
     pairs = scratch.keep(pairs.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least).drop("n"))
-    longer = pairs.select("shard", "a", "b", "at").groupBy("shard").cogroup(bitmaps).applyInArrow(_longer(slots), "lang string, a long, b long, c long, d long, n long")
+    longer = pairs.select("shard", "a", "b", "at").groupBy("shard").cogroup(bitmaps).applyInArrow(_longer, "lang string, a long, b long, c long, d long, n long")
     longer = longer.groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     two = pairs.groupBy("lang", "a", "b").agg(*(F.first(c).alias(c) for c in ("f", "l", "r"))).select("lang", F.array("a", "b").alias("p"), "f", "l", "r")
     ids = F.when(F.col("d").isNull(), F.array("a", "b", "c")).otherwise(F.array("a", "b", "c", "d"))
