@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import text
+from .functions import epochs, sentences, text
 from .operators import cluster, graph, measures, profiles, queries, stats, ties
 from .plans.network import Network
+from .shared import scratch_path
+from .sources.store import OccurrenceCache, Store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -399,11 +401,11 @@ add("text_row_rules", r"""with l as (select doc_id, unnest(string_split(text, ch
     select cast(doc_id as bigint) as doc_id, cast(seq_id as bigint) as seq_id, replace(translate(case when regexp_matches(t, '[,.;":]$') then t else t || '.' end, '‘’´“”–-', repeat(chr(39), 3) || '""--'), '?', ' ? ') as text from t""")(
     lambda s, d: text.row_rules(_LINES(s, d), "text", 80)
 )
-_IDS = "list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w))"
+_IDS = "list_transform(regexp_extract_all(lower(text), '\\p{L}+'), lambda w: length(w))"
 add("text_padded", f"select doc_id, array_to_string(([101] || ({_IDS})[1:14] || [102] || list_transform(range(14 - least(14, len({_IDS}))), lambda i: 0)), ',') as ids from documents where length(text) >= 3")(
     lambda s, d: text.drop_short(DOCS(s, d), "text").select("doc_id", text.padded(F.transform(text.tokens(F.col("text")), lambda w: F.length(w)), 16, 101, 102, 0).alias("ids"))
 )
-add("text_token_rows", """with k as (select doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w <> 'the') as w from documents)
+add("text_token_rows", """with k as (select doc_id, source, list_filter(regexp_extract_all(lower(text), '\\p{L}+'), lambda w: w <> 'the') as w from documents)
     select doc_id, source, generate_subscripts(w, 1) - 1 as pos, unnest(w) as token from k""")(
     lambda s, d: text.token_rows(DOCS(s, d).select("doc_id", "source", "text"), text.known_only(text.tokens(F.col("text")), "the")).drop("text")
 )
@@ -417,7 +419,7 @@ add("missing_words", rf"""select w as word, count(*) as cnt from (select unnest(
     and w not in (select unnest(string_split_regex(lower(text), '\s+')) from benchmark) group by w having count(*) >= 10""")(
     lambda s, d: text.missing_words(DOCS(s, d), "text", _table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")), _STOPS(s), 10)
 )
-add("stopword_filter", f"select w as token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) where w not in ({_STOP_SQL}) group by w")(
+add("stopword_filter", f"select w as token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from documents) where w not in ({_STOP_SQL}) group by w")(
     lambda s, d: text.without_stop_words(DOCS(s, d).select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "token", _STOPS(s))
 )
 
@@ -434,12 +436,82 @@ def _(s, d):
     return text.sentence_index(rows).select("year", "filename", "doc_id", "sentence", "index", "year_index", "file_index")
 
 
+# --- changes of a store
+@add(
+    "store_merge",
+    f"""with {T}, a as (select time, run_index, pos, occ, sub, weight from ties where run_index % 3 <> 0),
+    b as (select time, run_index, pos, occ, sub, 2 * max(weight) as weight from ties where run_index % 2 = 0 group by all),
+    m as (select * from b union all select * from a anti join b using (time, run_index, pos, occ, sub)),
+    c as (select time, run_index, pos, occ, sub, max(weight) as weight from ties where run_index % 5 = 0 group by all),
+    k as (select * from m union all select * from c anti join m using (time, run_index, pos, occ, sub))
+    select {L('time')}, count(*) as n, count(distinct run_index) as sequences, round(sum(weight), 6) as weight from k where occ <> 7 group by time""",
+)
+def _(s, d):
+    t, store = _ties(s, d), Store(s, scratch_path(s, "store"))
+    store.append(t.where("run_index % 3 <> 0"))
+    store.merge(t.where("run_index % 2 = 0").withColumn("weight", 2 * F.col("weight")), "replace")
+    store.merge(t.where("run_index % 5 = 0"))
+    store.delete(F.col("occ") == 7)
+    return store.read().groupBy("time").agg(F.count("*").alias("n"), F.count_distinct("run_index").alias("sequences"), F.sum("weight").alias("weight"))
+
+
+@add("occurrences_cached", f"with {T} select cast(occ as bigint) as token_id, round(sum(weight)) as freq from ties where not (time = 1995 and sub < 20) group by occ")
+def _(s, d):
+    t, store = _ties(s, d), Store(s, scratch_path(s, "store"))
+    cache = OccurrenceCache(store)
+    store.append(t.where("run_index % 2 = 0"))
+    cache.refresh()
+    store.append(t.where("run_index % 2 = 1"))
+    cache.refresh()
+    store.delete((F.col("time") == 1995) & (F.col("sub") < 20))
+    return cache.occurrences()
+
+
+# --- learnt sentences, epochs
+_BARE = r"regexp_replace(regexp_replace(regexp_replace({0}, '[\x09-\x0D\x20]+$', ''), '^[\"''“‘„«(\[]+', ''), '[\"''”’»)\],;:]+$', '')"
+_LNN = lambda n, p: f"(case when {n} = 0 then 0 else {n} * ln({p}) end)"
+_LLR = lambda a, b, ab, n: f"-2 * ({_LNN(ab, f'{b} / {n}')} + {_LNN(f'({a} - {ab})', f'1 - {b} / {n}')} + {_LNN(f'({b} - {ab})', f'{b} / {n}')} + {_LNN(f'({n} - {a} - {b} + {ab})', f'1 - {b} / {n}')} - {_LNN(ab, f'{ab} / {a}')} - {_LNN(f'({a} - {ab})', f'1 - {ab} / {a}')} - {_LNN(f'({b} - {ab})', f'({b} - {ab}) / ({n} - {a})')} - {_LNN(f'({n} - {a} - {b} + {ab})', f'1 - ({b} - {ab}) / ({n} - {a})')})"
+LEARNT = rf"""with p as (select doc_id, regexp_extract_all(text, '[^\x09-\x0D\x20]+[\x09-\x0D\x20]*') as w from documents),
+    x as (select doc_id, generate_subscripts(w, 1) as pos, unnest(w) as piece from p), y as (select *, {_BARE.format('piece')} as bare from x),
+    z as (select *, regexp_replace(bare, '[,;:.!?]+$', '') as word, regexp_extract(bare, '[.!?]+$') as mark from y),
+    tk as (select doc_id, pos, piece, mark, case when regexp_matches(word, '^[0-9][0-9.,]*$') then '#' else lower(word) end as type, regexp_matches(word, '^\p{{Lu}}') as up, regexp_matches(word, '^\p{{Ll}}') as low from z),
+    nx as materialized (select *, lead(type) over w as nt, lead(up) over w as nup from tk window w as (partition by doc_id order by pos)),
+    ty as (select type, count(*) as n, count(*) filter (mark = '.') as k, count(*) filter (low) as small from nx where type <> '' group by type),
+    al as (select sum(n) as nn, sum(k) as pp from ty),
+    ab as (select type from (select type, n, k, length(type) - length(replace(type, '.', '')) as dots, -2 * ({_LNN('k', 'pp / nn')} + {_LNN('(n - k)', '1 - pp / nn')} - k * ln(0.99) - (n - k) * ln(0.01)) as ll from ty, al where k > 0 and regexp_matches(type, '\p{{L}}'))
+      where length(type) > dots and ll * exp(dots - length(type)) * (dots + 1) * pow(length(type) - dots, k - n) >= 0.3),
+    fo as (select type, mark, nt as next, count(*) as ab, type in (select type from ab) or type = '#' or regexp_matches(type, '^\p{{L}}$') as short from nx where nt is not null and nt <> '' and mark <> '' group by type, mark, nt),
+    su as (select * from fo where regexp_matches(mark, '[!?]') or (mark = '.' and not short)), en as (select sum(ab) as aa from su),
+    st as (select next as type from (select next, sum(ab) as ab, n as b, aa, nn from su join ty on ty.type = next, en, al group by next, n, aa, nn) where ab / aa > b / nn and regexp_matches(next, '^\p{{L}}') and {_LLR('aa', 'b', 'ab', 'nn')} >= 30),
+    co as (select type, next from (select fo.type, next, ab, a.n as a, b.n as b, nn from fo join ty a on a.type = fo.type join ty b on b.type = next, al where mark = '.' and short and ab > 1 and next not in (select type from st)) where ab / a > b / nn and {_LLR('a', 'b', 'ab', 'nn')} >= 7.88),
+    op as (select *, mark = '.' and (type in (select type from ab) or type = '#' or regexp_matches(type, '^\p{{L}}$')) as open from nx),
+    cu as (select doc_id, pos, piece, nt is not null and mark <> '' and case when not open then regexp_matches(mark, '[!?]') or mark = '.' or nup
+      else nup and (nt in (select type from st) or (nt in (select type from ty where small > 0) and not (regexp_matches(type, '^\p{{L}}$') and type not in (select type from ab)))) and (type, nt) not in (select (type, next) from co) end as last from op),
+    gr as (select doc_id, pos, piece, coalesce(sum(case when last then 1 else 0 end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as g from cu)"""
+add("sentences_learned", rf"{LEARNT} select doc_id, cast(g as bigint) as index, regexp_replace(string_agg(piece, '' order by pos), '[\x09-\x0D\x20]+$', '') as sentence from gr group by doc_id, g")(
+    lambda s, d: sentences.split(DOCS(s, d).select("doc_id", "text"), "text").drop("text")
+)
+
+
+def _turns(n: str) -> str:
+    """The rounds of the permutation in SQL; digits l and r of 0 .. a * b - 1."""
+    noise = lambda x, k: f"(((({x} % 2147483648 * {epochs.FACTOR} + {k}) % 2147483648 + ({x} % 2147483648 * {epochs.FACTOR} + {k}) % 2147483648 // 65536) * {epochs.FACTOR} + {epochs.STEP}) % 2147483648 // 512)"
+    out = f"c as (select count(*) as n, greatest(1, cast(floor(sqrt(greatest(0, count(*) - 1))) as bigint) + 1) as a from {n}), s as (select *, greatest(1, cast(ceil(n / a) as bigint)) as b from c), t0 as (select x, x // b as l, x % b as r from s, range(a * b) as z(x))"
+    for i, k in enumerate(epochs.keys(7)):
+        out += f", t{i + 1} as (select x, {f'(l + {noise("r", k)}) % a as l, r' if i % 2 == 0 else f'l, (r + {noise("l", k)}) % b as r'} from t{i}, s)"
+    return out + f", once as materialized (select x, l * b + r as y from t{epochs.ROUNDS}, s)"
+
+
+add("epoch_order", f"with recursive {_turns('documents')}, walk as (select d.doc_id, y from documents d join once on x = doc_id union all select doc_id, once.y from walk join once on once.x = walk.y, s where walk.y >= n) select doc_id, cast(y as bigint) as place, y < 100 as validation from walk, s where y < n")(
+    lambda s, d: epochs.shuffled(DOCS(s, d).select("doc_id"), DOCS(s, d).count(), 7, index="doc_id", validation=100)
+)
+
 # --- tie construction on text
 def _tokens(s, d) -> DataFrame:
     return DOCS(s, d).select(F.col("doc_id").alias("run_index"), F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
 
 
-MODEL = """tok as (select doc_id as run_index, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) - 1 as pos from documents),
+MODEL = """tok as (select doc_id as run_index, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as token, generate_subscripts(regexp_extract_all(lower(text), '\\p{L}+'), 1) - 1 as pos from documents),
 n as (select *, lag(token) over w as l, lead(token) over w as r from tok window w as (partition by run_index order by pos)),
 t as (select * from n where l is not null and r is not null),
 b as (select l, r, token as cand, count(*) as c from t group by l, r, token), b2 as (select *, count(*) over (partition by l, r) as k, c / sum(c) over (partition by l, r) as prob from b),

@@ -120,7 +120,7 @@ def token_rows(rows: DataFrame, tokens_: Column, pos: str = "pos", token: str =
 
 
 def sentences(c: Column) -> Column:
-    """Cut after . ! or ? and white space. A pattern, not a trained splitter: abbreviations do cut."""
+    """Cut after . ! or ? and white space, abbreviations too; ``sentences.split`` learns these."""
     return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
 
 
@@ -170,8 +170,8 @@ def trim_words(c: Column, most_chars: int) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of a to z."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    """Lower-case runs of letters of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def stop_words(numbers: int = 3000) -> list[str]:
