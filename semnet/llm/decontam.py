@@ -22,7 +22,10 @@ an item of fewer than ``WIDTH`` tokens is one window of its own length, one of
 fewer than ``LEAST`` tokens matches a document of just these tokens; windows with
 fewer than half their tokens literal are too general and match in plain form
 only, and count for ``COVERAGE`` where an item has no others; repeated rows get a row each;
-repeated items count as one item each; other columns are ignored.
+repeated items count as one item each; an item is known by its id and its text, so
+ids that are null or stand for several texts lose none (a null one is listed as
+``null``); without documents there are no rows, without items nothing is
+contaminated; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,10 +94,15 @@ def slots(tokens: Column, pos: Column, width: Column) -> Column:
     return F.filter(placed, lambda x: x["value"].rlike(f"^[{NUM}{NAME}{UNIT}]"))
 
 
+def item_key(item: str = "item_id", text: str = "text") -> Column:
+    """What an item is known by inside: its id, which may be null or there twice, with its text."""
+    return F.xxhash64(F.col(item), F.col(text)).alias("item")
+
+
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(hash, item, pos, width, slots, counted, of, size): windows of all items; how many of an item are counted, and its tokens."""
     t = F.col(text)
-    b = benchmark.select(F.col(item).alias("item"), words(marked(t)).alias("read"), F.slice(words(marked(F.concat(F.lit("a "), t))), F.lit(2), F.size(words(marked(F.concat(F.lit("a "), t))))).alias("inside"))
+    b = benchmark.select(item_key(item, text), words(marked(t)).alias("read"), F.slice(words(marked(F.concat(F.lit("a "), t))), F.lit(2), F.size(words(marked(F.concat(F.lit("a "), t))))).alias("inside"))
     b = b.withColumn("width", F.least(F.lit(WIDTH), F.size("read"))).where("width > 0")
     # the first word of an item may be a name where the item stands inside a sentence
     b = b.select("item", "width", F.size("read").alias("size"), F.explode(F.array("read", "inside")).alias("tokens"))
@@ -206,9 +214,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_:
     m = matches(docs, benchmark, text, id_)
     m = m.where((F.col("windows") >= coverage * F.col("of")) | (F.col("run") >= RUN) | (F.col("share") >= SPREAD))
     # items per document: bounded by the benchmark passages that fit into its text
-    m = m.groupBy("doc", "text_hash").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("item")), lambda x: x.cast("string"))).alias("items"))
+    scratch = Scratch(docs.sparkSession, "decontam")
+    ids = scratch.keep(benchmark.select(item_key(), F.col("item_id").alias("id")).distinct())
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("id"))), lambda x: F.coalesce(x["id"].cast("string"), F.lit("null")))
+    m = m.join(bounded_side(ids), "item").groupBy("doc", "text_hash").agg(F.count("*").alias("n_items"), F.concat_ws(",", listed).alias("items"))
     m = m.select(F.col("doc").alias("_dc_doc"), F.col("text_hash").alias("_dc_hash"), "n_items", "items")
-    return Scratch(docs.sparkSession, "decontam").keep(m)
+    return scratch.keep(m)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", **how) -> DataFrame:

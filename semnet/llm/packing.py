@@ -7,16 +7,17 @@ bitmaps of their sources and clusters; a piece looks for the least residual
 that holds it and goes on to the successor until it meets a compatible bin,
 which is the tightest one.
 
-Pieces are counted and dealt by a hash of their row and part to shards of a
-fixed expected size that are packed independently, so a hot source, a very long
-text or a row that is repeated very often is spread like any other and no task
-grows with the input.  Each shard places its pieces in the order of decreasing
-length (ties: by id, part and cluster).
+Pieces are counted and dealt by a hash of their id, text, part and number among
+alike ones to shards of a fixed expected size that are packed independently, so
+a hot source, a very long text or a row that is repeated very often is spread
+like any other, no task grows with the input, and bins don't depend on how the
+rows were read.  Each shard places its pieces in the order of decreasing length
+(ties: by id, part, cluster, text and source).
 
 Defined results: a text without words has no piece and no row; a null source is
 a source of its own; repeated rows are packed each (in different bins, as they
 are one cluster); an id that stands for several texts is told apart by the hash
-of the text; other columns are ignored.
+of the text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .base import WORD, Scratch, salted_join, words
 CAPACITY = 2048
 #: Expected pieces of a shard.
 SHARD = 4096
+#: Alike pieces that are numbered by one row before they are dealt.
+ALIKE = 4096
 PLACED = "doc_id string, text_hash long, part int, n_tokens int, source string, cluster long, bin_id long"
 
 
@@ -87,7 +90,7 @@ class Bins:
 
 def _pack(capacity: int):
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["n_tokens", "doc_id", "part", "cluster"], ascending=[False, True, True, True], kind="stable")
+        b = b.sort_values(["n_tokens", "doc_id", "part", "cluster", "text_hash", "source"], ascending=[False, True, True, True, True, True], kind="stable")
         bins, sources, clusters, out = Bins(capacity), {}, {}, []
         for n, s, c in zip(b["n_tokens"], b["source"].fillna("\0"), b["cluster"]):
             bit = 1 << sources.setdefault(s, len(sources))
@@ -133,8 +136,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, **cols)
     """(doc_id, text_hash, part, n_tokens, source, cluster, bin_id): the bin of every piece."""
     p = Scratch(docs.sparkSession, "packing").keep(pieces(docs, capacity, **cols))
     n = max(1, -(-p.n_rows // shard))
+    # alike pieces are numbered by their count, some thousands in a row, so that the shards don't depend on how the rows were read
+    p = p.groupBy(*(c for c in p.columns if c != "row")).agg(F.count("*").alias("_n"))
+    p = p.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(ALIKE).cast("long"))))
+    p = p.withColumn("_k", F.explode(F.sequence("_k", F.least(F.col("_n"), F.col("_k") + ALIKE) - 1)))
     # a full piece has a bin to itself wherever it is packed, so parts needn't stay together
-    p = p.withColumn("shard", F.pmod(F.xxhash64("row", "part", "cluster"), F.lit(n))).drop("row")
+    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "part", "cluster", "_k"), F.lit(n))).drop("_n", "_k")
     # ids pass Python as text: pandas would make floats of numbers among nulls
     p = p.withColumn("doc_id", F.col("doc_id").cast("string"))
     return p.groupBy("shard").applyInPandas(_pack(capacity), PLACED).withColumn("doc_id", F.col("doc_id").cast("long"))

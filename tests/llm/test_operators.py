@@ -210,6 +210,16 @@ def test_decontam(spark):
     assert decontam.decontaminate(docs(spark, []), bench).count() == 0
 
 
+def test_decontam_items_without_an_id(spark):
+    """Items whose id is null, or there twice with other texts, are judged each by its own text."""
+    items = [(None, prose(900, 30)), (None, prose(901, 30)), (3, prose(902, 30)), (3, prose(903, 30)), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, t, "a") for k, (_, t) in enumerate(items) if t] + [(9, prose(904, 60), "a"), (10, f"{items[0][1]} {items[2][1]}", "a")]
+    got = {r.doc_id: (r.n_items, r["items"], r.contaminated) for r in decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {0: (1, "null", True), 1: (1, "null", True), 2: (1, "3", True), 3: (1, "3", True), 9: (0, None, False), 10: (2, "null,3", True)}
+    assert decontam.decontaminate(docs(spark, []), bench).count() == 0 and [r.contaminated for r in decontam.decontaminate(docs(spark, rows[:1]), bench.where("false")).collect()] == [False]
+
+
 def test_decontam_contradictions(spark):
     item = "now Tom met Ann by the mill and Tom met Ann by the pond and Tom met Ann by the hill"
     mixed = "now Bob met Eve by the mill and Eve met Bob by the pond and Tim met Bob by the hill"
@@ -469,6 +479,16 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_is_reproducible(spark):
+    """Bins are the same however the rows are read; alike rows are dealt like others."""
+    rows = [(k % 200 if k % 11 else None, prose(k % 150, 1 + (k * 37) % 60), f"s{k % 5}") for k in range(500)] + [(77, "same row again", "hot")] * 300
+    d = docs(spark, rows)
+    got = [sorted((tuple(r) for r in packing.pack(d.repartition(n), capacity=64, shard=128).collect()), key=repr) for n in (2, 5)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) and len({r[-1] >> 32 for r in got[0]}) > 4
+    hot = [r for r in got[0] if r[0] == 77 and r[4] == "hot"]
+    assert len(hot) == 300 and len({r[-1] for r in hot}) == 300
+
+
 def test_packed_texts(spark):
     rows = [*AWKWARD, (7, prose(7, 5000), "b"), (None, "alpha beta", "a"), (5, "x y", "c"), (8, prose(8, 4096), "c")]
     d = docs(spark, rows)
