@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import epochs, sentences, text
-from .operators import cluster, graph, measures, profiles, queries, stats, ties
+from .operators import cluster, communities, graph, measures, profiles, queries, stats, ties
 from .plans.network import Network
 from .shared import scratch_path
 from .sources.store import OccurrenceCache, Store
@@ -330,6 +330,16 @@ on_ties(
     o as (select * from o_u union all select * from o_w union all select n.win, 'frequency', n.node, coalesce(value, 0) from n left join f on f.win = n.win and f.node = n.node)
     select cast(win as bigint) as "window", measure, cast(node as bigint) as token_id, round(value, 6) as value from o""",
 )
+_PR0 = "r0 as (select y.win, node, 1.0::double / k as pr, k from n as y join c using (win))"
+_PR = lambda i: f"""g{i} as (select r.win, dst as node, sum(pr * share) as g from r{i - 1} r join o on o.win = r.win and src = r.node group by all), l{i} as (select win, sum(case when (win, node) in (select (win, src) from o) then 0 else pr end) as lost from r{i - 1} group by win),
+    r{i} as (select r.win, r.node, 0.85::double * (coalesce(g, 0) + lost / k) + 0.15::double / k as pr, k from r{i - 1} r left join g{i} g on g.win = r.win and g.node = r.node join l{i} l on l.win = r.win)"""
+on_ties(
+    "yearly_pagerank", lambda t: measures.yearly_centralities(t, ["PageRank", "normedPageRank"], queries.moving_windows(t, 1, 1), norm=True, reverse=True, compositional=True, rounds=3),
+    f"""with {T}, w as (select distinct time as win from ties), near as (select win, ties.* from ties join w on time between win - 1 and win + 1), q as (select win, count(distinct run_index) / 1000 as q from near group by win), f as (select win, occ, round(sum(weight)) as f from near group by all),
+    y as (select win, occ as src, sub as dst, sum(weight) as weight from near group by all), e as (select y.win, src, dst, case when f > 0 then weight / q / f else 0 end as weight from y join q on q.win = y.win left join f on f.win = y.win and f.occ = dst),
+    o as (select win, src, dst, weight / sum(weight) over (partition by win, src) as share from e where weight > 0), n as (select win, src as node from e union select win, dst from e), c as (select win, count(*) as k from n group by win), {_PR0}, {_PR(1)}, {_PR(2)}, {_PR(3)}
+    select cast(win as bigint) as "window", 'PageRank' as measure, cast(node as bigint) as token_id, round(pr, 6) as value from r3 union all select cast(win as bigint), 'normedPageRank', cast(node as bigint), round(pr * k, 6) from r3""",
+)
 on_edges("constraint", measures.constraint,
     f"""with {E_}, s as (select * from e), {SYMW.format('s')}, p as (select src, dst, w / sum(w) over (partition by src) as p from z),
     t as (select a.src as i, b.dst as j, sum(a.p * b.p) as s from p a join p b on a.dst = b.src where a.src <> b.dst group by all)
@@ -611,6 +621,8 @@ add("context_clusters_all")(lambda s, d: profiles.context_clusters(_NET(s, d), s
 
 # --- iterative and numeric operators without SQL
 add("map_equation")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="map_equation"))
+add("louvain_joins")(lambda s, d: communities.louvain(graph.symmetrise(_edges(s, d)), small=0))
+add("map_equation_directed")(lambda s, d: communities.map_equation(_edges(s, d)))
 add("pagerank")(lambda s, d: measures.pagerank(_edges(s, d)))
 add("louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d))))
 add("consensus_louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="consensus_louvain"))

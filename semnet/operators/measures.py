@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
 from . import graph
 from .queries import select_ties
 
@@ -63,87 +64,118 @@ def pagerank_joins(e: DataFrame, alpha: float = 0.85, rounds: int = 5) -> DataFr
     return rank.select("node", F.col("pr").alias("pagerank"))
 
 
-def pagerank_any(e: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, pagerank, normed): dense on small networks, by joins on others; 0.85**50 is 3e-4 of the first error."""
+def pagerank_by(e: DataFrame, by: list[str] = (), alpha: float = 0.85, tol: float = 1e-6, rounds: int = 100) -> DataFrame:
+    """(by..., node, pagerank, normed) of many networks in one set of joins; the mass of nodes without out-links is spread evenly.
+
+    A network leaves the rounds when its ranks have moved by less than ``tol`` a node.
+    """
+    by = list(by)
+    e = e.select(*by, "src", "dst", F.col("weight").cast("double").alias("weight"))
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy(*by, "src"))
+    out = kept(e.withColumn("share", share).where("share > 0").select(*by, "src", "dst", "share"), "shares")
+    nodes = e.select(*by, F.col("src").alias("node")).union(e.select(*by, "dst")).distinct()
+    n = nodes.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
+    rank = nodes.join(n, by) if by else nodes.crossJoin(F.broadcast(n))
+    ends = out.select(*by, F.col("src").alias("node"), F.lit(False).alias("loose")).distinct()
+    rank = kept(rank.join(ends, [*by, "node"], "left").select(*by, "node", "n", F.coalesce("loose", F.lit(True)).alias("loose"), (1 / F.col("n")).alias("pr")), "ranks")
+    done = rank.where("false")
+    for _ in range(rounds):
+        lost = rank.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("pr"))), F.lit(0.0)).alias("lost"))
+        got = rank.select(*by, F.col("node").alias("src"), "pr").join(out, [*by, "src"]).groupBy(*by, F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("share")).alias("got"))
+        nxt = rank.join(got, [*by, "node"], "left")
+        nxt = nxt.join(lost, by) if by else nxt.crossJoin(F.broadcast(lost))
+        new = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")
+        rank = kept(nxt.select(*by, "node", "n", "loose", new.alias("pr"), F.abs(new - F.col("pr")).alias("_moved")), "ranks")
+        moved = kept(rank.groupBy(*by).agg((F.sum("_moved") < F.first("n") * tol).alias("still")), "moved")  # a row for each network
+        rank = rank.drop("_moved")
+        state = moved.agg(F.count_if("still").alias("still"), F.count("*").alias("all")).first()
+        if not by and state["still"] or state["still"] == state["all"]:
+            break
+        if state["still"]:
+            gone = moved.where("still").select(*by)
+            done, rank = done.union(rank.join(gone, by, "left_semi")), rank.join(gone, by, "left_anti")
+    return done.union(rank).select(*by, "node", F.col("pr").alias("pagerank"), (F.col("pr") * F.col("n")).alias("normed"))
+
+
+def pagerank_any(e: DataFrame) -> DataFrame:
+    """(node, pagerank, normed): dense on small networks, by joins on others."""
     nodes = e.select("src").union(e.select("dst")).distinct()
-    if nodes.limit(graph.DENSE_NODES + 1).count() <= graph.DENSE_NODES:
-        return pagerank(e)
-    n = nodes.agg(F.count("*").alias("_n"))
-    return pagerank_joins(e, rounds=rounds).join(F.broadcast(n), F.lit(True)).select("node", "pagerank", (F.col("pagerank") * F.col("_n")).alias("normed"))
-
-
-def _window_measures(names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Measures of one window's network, as dense matrices."""
-        nodes = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        if len(nodes) > graph.DENSE_NODES:
-            raise ValueError(f"more than {graph.DENSE_NODES} nodes in a window: condition the network first")
-        at = {n: k for k, n in enumerate(nodes)}
-        a = np.zeros((len(nodes), len(nodes)))
-        np.add.at(a, (pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()), pdf["weight"].to_numpy())
-        off = a - np.diag(np.diag(a))
-        link = (off > 0).astype(float)
-        degree, mutual = link.sum(0) + link.sum(1), (link * link.T).sum(1)
-        whole, rows = 2 * (degree * (degree - 1) - 2 * mutual), []
-        for name in names:
-            if name in ("PageRank", "normedPageRank"):
-                out = a.sum(1)
-                share = np.divide(a, out[:, None], out=np.zeros_like(a), where=out[:, None] > 0)
-                x = np.full(len(nodes), 1 / len(nodes))
-                for _ in range(100):
-                    y = 0.85 * (x @ share + x[out == 0].sum() / len(nodes)) + 0.15 / len(nodes)
-                    x, moved = y, np.abs(y - x).sum()
-                    if moved < len(nodes) * 1e-6:
-                        break
-                value = x if name == "PageRank" else x / x.sum() * len(nodes)
-            else:
-                w = np.cbrt(off / off.max()) if name.startswith("weighted") and off.max() > 0 else link
-                z = w + w.T
-                value = np.divide(np.einsum("ij,ji->i", z @ z, z), whole, out=np.zeros(len(nodes)), where=whole > 0)
-            rows.append(pd.DataFrame({"window": pdf["window"].iloc[0], "measure": name, "token_id": nodes, "value": value}))
-        return pd.concat(rows)
+    return pagerank(e) if nodes.limit(graph.DENSE_NODES + 1).count() <= graph.DENSE_NODES else pagerank_by(e)
 
-    return run
 
+CENTRALITIES = ("PageRank", "normedPageRank", "local_clustering", "weighted_local_clustering", "frequency")
 
-def yearly_centralities(t: DataFrame, names: list[str], windows: DataFrame, transform=None) -> DataFrame:
-    """(window, measure, token_id, value): centralities of each moving window (year, window) of the years, in one job.
 
-    ``transform`` is applied to each window's edges (window, src, dst, weight)
-    before, such as reversing them; frequencies are those of the window.
+def yearly_centralities(t: DataFrame, names: list[str], windows: DataFrame, transform=None, norm: bool = False, reverse: bool = False, compositional: bool = False, technique: str | None = None, rounds: int = 100) -> DataFrame:
+    """(window, measure, token_id, value): centralities of each moving window (year, window) of the years.
+
+    All windows are computed side by side, keyed by window: no task holds one.
+    In this order, a window's weights are divided by a thousandth of its
+    sequences (``norm``), turned around, made shares of the occurrences of the
+    word at the end of a tie (``compositional``), and made symmetric by a
+    ``technique``; ``transform`` is applied to its edges (window, src, dst,
+    weight) after that. Frequencies are those of the window.
     """
+    if unknown := set(names) - set(CENTRALITIES):
+        raise AttributeError(f"unknown measures {sorted(unknown)}")
     near = t.join(F.broadcast(windows), F.col("time") == F.col("year"))
-    edges = near.groupBy("window", F.col("sub").cast("long").alias("src"), F.col("occ").cast("long").alias("dst")).agg(F.sum("weight").alias("weight"))
+    edges = near.groupBy(F.col("window").cast("long").alias("window"), F.col("sub").cast("long").alias("src"), F.col("occ").cast("long").alias("dst")).agg(F.sum("weight").cast("double").alias("weight"))
+    freq = near.groupBy(F.col("window").cast("long").alias("window"), F.col("occ").cast("long").alias("token_id")).agg(F.round(F.sum("weight")).alias("value"))
+    if norm:
+        n = near.groupBy(F.col("window").cast("long").alias("window")).agg((F.count_distinct("run_index") / 1000).alias("_n"))
+        edges = edges.join(n, "window").withColumn("weight", F.col("weight") / F.col("_n")).drop("_n")
+    edges = graph.reverse(edges) if reverse else edges
+    if compositional:
+        edges = edges.join(freq.select("window", F.col("token_id").alias("dst"), F.col("value").alias("_f")), ["window", "dst"], "left")
+        edges = edges.select("window", "src", "dst", F.when(F.col("_f") > 0, F.col("weight") / F.col("_f")).otherwise(0.0).alias("weight"))
+    edges = graph.symmetrise(edges, technique, ["window"]) if technique else edges
     edges = edges if transform is None else transform(edges)
-    dense = [n for n in names if n in ("PageRank", "normedPageRank", "local_clustering", "weighted_local_clustering")]
-    unknown = set(names) - set(dense) - {"frequency"}
-    if unknown:
-        raise AttributeError(f"unknown measures {sorted(unknown)}")
+    nodes = edges.select("window", F.explode(F.array("src", "dst")).alias("token_id")).distinct()
+    # a symmetric network is walked both ways
+    walked = edges.union(graph.reverse(edges.where("src <> dst"))) if technique else edges
+    ranks = pagerank_by(walked, ["window"], rounds=rounds) if {"PageRank", "normedPageRank"} & set(names) else None
     out = None
-    if dense:
-        out = edges.groupBy("window").applyInPandas(_window_measures(dense), "window long, measure string, token_id long, value double")
-    if "frequency" in names:
-        of = near.groupBy(F.col("window").cast("long").alias("window"), F.col("occ").cast("long").alias("token_id")).agg(F.round(F.sum("weight")).alias("value"))
-        nodes = edges.select(F.col("window").cast("long").alias("window"), F.explode(F.array("src", "dst")).alias("token_id")).distinct()
-        of = nodes.join(of, ["window", "token_id"], "left").select("window", F.lit("frequency").alias("measure"), "token_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    for name in names:
+        if name in ("PageRank", "normedPageRank"):
+            of = ranks.select("window", F.col("node").alias("token_id"), F.col("pagerank" if name == "PageRank" else "normed").alias("value"))
+        elif name == "frequency":
+            of = nodes.join(freq, ["window", "token_id"], "left")
+        else:
+            of = local_clustering(edges, name.startswith("weighted"), ["window"]).withColumnRenamed("node", "token_id").withColumnRenamed("clustering", "value")
+            of = nodes.join(of, ["window", "token_id"], "left")  # nodes with loops alone
+        of = of.select("window", F.lit(name).alias("measure"), "token_id", F.coalesce("value", F.lit(0.0)).alias("value"))
         out = of if out is None else out.unionByName(of)
     return out
 
 
-def local_clustering(e: DataFrame, weighted: bool = False) -> DataFrame:
-    """(node, clustering) of a directed network: triangles over 2 (d(d-1) - 2 mutual); weights are cube roots of w / max."""
-    e = e.where("src <> dst").select("src", "dst", "weight")
-    top = e.agg(F.max("weight").alias("top"))
+def local_clustering(e: DataFrame, weighted: bool = False, by: list[str] = ()) -> DataFrame:
+    """(by..., node, clustering) of directed networks: triangles over 2 (d(d-1) - 2 mutual); weights are cube roots of w / max.
+
+    Every triangle is made once, at its end of least degree, so that a hub's
+    neighbours are paired only where the hub is the lowest: a star of any size
+    has no pairs at all. Its three nodes then share it.
+    """
+    by = list(by)
+    e = e.where("src <> dst").select(*by, "src", "dst", "weight")
+    top = e.groupBy(*by).agg(F.max("weight").alias("top"))
     value = F.pow(F.col("weight") / F.col("top"), 1 / 3) if weighted else F.lit(1.0)
-    one = e.join(F.broadcast(top), F.lit(True)).select("src", "dst", value.alias("w"))
-    # w(u,v) + w(v,u) for each neighbour, both ways round
-    sym = one.union(one.select(F.col("dst"), F.col("src"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"), F.count("*").alias("ways"))
-    a, b, c = (sym.select(F.col("src").alias(f"{x}1"), F.col("dst").alias(f"{x}2"), F.col("w").alias(f"{x}w")) for x in "abc")
-    tri = a.join(b, (F.col("a2") == F.col("b1")) & (F.col("a1") != F.col("b2"))).join(c, (F.col("b2") == F.col("c1")) & (F.col("c2") == F.col("a1")))
-    tri = tri.groupBy(F.col("a1").alias("node")).agg(F.sum(F.col("aw") * F.col("bw") * F.col("cw")).alias("t"))
-    deg = sym.groupBy(F.col("src").alias("node")).agg(F.sum("ways").alias("d"), F.sum((F.col("ways") == 2).cast("int")).alias("m"))
+    one = (e.join(top, by) if by else e.crossJoin(F.broadcast(top))).select(*by, "src", "dst", value.alias("w"))
+    # w(u,v) + w(v,u) for each pair of neighbours, once
+    pairs = one.groupBy(*by, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("w").alias("w"), F.count("*").alias("ways"))
+    ends = pairs.select(*by, F.col("u").alias("node"), "ways").union(pairs.select(*by, "v", "ways"))
+    deg = kept(ends.groupBy(*by, "node").agg(F.sum("ways").alias("d"), F.sum((F.col("ways") == 2).cast("int")).alias("m"), F.count("*").alias("links")), "degrees")
+    du, dv = (deg.select(*by, F.col("node").alias(x), F.col("links").alias(f"d{x}")) for x in "uv")
+    placed = pairs.join(du, [*by, "u"]).join(dv, [*by, "v"])
+    u, v = (F.struct(F.col(f"d{x}").alias("links"), F.col(x).alias("node")) for x in "uv")
+    low = u < v  # from the lower degree to the higher
+    links = kept(placed.select(*by, F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"), F.when(low, v).otherwise(u).alias("rank"), "w"), "links")
+    a, b = (links.select(*by, "x", F.col("y").alias(f"y{k}"), F.col("rank").alias(f"r{k}"), F.col("w").alias(f"w{k}")) for k in (1, 2))
+    wedges = a.join(b, [*by, "x"]).where("r1 < r2")
+    third = links.select(*by, F.col("x").alias("y1"), F.col("y").alias("y2"), F.col("w").alias("w3"))
+    tri = wedges.join(third, [*by, "y1", "y2"]).select(*by, F.explode(F.array("x", "y1", "y2")).alias("node"), (2 * F.col("w1") * F.col("w2") * F.col("w3")).alias("t"))
+    tri = tri.groupBy(*by, "node").agg(F.sum("t").alias("t"))
     whole = 2 * (F.col("d") * (F.col("d") - 1) - 2 * F.col("m"))
-    return deg.join(tri, "node", "left").select("node", F.when((whole > 0) & F.col("t").isNotNull(), F.col("t") / whole).otherwise(0.0).alias("clustering"))
+    return deg.join(tri, [*by, "node"], "left").select(*by, "node", F.when((whole > 0) & F.col("t").isNotNull(), F.col("t") / whole).otherwise(0.0).alias("clustering"))
 
 
 def _mutual_weights(e: DataFrame) -> DataFrame:

@@ -70,11 +70,12 @@ class ConditionedNetwork:
     def centralities(self, names=("PageRank", "normedPageRank", "local_clustering", "weighted_local_clustering", "frequency"), tokens=None) -> DataFrame:
         """(measure, token_id, value)"""
         e, out = self.edges, None
+        ranks = measures.pagerank_any(e) if {"PageRank", "normedPageRank"} & set(names) else None
         for name in names:
             if name == "PageRank":
-                df = measures.pagerank_any(e).select("node", F.col("pagerank").alias("value"))
+                df = ranks.select("node", F.col("pagerank").alias("value"))
             elif name == "normedPageRank":
-                df = measures.pagerank_any(e).select("node", F.col("normed").alias("value"))
+                df = ranks.select("node", F.col("normed").alias("value"))
             elif name in ("local_clustering", "weighted_local_clustering"):
                 df = measures.local_clustering(e, name.startswith("weighted")).withColumnRenamed("clustering", "value")
             elif name in ("frequency", "freq", "frequencies"):
@@ -169,10 +170,10 @@ class Network:
 
         return graph.search_ego(out_edges, seeds, depth, max_degree)
 
-    def yearly_centralities(self, names=("PageRank", "normedPageRank", "frequency"), before: int = 0, after: int = 0, reverse: bool = False, tokens=None):
+    def yearly_centralities(self, names=("PageRank", "normedPageRank", "frequency"), before: int = 0, after: int = 0, reverse: bool = False, tokens=None, norm: bool = False, compositional: bool = False, symmetric: str | None = None):
         """(window, measure, token_id, value) of every year's moving window."""
         windows = queries.moving_windows(self.ties, before, after)
-        out = measures.yearly_centralities(self.ties, list(names), windows, graph.reverse if reverse else None)
+        out = measures.yearly_centralities(self.ties, list(names), windows, None, norm, reverse, compositional, symmetric)
         return out if tokens is None else out.where(F.col("token_id").isin(*self.ids(tokens)))
 
     def context_condition(self, times=None, tokens=None, weight_cutoff=None, depth=None, occurrence=False, **options) -> ConditionedNetwork:

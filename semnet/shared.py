@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +46,11 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """``kept`` with aggregates that are taken as the rows are written; sums of no rows are 0."""
+    seen = Observation()
+    out = kept(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(v.alias(k) for k, v in what.items())), name)
+    got = seen.get
+    return out, {k: got.get(k) or 0 for k in ("rows", *what)}
