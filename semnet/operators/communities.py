@@ -29,8 +29,8 @@ from . import cluster, measures
 
 #: Edges up to which what is left of all networks is searched node by node.
 SMALL = 200_000
-#: Rounds of a level at most, the least part of the nodes that may move (1 in so many), and the share of moves below which a level ends.
-ROUNDS, LEAST_PART, SETTLED = 30, 16, 0.002
+#: Rounds of a level at most; the part of the nodes that may move at first and at least (1 in so many); the share of moves below which a level ends.
+ROUNDS, FIRST_PART, LEAST_PART, SETTLED = 40, 4, 16, 0.002
 LEAST_GAIN = 1e-7
 
 
@@ -92,7 +92,7 @@ def _search(links: DataFrame, nodes: DataFrame, by: list[str], aim, seed: int, r
     """
     sums, directed = list(aim.sums), isinstance(aim, MapEquation)
     begin = nodes.withColumn("c", F.col("node")) if first is None else nodes.join(first.withColumnRenamed("cluster", "c"), [*by, "node"])
-    best, part, value, quiet = kept(begin.select(*nodes.columns, "c"), "modules"), 2, None, 0
+    best, part, value, quiet = kept(begin.select(*nodes.columns, "c"), "modules"), FIRST_PART, None, 0
     state = best
     for k in range(rounds):
         at = state.select(*by, F.col("node").alias("dst"), F.col("c").alias("cand"))
