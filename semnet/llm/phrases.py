@@ -60,6 +60,9 @@ _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 #: Slots of the table of pairs, as a power of two, and slots of a block of it: 2 MB of bits in the end.
 SLOTS, BLOCK = 24, 20
 
+#: Shuffle files go as soon as what was made of them is written.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 SHARDS = "shard long, lang string, words array<string>, counts array<int>, gaps binary, block int, table binary"
 
 
@@ -175,9 +178,20 @@ def _open(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _kept(scratch: Scratch, df: DataFrame) -> DataFrame:
+    """Write and read back a table that is made once, and drop the shuffle files behind it."""
+    conf = scratch.spark.conf
+    before = conf.get(TIDY, "false")
+    conf.set(TIDY, "true")
+    try:
+        return scratch.keep(df)
+    finally:
+        conf.set(TIDY, before)
+
+
 def shards(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", most: int = SHARD) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    return scratch.keep(rows.mapInArrow(_shards(most), SHARDS))
+    return _kept(scratch, rows.mapInArrow(_shards(most), SHARDS))
 
 
 class Bitmaps:
@@ -309,19 +323,19 @@ def frequent_phrases(made: DataFrame, scratch: Scratch, least: int = LEAST) -> t
     made = made.where("block is null")
     local = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select("shard", "lang", F.col("at").alias("word_at"), "_w.words", "_w.counts")
     f = local.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-    words = scratch.keep(f.select("lang", "word", "f", F.monotonically_increasing_id().alias("id")))
+    words = _kept(scratch, f.select("lang", "word", "f", F.monotonically_increasing_id().alias("id")))
 
     known = local.select("shard", "lang", F.col("words").alias("word"), "word_at").join(bounded_side(words), ["lang", "word"])
     known = known.select(F.col("shard").alias("of"), F.col("word_at").alias("word"), "id", "f", F.xxhash64("word").alias("hash"))
     bitmaps = made.select("shard", "lang", "counts", "gaps").groupBy("shard")
     pairs = known.groupBy("of").cogroup(bitmaps).applyInArrow(_pairs(slots), "lang string, shard long, a long, b long, at long, n long, l long, r long")
     # a pair has one row a shard at most: its shards learn its sum by a window
-    pairs = scratch.keep(pairs.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least).drop("n"))
+    pairs = _kept(scratch, pairs.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least).drop("n"))
     longer = pairs.select("shard", "a", "b", "at").groupBy("shard").cogroup(bitmaps).applyInArrow(_longer, "lang string, a long, b long, c long, d long, n long")
     longer = longer.groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     two = pairs.groupBy("lang", "a", "b").agg(*(F.first(c).alias(c) for c in ("f", "l", "r"))).select("lang", F.array("a", "b").alias("p"), "f", "l", "r")
     ids = F.when(F.col("d").isNull(), F.array("a", "b", "c")).otherwise(F.array("a", "b", "c", "d"))
-    return words, scratch.keep(two), scratch.keep(longer.select("lang", ids.alias("p"), "f"))
+    return words, _kept(scratch, two), _kept(scratch, longer.select("lang", ids.alias("p"), "f"))
 
 
 def _counts_of(kept: DataFrame):
@@ -351,12 +365,12 @@ def scored(words: DataFrame, pairs: DataFrame, longer: DataFrame, scratch: Scrat
     every = pairs.select("lang", "p", "f", "l", "r", none.alias("most")).union(longer.select("lang", "p", "f", none, none, none)).union(most)
     # a phrase and what contains it meet under one key: no join
     kept = every.groupBy("lang", "p").agg(*(F.max(c).alias(c) for c in ("f", "l", "r", "most"))).where(F.col("f").isNotNull())
-    kept = scratch.keep(kept.where(F.col("most").isNull() | (100 * _big("most") < inside * _big("f"))).select("lang", "p", F.col("f").alias("a"), "l", "r"))
+    kept = _kept(scratch, kept.where(F.col("most").isNull() | (100 * _big("most") < inside * _big("f"))).select("lang", "p", F.col("f").alias("a"), "l", "r"))
     two = kept.where("size(p) = 2").select("lang", "p", "a", "l", "r", _score())
     cuts = kept.where("size(p) > 2").select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
     cuts = cuts.select("lang", "p", "a", "k", F.slice("p", F.lit(1), F.col("k")).alias("left"), F.slice("p", F.col("k") + 1, F.size("p")).alias("right"))
     # frequencies of parts: at most three ids a row; a frequent word is a part of very many phrases, and is dealt
-    f = scratch.keep(words.select(F.array("id").alias("q"), "f").union(pairs.select("p", "f")).union(longer.where(F.size("p") < LONGEST).select("p", "f")))
+    f = _kept(scratch, words.select(F.array("id").alias("q"), "f").union(pairs.select("p", "f")).union(longer.where(F.size("p") < LONGEST).select("p", "f")))
     for part, name in (("left", "l"), ("right", "r")):
         cuts = dealt_join(cuts, f.select(F.col("q").alias(part), F.col("f").alias(name)), [part], F.xxhash64("p"), rows=f.n_rows)
     best = cuts.groupBy("lang", "p").agg(F.min(F.struct(_score(), "k", "a", "l", "r")).alias("_b"))
@@ -371,7 +385,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     rows = scored(words, pairs, longer, scratch, inside)
     # phrases are spelt out only where they may be among the first
     order = [F.desc("score"), F.desc("a")]
-    first = scratch.keep(rows.withColumn("_r", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= top).drop("_r"))
+    first = _kept(scratch, rows.withColumn("_r", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= top).drop("_r"))
     each = first.select("p", F.posexplode("p").alias("_at", "_id")).join(bounded_side(words.select(F.col("id").alias("_id"), "word").transform(_counts_of(words))), "_id")
     spelt = each.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("_at", "word"))).alias("_w")).select("p", F.concat_ws(" ", "_w.word").alias("phrase"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")
