@@ -631,6 +631,11 @@ add("cluster_hierarchy")(lambda s, d: cluster.hierarchy(graph.symmetrise(_edges(
 add("flow_betweenness")(lambda s, d: measures.flow_betweenness(_edges(s, d)))
 add("rev_flow_betweenness")(lambda s, d: measures.rev_flow_betweenness(_edges(s, d)))
 add("backout")(lambda s, d: graph.back_out(_edges(s, d)))
+_STEP = lambda k: f"s{k} as (select f, dst as node, sum(v * weight * 0.01::double) as v from s{k - 1} join e on src = node group by f, dst)"
+add("backout_rows", f"""with {E_}, s0 as (select x as f, x as node, 1.0::double as v from (values {', '.join(f'({i})' for i in IDS)}) as t(x)), {', '.join(_STEP(k) for k in (1, 2, 3, 4))}
+    select cast(f as bigint) as src, cast(node as bigint) as dst, round(sum(v), 6) as weight from ({' union all '.join(f'select * from s{k}' for k in (1, 2, 3, 4))}) where f <> node group by f, node""")(
+    lambda s, d: graph.back_out_rows(_edges(s, d), s.createDataFrame([(i,) for i in IDS], "id int"), 0.01, steps=4)
+)
 add("simrank")(lambda s, d: measures.simrank(_edges(s, d)))
 add("text_clean_nfkd")(lambda s, d: DOCS(s, d).select("doc_id", text.clean(F.col("text")).alias("text")))
 add("html_text")(lambda s, d: _table(s, d, "pages").select("page_id", text.html_text("html").alias("text")))

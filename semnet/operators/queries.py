@@ -142,12 +142,13 @@ def pointwise(context: DataFrame, t: DataFrame, times=None, cutoff=None, mode: s
     )
 
 
-def node_context(t: DataFrame, ids=None, times=None, cutoff=None, occurrence: bool = False) -> DataFrame:
-    """(ego, alter, weight): words at other positions than the ego's, normalised per ego."""
+def node_context(t: DataFrame, ids=None, times=None, cutoff=None, occurrence: bool = False, egos: DataFrame | None = None) -> DataFrame:
+    """(ego, alter, weight): words at other positions than the ego's, normalised per ego; for ``ids``, or the nodes of a table ``egos`` (id)."""
     end = "occ" if occurrence else "sub"
     base = select_ties(t, times, cutoff, trivial=False)
-    egos = base if ids is None else base.where(F.col(end).isin(*([ids] if isinstance(ids, int) else ids)))
-    r = egos.groupBy("run_index", "time", F.col(end).alias("ego")).agg(F.collect_set("pos").alias("places"), F.sum("weight").alias("rw"))
+    asked = base if ids is None else base.where(F.col(end).isin(*([ids] if isinstance(ids, int) else ids)))
+    asked = asked if egos is None else asked.join(egos, F.col(end) == F.col("id"), "left_semi")
+    r = asked.groupBy("run_index", "time", F.col(end).alias("ego")).agg(F.collect_set("pos").alias("places"), F.sum("weight").alias("rw"))
     q = base.select(F.col("run_index").alias("q_run_index"), F.col("time").alias("q_time"), F.col("pos").alias("q_pos"), F.col(end).alias("alter"), F.col("weight").alias("q_weight"))
     on = _same_sequence() & (F.col("alter") != F.col("ego")) & ~F.array_contains("places", F.col("q_pos"))
     w = r.join(q, on).groupBy("ego", "alter").agg(F.sum(F.col("q_weight") * F.col("rw")).alias("w"))

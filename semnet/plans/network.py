@@ -14,6 +14,8 @@ from ..operators import cluster, graph, measures, queries
 UNBOUNDED = 1000
 #: An ego net of at most so many steps from so many words is searched from the inside out; others are cut from the whole network.
 SEARCH_DEPTH, SEARCH_WORDS = 5, 5
+#: The same for networks of words that occur together, which are denser.
+CONTEXT_DEPTH = 2
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,11 @@ class ConditionedNetwork:
     def back_out(self, decay: float | None = None, method: str = "invert") -> ConditionedNetwork:
         return self._with(graph.back_out(self.edges, decay, method), backout=True)
 
+    def back_out_rows(self, tokens, decay: float | None = None) -> ConditionedNetwork:
+        """Indirect ties of some words, in a network of any size; directed."""
+        focal = self.network.ties.sparkSession.createDataFrame([(i,) for i in self.network.ids(tokens)], "id int")
+        return self._with(graph.back_out_rows(self.edges, focal, decay), backout=True)
+
     def merge_plurals(self) -> ConditionedNetwork:
         return self._with(graph.merge_nodes(self.edges, graph.plural_pairs(self.nodes)))
 
@@ -177,7 +184,17 @@ class Network:
         return out if tokens is None else out.where(F.col("token_id").isin(*self.ids(tokens)))
 
     def context_condition(self, times=None, tokens=None, weight_cutoff=None, depth=None, occurrence=False, **options) -> ConditionedNetwork:
-        """Networks of words that occur together."""
+        """Networks of words that occur together; a small ego net is searched from the inside out."""
+        if tokens is not None and depth is not None and not options.get("keep_only_tokens"):
+            ids = self.ids(tokens)
+            if depth == 0 or (depth <= CONTEXT_DEPTH and len(ids) <= SEARCH_WORDS):
+                seeds = self.ties.sparkSession.createDataFrame([(i,) for i in ids], "id int")
+
+                def around(nodes):
+                    return queries.node_context(self.ties, None, times, weight_cutoff, occurrence, nodes).select(F.col("ego").alias("src"), F.col("alter").alias("dst"), "weight")
+
+                e = graph.search_ego(around, seeds, depth, options.pop("max_degree", None))
+                return self._finish(e, "context", times, ids, UNBOUNDED, **options)
         e = queries.node_context(self.ties, None, times, weight_cutoff, occurrence).select(F.col("ego").alias("src"), F.col("alter").alias("dst"), "weight")
         return self._finish(e, "context", times, tokens, depth, **options)
 
