@@ -1,6 +1,7 @@
 """The tie store: merges, deletions, crashes between all steps, writers at the same time, the occurrence cache."""
 
 import os
+import shutil
 from threading import Barrier, Thread
 
 import pytest
@@ -81,11 +82,13 @@ OPERATIONS = {
 def test_crashes(spark, tmp_path, monkeypatch, name):
     """Wherever a job dies, a reader sees the table before it or after it, and doing the job again makes it whole."""
 
+    first = Store(spark, str(tmp_path / "first"))
+    first.append(rows(spark, (1, 1), (1, 2), (2, 1)))
+    first.append(rows(spark, (1, 3)))
+
     def fresh(at):
-        s = Store(spark, str(tmp_path / at))
-        s.append(rows(spark, (1, 1), (1, 2), (2, 1)))
-        s.append(rows(spark, (1, 3)))
-        return s
+        shutil.copytree(first.path, tmp_path / at)  # names in a manifest are relative
+        return Store(spark, str(tmp_path / at))
 
     whole = fresh("whole")
     before = held(whole)
@@ -122,8 +125,8 @@ def test_crashes(spark, tmp_path, monkeypatch, name):
             assert seen == before  # not published
         OPERATIONS[name](s, spark)
         assert held(s) == after
-        s.vacuum(older_than=0)
-        assert held(s) == after
+    s.vacuum(older_than=0)
+    assert held(s) == after
 
 
 def test_writers_at_the_same_time(spark, tmp_path):
