@@ -233,20 +233,30 @@ ALGORITHMS = {
     "consensus_louvain": lambda adj, resolution, seed: consensus(adj, resolution=resolution),
     "map_equation": lambda adj, resolution, seed: map_equation(adj, seed),
 }
-#: Edges of one graph, which one task clusters.
-MOST_EDGES = 5_000_000
+#: Clusters of directed links, found by joins.
+DIRECTED = "map_equation_directed"
+#: Edges of one graph, which one task clusters; of a larger one Louvain goes by joins.
+MOST_EDGES = 200_000
 
 
 def cluster_edges(edges: DataFrame, by: list[str] = (), algorithm="louvain", resolution: float = 1.0, seed: int = 0) -> DataFrame:
     """(by..., node, cluster): clusters of many small graphs at once, one group each.
 
     ``algorithm`` is a name or a function of a frame of edges that returns a frame (node, cluster).
-    A graph of more than MOST_EDGES edges, or another name, is refused; so is Infomap, which walks directed links: map_equation takes them as undirected.
+    Where a graph has more than MOST_EDGES edges, Louvain goes by joins and the others are refused, as is another name.
+    ``map_equation`` takes links as undirected; ``map_equation_directed`` walks them, by joins for networks of any size.
     """
+    from . import communities  # which finishes small networks with the searches above
+
     by = list(by)
-    if not callable(algorithm) and algorithm not in ALGORITHMS:
-        raise NotImplementedError(f"no algorithm {algorithm!r}; there are {sorted(ALGORITHMS)}")
+    if not callable(algorithm) and algorithm not in (*ALGORITHMS, DIRECTED):
+        raise NotImplementedError(f"no algorithm {algorithm!r}; there are {sorted((*ALGORITHMS, DIRECTED))}")
+    numbered = lambda part: part.select(*by, "node", F.col("cluster").cast("long").alias("cluster"))
+    if algorithm == DIRECTED:
+        return numbered(communities.map_equation(edges, by, seed))
     largest = edges.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_EDGES and algorithm == "louvain":
+        return numbered(communities.louvain(edges, by, resolution, seed, MOST_EDGES))
     if largest > MOST_EDGES:
         raise ValueError(f"a graph has {largest} edges, more than {MOST_EDGES}: condition the network first")
     rows = edges if by else edges.withColumn("_one", F.lit(0))

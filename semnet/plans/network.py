@@ -100,7 +100,7 @@ class ConditionedNetwork:
 
     def cluster(self, levels: int = 1, algorithm: str | Callable = "louvain", interest=None) -> DataFrame:
         """(name, parent, level, node)"""
-        e = self.edges if self.meta.get("symmetric") else graph.symmetrise(self.edges)
+        e = self.edges if self.meta.get("symmetric") or algorithm == cluster.DIRECTED else graph.symmetrise(self.edges)
         return cluster.hierarchy(e.select("src", "dst", "weight"), levels, algorithm, None if interest is None else self.network.ids(interest))
 
     def file_name(self, prefix: str = "network") -> str:
