@@ -562,6 +562,32 @@ add("tie_own_tie_removed", f"""with {MODEL}, {CUT.format(pct=99, deg=10)}, p as
     c as (select * from q where (prob > lo or lo = hi) and cand <> occ), x as (select cand as sub, occ, prob / sum(prob) over (partition by run_index, pos) as w from c)
     select sub, occ, count(*) as n, round(sum(w) + 5e-8, 5) as weight from x group by sub, occ""")(lambda s, d: TIE_AGG(_own(s, d)))
 
+_FELT = [("the", 0.5, 1.0), ("of", -0.5, 0.0), ("la", 1.0, 0.5), ("der", 0.25, 0.75)]
+
+
+def _rounded_model(tokens: DataFrame, *cuts) -> DataFrame:
+    model, at = ties.count_model(tokens)
+    model = model.withColumn("prob", F.round("prob", 6))
+    return ties.candidates(ties.tie_list(model, *cuts, by=ties.CONTEXT), at).withColumnRenamed("cand", "sub").withColumnRenamed("prob", "weight")
+
+
+@add(
+    "text_tie_rows",
+    f"""with {MODEL}, {CUT.format(pct=90, deg=10)}, lx(token, p, s) as (values {", ".join(f"('{w}', {p}, {q})" for w, p, q in _FELT)}),
+    mood as (select tok.run_index, coalesce(avg(p), 0) as sentiment, coalesce(avg(s), 0) as subjectivity from tok left join lx using (token) group by tok.run_index),
+    t2 as (select run_index, occ, cand, weight, case when regexp_matches(occ, '(ing|ed|ize|ise|ate)$') then 'VERB' when regexp_matches(occ, 'ly$') then 'ADV' when regexp_matches(occ, '(ous|ful|ive|able|ible|al|ic)$') then 'ADJ' when regexp_matches(occ, '^[0-9]+$') then 'NUM' else 'NOUN' end as part_of_speech from at_ join norm using (l, r) where weight >= 0.001)
+    select cast(1980 + t2.run_index % 41 as bigint) as time, part_of_speech, source as p1, count(*) as n, count(distinct (occ, cand)) as pairs, round(sum(weight) + 5e-8, 5) as weight, round(max(sentiment) + 1e-9, 6) as sentiment, round(max(subjectivity) + 1e-9, 6) as subjectivity
+    from t2 join mood using (run_index) join documents on doc_id = t2.run_index group by all""",
+)
+def _(s, d):
+    rows = DOCS(s, d).select(F.col("doc_id").alias("run_index"), (1980 + F.col("doc_id") % 41).alias("time"), F.col("text").alias("sentence"), F.col("source").alias("p1"))
+    t, words = ties.tie_rows(rows, s.createDataFrame(_FELT, "token string, polarity double, subjective double"), percent=90, max_degree=10, model=_rounded_model)
+    return t.groupBy("time", "part_of_speech", "p1").agg(
+        F.count("*").alias("n"), F.count_distinct("occ", "sub").alias("pairs"), F.round(F.sum("weight") + 5e-8, 5).alias("weight"),
+        (F.max("sentiment") + 1e-9).alias("sentiment"), (F.max("subjectivity") + 1e-9).alias("subjectivity"),
+    )
+
+
 # --- networks of every year, rules of a store, profiles of clusters
 on_ties("yearly_networks", profiles.yearly_networks,
     f"""with {T} select cast(time as varchar) as year, {L('sub', 'occ').replace('as sub', 'as src').replace('as occ', 'as dst')}, round(sum(weight), 6) as weight from ties group by time, sub, occ

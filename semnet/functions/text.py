@@ -231,7 +231,8 @@ def suffix_tag(token: Column) -> Column:
 
 def lexicon_score(rows: DataFrame, key: str, token_array: str, lexicon: DataFrame) -> DataFrame:
     """(key, sentiment, subjectivity): means over the words that the lexicon has, 0 without any."""
-    w = rows.select(F.col(key), F.explode_outer(token_array).alias("token")).join(F.broadcast(lexicon), "token", "left")
+    # a lexicon may be of any size: Spark broadcasts it where its size allows
+    w = rows.select(F.col(key), F.explode_outer(token_array).alias("token")).join(lexicon, "token", "left")
     return w.groupBy(key).agg(F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("sentiment"), F.coalesce(F.avg("subjective"), F.lit(0.0)).alias("subjectivity"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 TIES = (
     "time int, run_index long, seq_id long, pos int, occ int, sub int, weight double, part_of_speech string, sentiment double, subjectivity double, "
     "p1 string, p2 string, p3 string, p4 string"
@@ -104,3 +106,31 @@ def text_ties(tokens: DataFrame, percent: float = 99, max_degree: int = 100, cut
     """(run_index, pos, occ, sub, weight): ties of tokens by the count model."""
     model, at = count_model(tokens)
     return candidates(tie_list(model, percent, max_degree, cutoff_prob, by=CONTEXT), at).withColumnRenamed("cand", "sub").withColumnRenamed("prob", "weight")
+
+
+PARAMETERS = ("p1", "p2", "p3", "p4")
+
+
+def tie_rows(sentences: DataFrame, lexicon: DataFrame | None = None, known: DataFrame | None = None, percent: float = 99, max_degree: int = 100, cutoff_prob: float = 0.001, model=text_ties) -> tuple[DataFrame, DataFrame]:
+    """(ties, words) of sentences (run_index, time, sentence; seq_id and p1 .. p4 where there): rows of a store, and the dictionary (token, token_id).
+
+    ``model`` makes (run_index, pos, occ, sub, weight) of tokens (run_index, pos,
+    token). Words that ``known`` has keep their ids. A tie has its sentence's
+    time, parameters and mood, the mean of the words that ``lexicon`` (token,
+    polarity, subjective) has, and the part of speech of the word that is written.
+    """
+    spark = sentences.sparkSession
+    toks = sentences.select("run_index", F.posexplode(text.tokens(F.col("sentence"))).alias("pos", "token"))
+    made = model(toks, percent, max_degree, cutoff_prob)
+    known = spark.createDataFrame([], "token string, token_id long") if known is None else known
+    words = text.assign_ids(toks.select("token"), known)
+    occ, sub = (words.select(F.col("token").alias(c), F.col("token_id").cast("int").alias(f"{c}_id")) for c in ("occ", "sub"))
+    given = [F.col(c) if c in sentences.columns else F.lit(None).cast("string").alias(c) for c in PARAMETERS]
+    about = sentences.select("run_index", F.col("time").cast("int").alias("time"), (F.col("seq_id") if "seq_id" in sentences.columns else F.col("run_index")).alias("seq_id"), *given)
+    if lexicon is None:
+        about = about.withColumn("sentiment", F.lit(0.0)).withColumn("subjectivity", F.lit(0.0))
+    else:
+        about = about.join(text.lexicon_score(sentences.select("run_index", text.tokens(F.col("sentence")).alias("t")), "run_index", "t", lexicon), "run_index")
+    rows = made.withColumn("part_of_speech", text.suffix_tag(F.col("occ"))).join(occ, "occ").join(sub, "sub").join(about, "run_index")
+    order = ["time", "run_index", "seq_id", "pos", F.col("occ_id").alias("occ"), F.col("sub_id").alias("sub"), "weight", "part_of_speech", "sentiment", "subjectivity", *PARAMETERS]
+    return rows.select(*order), words

@@ -186,3 +186,29 @@ def test_occurrence_cache(spark, tmp_path):
     s.drop([1992])
     assert same() and cache.read_parts == 5
     assert OccurrenceCache(s).refresh() == []
+
+
+def test_sentences_to_a_store(spark, tmp_path):
+    """Sentences of two batches become ties with all their columns, words keep their ids, and the network opens on the store."""
+    from semnet.operators import ties
+    from semnet.plans.network import Network
+
+    kind = "run_index long, time int, sentence string, p1 string"
+    first = spark.createDataFrame([(1, 1999, "the old boss leads the firm", "a"), (2, 1999, "the old chief leads the firm", "a")], kind)
+    second = spark.createDataFrame([(3, 2000, "the new boss nearly failed the firm", None), (4, 2000, "the new chief nearly failed the firm", None), (5, 2000, None, "b")], kind)
+    felt = spark.createDataFrame([("old", -0.5, 0.25), ("firm", 0.1, 0.75)], "token string, polarity double, subjective double")
+    s = Store(spark, str(tmp_path / "s"))
+    t, words = ties.tie_rows(first, felt)
+    assert t.schema.simpleString().replace("struct<", "").rstrip(">").split(",") == [f"{c.split()[0]}:{ {'long': 'bigint'}.get(c.split()[1], c.split()[1])}" for c in ties.TIES.split(", ")]
+    s.merge(t)
+    words = words.cache()
+    t2, words2 = ties.tie_rows(second, felt, words)
+    s.merge(t2)
+    ids = {r.token: r.token_id for r in words2.collect()}
+    assert all(ids[r.token] == r.token_id for r in words.collect()) and len(set(ids.values())) == len(ids)
+    got = s.read().collect()
+    boss = {(r.time, r.sub, r.part_of_speech, round(r.sentiment, 6), round(r.subjectivity, 6), r.p1) for r in got if r.occ == ids["boss"]}
+    assert {x[1] for x in boss} == {ids["boss"], ids["chief"]} and {(x[0], *x[2:]) for x in boss} == {(1999, "NOUN", -0.2, 0.5, "a"), (2000, "NOUN", 0.1, 0.75, None)}
+    assert {r.part_of_speech for r in got if r.occ == ids["nearly"]} == {"ADV"} and {r.part_of_speech for r in got if r.occ == ids["failed"]} == {"VERB"}
+    net = Network(s.read(), words2)
+    assert {r.dst for r in net.condition(tokens="chief", depth=0).edges.collect()} >= {ids["boss"]}
