@@ -15,8 +15,9 @@ for each language of the documents.
 Defined results: without text, declaration, address or neighbours a page has
 the corpus's prior; null urls share an empty host; repeated rows vote and are
 answered each; without any learnt language every page has a null language and
-confidence; ties go to the language that comes first in the alphabet; other
-columns are ignored.
+confidence; ties go to the language that comes first in the alphabet; without
+pages there are no rows; texts of any length are read whole; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Defined results: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; a text that is repeated word for word counts
 as one document however many rows carry it (copies are near-dedup's business,
 and must not make each other's lines look like boilerplate); repeated rows
-each get a row; other columns are ignored.
+each get a row; an empty table gives no rows; texts of any length are read whole;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -34,7 +34,8 @@ five words has one shingle, its whole sequence; rows of one id with different
 texts are judged by their texts, each on its own; a row is kept if its id is
 the component's least, so repeated rows of that id are all kept; a null id
 never is a component's least if another id is there, and a component of null
-ids alone has a null component_id.  Extra columns are ignored.
+ids alone has a null component_id.  An empty table gives no rows; texts of any
+length are read whole.  Extra columns are ignored.
 """
 
 from __future__ import annotations

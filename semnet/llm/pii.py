@@ -18,7 +18,8 @@ Defined results: a null text is empty and has no spans; copies of a text count
 as one text; repeated rows get a row each; offsets are code points; matches
 that fail validation are dropped and not retried; a word is a run of letters,
 digits and inner hyphens or apostrophes of any length, at any distance from the
-entity, and pieces of an entity are no words; other columns stay as they are in
+entity, and pieces of an entity are no words; an empty table gives no rows; texts
+of any length are read whole; other columns stay as they are in
 ``sanitise``, whatever their names, and are ignored elsewhere.
 """
 

@@ -14,6 +14,7 @@ zero) alone; a null id is never held out nor learnt from; repeated rows are
 scored each; of several texts of a labelled id the one with the least hash is
 learnt from, of several labels the least; with no labels, or labels of one kind,
 nothing can be learnt: every score is 0.5, and ``accepted`` keeps all documents;
+an empty table gives no rows; texts of any length are read whole;
 extra columns are ignored, and stay as they are in ``accepted``.
 """
 

@@ -7,8 +7,8 @@ go to an exact hash join with the list, which removes the false positives.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is on no list; repeated rows get a row each; repeated
-listed URLs count once, empty and null ones not at all; other columns are
-ignored.
+listed URLs count once, empty and null ones not at all; without pages there are
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semnet.llm import base, digests, phrases, whiten
+from semnet.llm import base, digests, phrases, queries, whiten
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -160,3 +160,15 @@ def test_phrases_pass_64_bits(spark):
     longer = spark.createDataFrame([], "lang string, p array<long>, f long")
     got = phrases.scored(words, pairs, longer, base.Scratch(spark, "test")).collect()
     assert [(x.a, x.l, x.r, x.score) for x in got] == [(6 * 10**18, 9 * 10**18, 9 * 10**18, 2_000_000 * 6 // 18)]
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every query that reads one table gives no rows where it has none."""
+    kinds = {
+        "documents": DOCS, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string",
+        "conversations": "conv_id long, turn int, role string, text string", "embeddings": VECTORS, "benchmark": "item_id long, text string",
+    }
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("op1_line_frequency", "op3_quality_fm", "op5_url_filter", "op6_chat_format", "op7_warc", "op9_language_id", "op12_exact_dedup", "op13_embedding_whitening"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
