@@ -1,4 +1,10 @@
-"""The training-data pipeline: five stages, each over all that the one before kept."""
+"""The training-data pipeline: five stages, each over all that the one before kept.
+
+Every stage takes nulls in any column, texts of any length, repeated rows and
+extra columns, which stay as they are up to the last stage; an empty table
+gives an empty one. What each does with null texts and ids, and with rows that
+are alike, is said below or in the operator's module.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +16,27 @@ from semnet.llm.base import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the documents that reach this stage. Without usable labels all stay."""
+    """Documents that the classifier accepts; it learns from the documents that reach this stage. Without usable labels all stay; a null text is scored as an empty one, repeated rows each."""
     return quality_fm.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.80): the one with the least id; of repeated rows of it, one."""
+    """One document of each group of near duplicates (similarity 0.80): the one with the least id; of repeated rows of it, one. Rows without words stay; a null id comes after all others."""
     return neardup.deduplicate(docs, percent=80, rows=neardup.ROWS_80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items, repeated ones each; null and empty texts have none and stay."""
     return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced; n_chars is the new length."""
+    """All documents, personal data replaced; n_chars is the new length, null of a null text."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of every piece of every document."""
+    """The bin of every piece of every document, repeated rows each; a text without words has no piece."""
     return packing.pack(docs)
 
 
