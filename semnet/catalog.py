@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import epochs, sentences, text
-from .operators import cluster, communities, graph, measures, profiles, queries, stats, ties
+from .operators import cluster, communities, flows, graph, measures, profiles, queries, stats, ties
 from .plans.network import Network
 from .shared import scratch_path
 from .sources.store import OccurrenceCache, Store
@@ -649,20 +649,40 @@ add("context_clusters_all")(lambda s, d: profiles.context_clusters(_NET(s, d), s
 add("map_equation")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="map_equation"))
 add("louvain_joins")(lambda s, d: communities.louvain(graph.symmetrise(_edges(s, d)), small=0))
 add("map_equation_directed")(lambda s, d: communities.map_equation(_edges(s, d)))
-add("pagerank")(lambda s, d: measures.pagerank(_edges(s, d)))
+add("pagerank")(lambda s, d: measures.pagerank_by(_edges(s, d)))
 add("louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d))))
 add("consensus_louvain")(lambda s, d: cluster.cluster_edges(graph.symmetrise(_edges(s, d)), algorithm="consensus_louvain"))
 add("yearly_louvain")(lambda s, d: cluster.cluster_edges(_ties(s, d).groupBy("time", F.least("sub", "occ").alias("src"), F.greatest("sub", "occ").alias("dst")).agg(F.sum("weight").alias("weight")), ["time"]))
 add("cluster_hierarchy")(lambda s, d: cluster.hierarchy(graph.symmetrise(_edges(s, d)), 2))
-add("flow_betweenness")(lambda s, d: measures.flow_betweenness(_edges(s, d)))
-add("rev_flow_betweenness")(lambda s, d: measures.rev_flow_betweenness(_edges(s, d)))
+add("flow_betweenness")(lambda s, d: flows.flow_betweenness(_edges(s, d)))
+add("rev_flow_betweenness")(lambda s, d: flows.rev_flow_betweenness(_edges(s, d)))
+HOPS = 8
+_NEAR = lambda k: f"d{k} as materialized (select p, node, min(d) as d from (select * from d{k - 1} union all select p, dst, d + w from d{k - 1} join l on src = node) group by p, node)"
+_FORTH = lambda k: f"x{k} as materialized (select g.p, dst as node, sum(v) as v from x{k - 1} x join g on g.p = x.p and src = node group by all)"
+_BACK = lambda k: f"y{k} as materialized (select g.p, src as node, sum(v) as v from y{k - 1} y join g on g.p = y.p and dst = node group by all)"
+_ALL = lambda x: " union all ".join(f"select * from {x}{k}" for k in range(HOPS + 1))
+add("pivot_betweenness", f"""with {E_}, u as (select least(src, dst) as a, greatest(src, dst) as b, 1 / (sum(weight) / 2 + 0.00001::double) as w from e where src <> dst group by all),
+    l as materialized (select a as src, b as dst, w from u union all select b, a, w from u), n as (select distinct src as node from l),
+    d0 as (select node as p, node, 0.0::double as d from n where node in ({_IN(IDS)})), {', '.join(_NEAR(k) for k in range(1, HOPS + 1))},
+    g as materialized (select f.p, src, dst from d{HOPS} f join l on src = f.node join d{HOPS} t on t.p = f.p and t.node = dst where f.d < t.d and f.d + w <= t.d * (1 + 1e-9::double)),
+    x0 as (select p, node, 1.0::double as v from d0), {', '.join(_FORTH(k) for k in range(1, HOPS + 1))}, s as materialized (select p, node, sum(v) as paths from ({_ALL('x')}) group by all),
+    y0 as (select p, node, 1 / paths as v from s), {', '.join(_BACK(k) for k in range(1, HOPS + 1))}, z as (select p, node, sum(v) as v from ({_ALL('y')}) group by all),
+    c as (select count(*)::double as n, count(*) filter (node in ({_IN(IDS)})) as k from n)
+    select cast(node as bigint) as node, round(sum(case when p = node then 0 else paths * v - 1 end) * any_value(n / k / ((n - 1) * (n - 2))), 6) as value from s join z using (p, node) cross join c group by node""")(
+    lambda s, d: flows.rev_flow_betweenness(_edges(s, d), s.createDataFrame([(i,) for i in IDS], "id int"))
+)
 add("backout")(lambda s, d: graph.back_out(_edges(s, d)))
 _STEP = lambda k: f"s{k} as (select f, dst as node, sum(v * weight * 0.01::double) as v from s{k - 1} join e on src = node group by f, dst)"
 add("backout_rows", f"""with {E_}, s0 as (select x as f, x as node, 1.0::double as v from (values {', '.join(f'({i})' for i in IDS)}) as t(x)), {', '.join(_STEP(k) for k in (1, 2, 3, 4))}
     select cast(f as bigint) as src, cast(node as bigint) as dst, round(sum(v), 6) as weight from ({' union all '.join(f'select * from s{k}' for k in (1, 2, 3, 4))}) where f <> node group by f, node""")(
     lambda s, d: graph.back_out_rows(_edges(s, d), s.createDataFrame([(i,) for i in IDS], "id int"), 0.01, steps=4)
 )
-add("simrank")(lambda s, d: measures.simrank(_edges(s, d)))
+add("simrank")(lambda s, d: flows.simrank(_edges(s, d)))
+_ALIKE = lambda k: f"""h{k} as materialized (select a, w.dst as b, sum(v * share) as v from s{k - 1} s join w on s.b = w.src group by all),
+    s{k} as materialized (select a, b, case when a = b then 1 else sum(v) end as v from (select w.dst as a, h.b, 0.9::double * v * share as v from h{k} h join w on h.a = w.src union all select node, node, 0 from n) group by a, b)"""
+add("simrank_rounds", f"""with {E_}, l as (select distinct src, dst from e where weight > 0), w as materialized (select src, dst, 1.0::double / count(*) over (partition by dst) as share from l),
+    n as (select src as node from e union select dst from e), s0 as (select node as a, node as b, 1.0::double as v from n), {', '.join(_ALIKE(k) for k in (1, 2, 3))}
+    select cast(a as bigint) as src, cast(b as bigint) as dst, round(v, 6) as weight from s3 where v > 0""")(lambda s, d: flows.simrank(_edges(s, d), rounds=3))
 add("text_clean_nfkd")(lambda s, d: DOCS(s, d).select("doc_id", text.clean(F.col("text")).alias("text")))
 add("html_text")(lambda s, d: _table(s, d, "pages").select("page_id", text.html_text("html").alias("text")))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, graph, measures, queries
+from ..operators import cluster, flows, graph, measures, queries
 
 #: Radius that stands for a whole network.
 UNBOUNDED = 1000
@@ -89,7 +89,7 @@ class ConditionedNetwork:
                 df = queries.occurrences(self.network.ties, times=self.meta.get("times")).select(F.col("token_id").alias("node"), F.col("freq").alias("value"))
                 df = self.nodes.select(F.col("id").alias("node")).join(df, "node", "left").fillna(0.0)
             elif name in ("flow_betweenness", "rev_flow_betweenness"):
-                df = getattr(measures, name)(e)
+                df = getattr(flows, name)(e)
             elif name in ("constraint", "effective_size"):
                 df = getattr(measures, name)(e).withColumnRenamed(name, "value")
             else:
