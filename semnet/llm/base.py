@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +46,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one operator call in the shared folder, removed at exit."""
+    """Tables of one operator call in the shared folder, removed at exit.
 
-    def __init__(self, spark: SparkSession, name: str):
+    With ``batch_bytes``, rows go to Python functions in batches of about so
+    many bytes while a table is written, where the session sets no such bound:
+    ten thousand rows of long texts or sets would fill an executor.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, batch_bytes: int | None = None):
         self.spark = spark
+        self.batch_bytes = batch_bytes
         self.root = f"{shared_dir(spark)}/semnet-{name}-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self.clear)
@@ -63,11 +71,24 @@ class Scratch:
         which the column ``flag`` is true; both are counted as they are written.
         """
         at, seen = self.path(), Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag) if flag else F.lit(False)).alias("k")).write.parquet(at)
+        with self.batches():
+            df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag) if flag else F.lit(False)).alias("k")).write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.n_rows, out.n_flagged = seen.get.get("n", 0), seen.get.get("k", 0)
         return out
 
+    @contextmanager
+    def batches(self) -> Iterator[None]:
+        bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+        ours = self.batch_bytes is not None and self.spark.conf.get(bound, None) in (None, str(2**31 - 1), f"{2**31 - 1}b")
+        if ours:
+            self.spark.conf.set(bound, str(self.batch_bytes))
+        try:
+            yield
+        finally:
+            if ours:
+                self.spark.conf.unset(bound)
+
     def clear(self) -> None:
         try:
             remove(self.spark, self.root)

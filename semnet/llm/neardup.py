@@ -48,6 +48,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +74,8 @@ SMALL_GROUP, BLOCK = 24, 256
 HOT = 4000
 #: Sketches that may be broadcast (about 350 bytes each), and shingles whose order is broadcast as an array (8 bytes each).
 MOST_SKETCHES, MOST_COMMON = 40_000, 500_000
+#: Texts, sketches and sets reach Python in batches of about this many bytes.
+BATCH_BYTES = 8 << 20
 
 MASK = (1 << 64) - 1
 
@@ -404,14 +407,15 @@ def _blocks(percent: int):
     return run
 
 
-def _prefixes(percent: int, usual: np.ndarray, size: np.ndarray):
+def _prefixes(percent: int, frequent: Broadcast):
     """The rarest shingles of each set, as many as any set that reaches the threshold must share one of.
 
-    ``usual`` has frequent shingles, sorted, and ``size`` the logarithms of
-    their frequencies; a set's other shingles come first.
+    ``frequent`` has frequent shingles, sorted, and the logarithms of their
+    frequencies; a set's other shingles come first.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        usual, size = frequent.value
         for b in batches:
             reps, comps, found = [], [], [np.empty(0, np.int64)]
             for rep, comp, s in zip(b["rep"], b["comp"], b["shingles"]):
@@ -458,10 +462,11 @@ def prefix_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scrat
             break
         floor, held = r["size"], held + r["k"]
     frequent = sorted((r["token"], r["size"]) for r in counts.select("token", log.alias("size")).where(F.col("size") >= floor).collect()) if held else []
-    usual, size = np.array([t for t, _ in frequent], np.int64), np.array([k for _, k in frequent], np.int8)
+    # an executor fetches the arrays once, whatever the number of its tasks
+    frequent = scratch.spark.sparkContext.broadcast((np.array([t for t, _ in frequent], np.int64), np.array([k for _, k in frequent], np.int8)))
     mine = members.select("rep", "comp")
     mine = sets.join(F.broadcast(mine) if members.n_rows <= MOST_ROWS else mine, "rep").select("rep", "comp", "shingles")
-    rows = scratch.keep(mine.mapInPandas(_prefixes(percent, usual, size), "rep binary, comp binary, token long"))
+    rows = scratch.keep(mine.mapInPandas(_prefixes(percent, frequent), "rep binary, comp binary, token long"))
     by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
     live = by_comp.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("n_in"), F.max(F.struct("n", "comp")).alias("most")).where("k > 1")
     live = scratch.keep(live.select("token", "n_in", F.col("most.n").alias("n_most"), F.col("most.comp").alias("most")))
@@ -490,7 +495,7 @@ def prefix_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scrat
 def linked(docs: DataFrame, text: str, id_: str, percent: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sketches, their classes, and (rep, comp) of every class whose component has a lesser one."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup", BATCH_BYTES)
     texts = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     sk = scratch.keep(texts.mapInArrow(_sketch, SKETCH))
     # 1. classes of equal sets: the least id of each, and one document to make the set from again
@@ -539,7 +544,7 @@ def linked(docs: DataFrame, text: str, id_: str, percent: int, rows: int) -> tup
 
 def component_of(sk: DataFrame, classes: DataFrame, value: DataFrame, name: str) -> DataFrame:
     """``sk`` with the column ``name`` of its class; ``value`` has (rep, name) for some classes, null else."""
-    scratch = Scratch(sk.sparkSession, "neardup")
+    scratch = Scratch(sk.sparkSession, "neardup", BATCH_BYTES)
     rows = value.n_rows
     none = sk.where("n_shingles = 0").withColumn("least", F.lit(None).cast("long")).withColumn(name, F.lit(None).cast(value.schema[name].dataType))
     sk = sk.where("n_shingles > 0")
@@ -556,7 +561,7 @@ def component_of(sk: DataFrame, classes: DataFrame, value: DataFrame, name: str)
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     sk, classes, comps = linked(docs, text, id_, percent, rows)
-    scratch = Scratch(docs.sparkSession, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup", BATCH_BYTES)
     # every class in a component takes the least id of the component's classes
     nodes = scratch.keep(comps.select("rep", "comp").union(comps.select(F.col("comp").alias("rep"), "comp")).distinct())
     least = nodes.join(classes.select("rep", "least"), "rep")
@@ -580,7 +585,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id_: str = "doc_id", percen
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("k")
     keep = mine.where("n_shingles > 0").groupBy(F.coalesce("comp", "set_id").alias("comp")).agg(first).select("k.doc_id", "k.text_hash")
     keep = keep.union(mine.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
-    scratch = Scratch(docs.sparkSession, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup", BATCH_BYTES)
     rows_ = docs.select(F.struct(*docs.columns).alias("_nd_row"), F.col(id_).cast("long").alias("_nd_id"), F.xxhash64(F.col(text)).alias("_nd_text"))
     keep = scratch.keep(keep.select(F.col("doc_id").alias("_nd_doc"), F.col("text_hash").alias("_nd_hash")))
     same = F.col("_nd_id").eqNullSafe(F.col("_nd_doc")) & (F.col("_nd_text") == F.col("_nd_hash"))
