@@ -682,7 +682,9 @@ _ALIKE = lambda k: f"""h{k} as materialized (select a, w.dst as b, sum(v * share
     s{k} as materialized (select a, b, case when a = b then 1 else sum(v) end as v from (select w.dst as a, h.b, 0.9::double * v * share as v from h{k} h join w on h.a = w.src union all select node, node, 0 from n) group by a, b)"""
 add("simrank_rounds", f"""with {E_}, l as (select distinct src, dst from e where weight > 0), w as materialized (select src, dst, 1.0::double / count(*) over (partition by dst) as share from l),
     n as (select src as node from e union select dst from e), s0 as (select node as a, node as b, 1.0::double as v from n), {', '.join(_ALIKE(k) for k in (1, 2, 3))}
-    select cast(a as bigint) as src, cast(b as bigint) as dst, round(v, 6) as weight from s3 where v > 0""")(lambda s, d: flows.simrank(_edges(s, d), rounds=3))
+    select cast(a as bigint) as src, cast(b as bigint) as dst, round(v + 1e-9::double, 6) as weight from s3 where v > 0""")(
+    lambda s, d: flows.simrank(_edges(s, d), rounds=3).withColumn("weight", F.col("weight") + 1e-9)  # shares of whole numbers may lie in the middle between two digits
+)
 add("text_clean_nfkd")(lambda s, d: DOCS(s, d).select("doc_id", text.clean(F.col("text")).alias("text")))
 add("html_text")(lambda s, d: _table(s, d, "pages").select("page_id", text.html_text("html").alias("text")))
 
