@@ -172,3 +172,20 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in ("op1_line_frequency", "op3_quality_fm", "op5_url_filter", "op6_chat_format", "op7_warc", "op9_language_id", "op12_exact_dedup", "op13_embedding_whitening"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_phrases_reach_python_in_bounded_batches(spark, monkeypatch):
+    from semnet.llm import phrases
+
+    seen = []
+
+    class Noted(phrases.Scratch):
+        def keep(self, df, flag=None):
+            with self.batches():
+                seen.append(self.spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+            return super().keep(df, flag)
+
+    monkeypatch.setattr(phrases, "Scratch", Noted)
+    docs = spark.createDataFrame([("a b. " * 40, "en")], "text string, lang string")
+    assert [(r["phrase"], r["a"]) for r in phrases.collocations(docs).collect()] == [("a b", 40)]
+    assert seen and set(seen) == {str(phrases.BATCH)}
