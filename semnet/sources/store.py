@@ -107,11 +107,16 @@ class Store:
         return step in self.manifest()["steps"]
 
     # --- writing
-    def _batch(self, rows: DataFrame) -> list[dict]:
-        """Write rows to a new batch; the partitions that it has."""
+    def _batch(self, rows: DataFrame, as_read: bool = False) -> list[dict]:
+        """Write rows to a new batch; the partitions that it has.
+
+        Rows that are dealt by nothing yet are exchanged: a large partition is split and small ones
+        are joined as their sizes turn out. What is read from the store and only filtered lies by
+        partition already and is written ``as_read``, without an exchange.
+        """
         name = f"batch=b{uuid.uuid4().hex[:16]}"
-        # a large partition is split and small ones are joined as their sizes turn out
-        rows.hint("rebalance", F.col(self.by)).sortWithinPartitions(*self.key).write.partitionBy(self.by).parquet(f"{self.path}/{name}")
+        rows = rows if as_read else rows.hint("rebalance", F.col(self.by))
+        rows.sortWithinPartitions(*self.key).write.partitionBy(self.by).parquet(f"{self.path}/{name}")
         found = [x.getPath().getName().partition("=")[2] for x in self._list(name) if x.isDirectory() and "=" in x.getPath().getName()]
         return [{"dir": name, "name": n, "value": None if n == NO_VALUE else unquote(n)} for n in sorted(found)]
 
@@ -172,7 +177,7 @@ class Store:
     def merge(self, rows: DataFrame, on_match: str = "keep", step: str | None = None, stream: tuple[str, int] | None = None) -> int:
         """Add the rows whose key the store doesn't have; those it has are kept or, with ``replace``, replaced.
 
-        Of several rows with one key the greatest counts. Only partitions that ``rows`` has are read, and written anew only to replace.
+        Of several rows with one key the greatest counts. Only partitions that ``rows`` has are read. To replace, the rest of these is written anew; the rows that came are written once and stay where they are.
         """
         if on_match not in ("keep", "replace"):
             raise ValueError(f"on_match is keep or replace, not {on_match!r}")
@@ -191,7 +196,7 @@ class Store:
                     parts = parts + self._batch(own.join(there.select(*self.key), self._same(own, there), "left_anti"))
                 else:
                     rest = there.join(own.select(*self.key), self._same(there, own), "left_anti")
-                    parts = [p for p in parts if p["name"] not in both] + self._batch(rest.unionByName(own, allowMissingColumns=True))
+                    parts = [p for p in parts if p["name"] not in both] + [p for p in came if p["name"] in both] + self._batch(rest)
             return {"schema": schema, "parts": parts}
 
         return self._change(work, step, stream)
@@ -207,7 +212,7 @@ class Store:
                 hit = {r["_p"]: r["n"] for r in have.where(which).groupBy(F.col(self.by).cast("string").alias("_p")).agg(F.count("*").alias("n")).collect()}  # one row per partition
                 if hit:
                     old = [p for p in parts if p["value"] in hit]
-                    parts = [p for p in parts if p["value"] not in hit] + self._batch(self._frame(schema, old).where(~F.coalesce(which, F.lit(False))))
+                    parts = [p for p in parts if p["value"] not in hit] + self._batch(self._frame(schema, old).where(~F.coalesce(which, F.lit(False))), as_read=True)
                     gone[0] = sum(hit.values())
             if rows is not None:
                 schema = self._schema(now, rows)
