@@ -4,10 +4,11 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from semnet.operators import ties
+from semnet.operators import queries, ties
 from semnet.sources.store import Store
 
 LINES = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+KIND = "time int, run_index long, pos int, occ int, sub int, weight double, part_of_speech string, sentiment double, subjectivity double"
 
 
 def plan(df):
@@ -33,6 +34,44 @@ def test_lines_are_exchanged_and_sorted_once(spark, tmp_path):
     assert (r.time, r.seq_id, r.occ, r.sentiment, r.subjectivity, r.p1, r.part_of_speech) == (1996, 4, 30, 0.04, 0.01, "F", "A") and abs(r.weight - 2 / 3) < 1e-12
 
 
+def unclean(spark):
+    """Ties with a sequence at two times, one without a time and one without a dyad."""
+    rows = [(2000 + r % 2, r, p, o, (o + s) % 6, 1.0 / (1 + p + s), "NV"[p % 2], 0.25 * s, 0.5) for r in range(9) for p in range(3) for o in [(r + p) % 6] for s in range(2)]
+    rows += [(2001, 0, 5, 1, 4, 0.5, "N", 0.1, 0.1), (2000, 20, 1, 3, 3, 0.5, "N", 0.1, 0.1), (2000, 20, 2, 4, 4, 0.5, "N", 0.1, 0.1), (None, 21, 1, 1, 2, 0.5, "N", 0.1, 0.1), (None, 21, 2, 3, 3, 0.5, "V", 0.1, 0.1), (2000, 22, None, 1, 2, 0.5, "N", 0.1, 0.1)]
+    return spark.createDataFrame(rows, KIND)
+
+
+def same(a, b):
+    a, b = (sorted((tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.collect()), key=repr) for df in (a, b))
+    return a == b and len(a) > 0
+
+
+def test_dyads_read_their_own_sequences(spark, tmp_path):
+    unclean(spark).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    near = queries.around(t, None, [2, 3])
+    assert 0 < near.count() < t.count() and near.where("run_index = 20").count() == 0
+    for asked in ({"replacing": [2, 3]}, {"occurring": 1, "replacing": [2]}, {"occurring": [1, 2], "times": {"start": 2000, "end": 2000}}, {"replacing": [2, 3], "times": [2001], "cutoff": 0.2}):
+        made = queries.dyad_context(t, **asked, by_pos=True)
+        assert same(made, queries.dyad_context(t, **asked, by_pos=True, near=True))
+        # the table itself is read for the kept sequences only
+        assert not any(str(tmp_path) in f for f in made.inputFiles())
+    assert same(queries.context_in_dyad(t, replacing=[2, 3]), queries.context_in_dyad(t, replacing=[2, 3], near=True))
+    assert same(queries.substitution_in_dyad(t, replacing=[2, 3], with_dyad=True), queries.substitution_in_dyad(t, replacing=[2, 3], with_dyad=True, near=True))
+    assert same(queries.position_context(t, replacing=[2, 3]), queries.position_context(t, replacing=[2, 3], near=True))
+
+
+def test_lengths_without_a_join(spark):
+    t = unclean(spark)
+    lengths = queries.sequence_lengths(t)
+    joined = t.join(lengths, (t["run_index"] == F.col("s_run_index")) & (t["time"] == F.col("s_time"))).select(*t.columns, "others")
+    assert same(queries.with_lengths(t).select(*t.columns, "others"), joined)
+    once = t.repartition(3, "run_index")
+    assert plan(queries.with_lengths(once))[1].count("Exchange") == 1
+    # one pass over the table besides the context: no join of it with itself
+    assert "Join" not in plan(queries.with_lengths(t))[1]
+
+
 def test_store_writes_what_came_once(spark, tmp_path, monkeypatch):
     def made(*keys, weight=0.5):
         return spark.createDataFrame([(t, r, 1, 2, 3, weight) for t, r in keys], "time int, run_index long, pos int, occ int, sub int, weight double")
