@@ -93,3 +93,14 @@ def test_store_writes_what_came_once(spark, tmp_path, monkeypatch):
     parts = len(s.manifest()["parts"])
     s.compact()
     assert len(s.manifest()["parts"]) <= parts and s.read().count() == 3
+
+
+def test_a_task_has_so_many_lines(spark, tmp_path, monkeypatch):
+    table = lines(spark, tmp_path)
+    few = ties.from_lineitem(table)
+    monkeypatch.setattr(ties, "LINES_EACH", 8)
+    many = ties.from_lineitem(table)
+    # 72 lines, 8 a task, where the session would have 4 tasks; still one exchange
+    physical = plan(many)[1]
+    assert physical.count("Exchange hashpartitioning") == 1 and ", 9), REPARTITION_BY_NUM" in physical
+    assert same(many, few)
