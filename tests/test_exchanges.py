@@ -104,3 +104,27 @@ def test_a_task_has_so_many_lines(spark, tmp_path, monkeypatch):
     physical = plan(many)[1]
     assert physical.count("Exchange hashpartitioning") == 1 and ", 9), REPARTITION_BY_NUM" in physical
     assert same(many, few)
+
+
+def test_a_task_has_so_many_rows_around_a_dyad(spark, tmp_path, monkeypatch):
+    unclean(spark).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    asked = ((queries.dyad_context, {"by_pos": True}), (queries.dyad_context, {"pos": "N"}), (queries.substitution_in_dyad, {"with_dyad": True, "normalise": True}), (queries.context_in_dyad, {"normalise": True}), (queries.position_context, {}))
+    few = [f(t, replacing=[2, 3], **a).localCheckpoint() for f, a in asked]
+    monkeypatch.setattr(queries, "NEAR_EACH", 3)
+    n = -(-queries.around(t, None, [2, 3]).n_rows // 3)
+    for (f, a), b in zip(asked, few):
+        made = f(t, replacing=[2, 3], **a)
+        assert n > 4 and f"hashpartitioning(run_index#" in plan(made)[1] and f", {n}), REPARTITION_BY_NUM" in plan(made)[1]
+        assert same(made, b)
+
+
+def test_places_of_several_parts_of_speech(spark):
+    kind = "time int, run_index long, pos int, occ int, sub int, weight double, part_of_speech string, sentiment double, subjectivity double"
+    rows = [(1, 1, 1, 1, 2, 0.5, "N", 0.0, 0.0), (1, 1, 2, 3, 4, 0.5, "V", 0.0, 0.0), (1, 1, 2, 5, 5, 0.25, "A", 0.0, 0.0), (1, 1, 2, 6, 6, 0.25, None, 0.0, 0.0), (1, 1, 3, 7, 7, 1.0, None, 0.0, 0.0)]
+    t = spark.createDataFrame(rows, kind)
+    made = queries.dyad_context(t, replacing=2, by_pos=True)
+    got = {(r.part_of_speech, r.e) for r in made.collect()}
+    assert got == {(p, e) for p in ("N", "V", "A", None) for e in (3, 4, 5, 6) if p != "N"} | {(None, 7)}
+    # parts of speech and lengths come from windows: the ties are joined with themselves once
+    assert plan(made)[0].count("Join") == 1
