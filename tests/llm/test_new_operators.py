@@ -189,3 +189,29 @@ def test_phrases_reach_python_in_bounded_batches(spark, monkeypatch):
     docs = spark.createDataFrame([("a b. " * 40, "en")], "text string, lang string")
     assert [(r["phrase"], r["a"]) for r in phrases.collocations(docs).collect()] == [("a b", 40)]
     assert seen and set(seen) == {str(phrases.BATCH)}
+
+
+def test_phrases_pass_no_row_for_a_pair_and_shard(spark, monkeypatch):
+    """Tables between the steps have a row for each frequent phrase and some for each shard, not one for each pair of each shard."""
+    seen = []
+
+    class Noted(phrases.Scratch):
+        def keep(self, df, flag=None):
+            out = super().keep(df, flag)
+            seen.append(out.n_rows)
+            return out
+
+    monkeypatch.setattr(phrases, "Scratch", Noted)
+    monkeypatch.setattr(phrases, "PARTS", 2, raising=False)
+    line = " ".join(f"w{i}" for i in range(60))
+    texts = [("en", line)] * 40
+    got = sorted(tuple(x) for x in phrases.collocations(spark.createDataFrame([(t, g) for g, t in texts], "text string, lang string"), shard=100).collect())
+    assert got == mined(texts, 30) and len(got) == 57
+    # 40 shards of 59 pairs each: 59 pairs once and two parts a shard at most
+    assert max(seen) <= 59 + 58 + 57 + 40 * 2
+
+
+def test_phrases_are_packed_whole():
+    r = np.random.default_rng(3)
+    for x in (np.zeros(0, np.int64), np.array([0, 1, 2**40, 2**62]), np.sort(r.integers(0, 2**62, 1000))):
+        assert (phrases._unpack_sorted(phrases._pack_sorted(x), len(x)) == x).all() and (phrases._unpack(phrases._pack(x), len(x)) == x).all()
