@@ -4,7 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from semnet.operators import queries, ties
+from semnet.operators import profiles, queries, ties
+from semnet.plans.network import Network
 from semnet.sources.store import Store
 
 LINES = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -61,6 +62,21 @@ def test_dyads_read_their_own_sequences(spark, tmp_path):
     assert same(queries.position_context(t, replacing=[2, 3]), queries.position_context(t, replacing=[2, 3], near=True))
 
 
+def test_clusters_by_part_of_speech_go_through_the_ties_once(spark, tmp_path):
+    table = ties.from_lineitem(lines(spark, tmp_path))
+    read = spark.sparkContext.accumulator(0)
+
+    def tallied(w):
+        read.add(1)
+        return w
+
+    t = table.withColumn("weight", F.udf(tallied, "double").asNondeterministic()("weight"))
+    words = spark.range(200).select(F.col("id").cast("int").alias("token_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"))
+    made = profiles.context_clusters(Network(t, words), substitute=[108, 116, 124], levels=1, per_pos=True, k=20)
+    # three parts of speech, each with a network of its own, and every tie was read once
+    assert {r.part_of_speech for r in made.collect()} == {"A", "N", "R"} and read.value == table.count() == 72
+
+
 def test_lengths_without_a_join(spark):
     t = unclean(spark)
     lengths = queries.sequence_lengths(t)
