@@ -71,3 +71,15 @@ def test_sums_of_cut_ties(spark, each):
 def test_topk_is_exchanged_before_it_is_spelt_out(spark, tmp_path):
     plan = _spread(spark, tmp_path, "tie_topk_norm")
     assert "Exchange" not in plan[: plan.index("Generate inline")] and "SortMergeJoin" not in plan
+
+
+def test_sums_without_the_own_tie(spark, each):
+    tokens = _tokens(spark)
+    model, at = ties.count_model(tokens)
+    want = _summed(ties.clean_distribution(ties.candidates(ties.cumulative_cutoff(model, 99, 4, by=ties.CONTEXT), at)))
+    assert _key(ties.tie_sums(ties.contexts(tokens), 99, 4, own_tie=False)) == _key(want) != []
+
+
+def test_own_ties_are_exchanged_before_they_are_spelt_out(spark, tmp_path):
+    plan = _spread(spark, tmp_path, "tie_own_tie_removed")
+    assert "Exchange" not in plan[: plan.index("Generate inline")] and "SortMergeJoin" not in plan
