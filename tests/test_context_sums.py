@@ -83,3 +83,8 @@ def test_sums_without_the_own_tie(spark, each):
 def test_own_ties_are_exchanged_before_they_are_spelt_out(spark, tmp_path):
     plan = _spread(spark, tmp_path, "tie_own_tie_removed")
     assert "Exchange" not in plan[: plan.index("Generate inline")] and "SortMergeJoin" not in plan
+
+
+def test_a_cutoff_needs_no_window(spark, tmp_path):
+    plan = _spread(spark, tmp_path, "tie_cumulative_cutoff")
+    assert "Window" not in plan and "rangepartitioning" not in plan
