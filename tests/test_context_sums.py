@@ -88,3 +88,20 @@ def test_own_ties_are_exchanged_before_they_are_spelt_out(spark, tmp_path):
 def test_a_cutoff_needs_no_window(spark, tmp_path):
     plan = _spread(spark, tmp_path, "tie_cumulative_cutoff")
     assert "Window" not in plan and "rangepartitioning" not in plan
+
+
+def test_figures_of_ties_are_those_of_the_rows(spark, each):
+    docs = _docs(spark)
+    felt = spark.createDataFrame([("a", 0.5, 1.0), ("badly", -0.5, 0.25)], "token string, polarity double, subjective double")
+    rows = docs.select(F.col("doc_id").alias("run_index"), (F.col("doc_id") % 2).cast("int").alias("time"), F.col("text").alias("sentence"), F.col("source").alias("p1"))
+    made, _ = ties.tie_rows(rows, felt, percent=90, max_degree=3, cutoff_prob=0.2)
+    want = made.groupBy("time", "p1", "part_of_speech").agg(F.count("*").alias("n"), F.count_distinct("occ", "sub").alias("pairs"), F.sum("weight").alias("weight"), F.max("sentiment").alias("sentiment"), F.max("subjectivity").alias("subjectivity"))
+    got = ties.tie_figures(rows, felt, ["time", "p1"], 90, 3, 0.2)
+    assert _key(got) == _key(want) and {r.part_of_speech for r in got.collect()} == {"NOUN", "VERB", "ADV"} and got.where("p1 is null").count() > 0
+
+
+def test_figures_need_no_ties_in_an_exchange(spark, tmp_path):
+    plan = _spread(spark, tmp_path, "text_tie_rows")
+    # one row for each group leaves the tasks in which pairs are spelt out
+    above = plan[: plan.index("Generate explode(split(")]
+    assert not any("cand#" in line for line in above.splitlines() if "Exchange" in line)
